@@ -1,0 +1 @@
+"""Operations of a training-data pipeline, each a function from DataFrames to DataFrames."""
