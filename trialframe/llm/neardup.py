@@ -6,11 +6,11 @@ of each sketch; inverted lists of these values generate candidates. The sketch o
 similarity and drops most of the others, and the full sets decide.
 
 No list is expanded into all of its pairs. Documents with equal sets are one node from the start. In each
-list the members are compared with one pivot, for a few rounds with other pivots; pairs are then only formed
-between members that these links leave in different groups, since a link inside a group changes nothing. Members of lists that are still open by
-then, mostly documents that hold a common passage, are listed anew by the rarest fifth of their full sets,
-which is exact, and a bit mask of each sketch drops more pairs as they are formed. The groups are those of
-all links.
+list the members are first compared with one pivot. A link inside a group changes nothing, so what is left to
+find are links between members of a list that are in different groups; a bit mask of each sketch tells
+whether a member may have any. Those that may, mostly documents that hold a common passage, are listed anew
+by the rarest fifth of their full sets, which is exact, and only these lists are expanded, by what the
+places of the shared values allow. The groups are those of all links.
 """
 
 from __future__ import annotations
@@ -31,9 +31,8 @@ SHARED = 36
 #: Members of a list that are sent to one task beside the set they are compared with.
 RUN = 512
 
-#: Rounds of pivots at most, and pairs per row of the lists at which those are few.
-ROUNDS = 2
-ENOUGH = 16
+#: Bits of the filter that keeps texts which are not compared out of the shuffles.
+FILTER_BITS = 1 << 24
 
 _SIGNED = "doc_id bigint, fp binary, n int, sketch array<bigint>, mask array<bigint>"
 
@@ -81,20 +80,35 @@ def _sign(shingle: int):
     return run
 
 
-def _full_sets(shingle: int):
+def _full_sets(shingle: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(shared.value, bitorder="little").view(bool)
         for batch in batches:
-            keep, sets = [], []
-            prints = batch.column("fp").to_pylist()
-            for i, values in enumerate(shingle_sets(batch.column("text"), shingle)):
-                if _fingerprint(values) == prints[i]:  # else another text under the same id
-                    keep.append(i)
-                    sets.append(values)
-            yield pa.RecordBatch.from_arrays([batch.column("rid").take(pa.array(keep, pa.int64())), _arrays(sets, pa.large_binary()).cast(pa.binary())], names=["rid", "members"])
+            batch = batch.filter(pa.array(wanted[batch.column("bit").to_numpy()]))
+            prints, sets = [], []
+            for values in shingle_sets(batch.column("text"), shingle):
+                prints.append(_fingerprint(values))
+                sets.append(values)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), _arrays(sets, pa.large_binary()).cast(pa.binary())], names=["of", "print", "members"])
 
     return run
 
 
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, repeated: bool) -> DataFrame:
+    """(rid, members): the full sets of the nodes ``wanted`` (rid, doc_id, fp).
+
+    A filter of fixed size tells the scan which documents may be wanted; the join then decides.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    marked = wanted.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toPandas()
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[marked["word"]] = marked["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(words.view(np.uint8))
+    found = docs.withColumn("bit", bit).mapInArrow(_full_sets(shingle, shared), "of bigint, print binary, members binary")
+    sets = wanted.join(found, (F.col("fp") == F.col("print")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("rid", "members")
+    return written(sets.dropDuplicates(["rid"]) if repeated else sets, "sets")
+
+
 def _confirmed(percent: int):
     """Rows come sorted by (a, salt, b), the set of ``a`` itself first (b null)."""
 
@@ -183,81 +197,64 @@ def _lists(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _against_pivots(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a member and its list's pivot; a list has one for each range of set sizes by a factor 1.5625."""
+    members = lists.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(1.5625))))
+    order = F.struct(F.xxhash64("rid", "value").alias("h"), "rid", "n")
+    pivots = members.groupBy("value", "band").agg(F.min(order).alias("p"), F.count("*").alias("size")).filter("size > 1")
+    return (
+        members.join(pivots, ["value", "band"])
+        .filter("rid <> p.rid and 5 * least(n, p.n) >= 4 * greatest(n, p.n)")
+        .select(F.least("rid", "p.rid").alias("a"), F.greatest("rid", "p.rid").alias("b"))
+        .distinct()
+    )
+
+
+def _unsettled(lists: DataFrame) -> DataFrame:
+    """(rid, label) of members that, by size and mask, may have a link into another group of their list."""
+    several = lists.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("value")
+    left = lists.join(several, "value")
+    other = left.select(F.col("value").alias("v"), *(F.col(c).alias(f"other_{c}") for c in ("n", "misses", "mask", "label")))
+    missing = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(4)), F.lit(0))
+    may = F.expr("label <> other_label and 5 * least(n, other_n) >= 4 * greatest(n, other_n)") & (missing("mask", "other_mask") <= F.col("misses")) & (missing("other_mask", "mask") <= F.col("other_misses"))
+    return left.join(other, (F.col("value") == F.col("v")) & may, "left_semi").select("rid", "label").distinct()
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.frombuffer(x, np.int64) for x in batch.column("members").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("rid"), _arrays(sets, pa.list_(pa.int64()))], names=["rid", "members"])
 
 
-def _deep_lists(lists: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The nodes of ``lists`` listed anew: of each full set the n - ceil(0.8 n) + 1 rarest values, if others hold them.
+def _across(unsettled: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of unsettled nodes in different groups that may be similar, from lists of their full sets.
 
-    ``place`` is the value's place in its set by rarity.
+    Of each set the n - ceil(0.8 n) + 1 rarest values are listed. Sets of n <= m values share at least 4/9
+    (n + m), so 8/9 n, of them: the smaller set's value is then among its n - ceil(8/9 n) + 1 rarest, and
+    enough values follow the first shared one in both.
     """
-    ids = lists.select("rid", "label").distinct()
-    values = sets.join(ids.select("rid"), "rid").mapInArrow(_members, "rid bigint, members array<bigint>").select("rid", F.explode("members").alias("value"))
+    values = sets.mapInArrow(_members, "rid bigint, members array<bigint>").select("rid", F.explode("members").alias("value"))
     often = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     by_rid = Window.partitionBy("rid")
     ranked = values.join(often, "value").withColumns({"rank": F.row_number().over(by_rid.orderBy("df", "value")), "shared": F.count("*").over(by_rid)})
-    size = F.least("n", F.lit(SKETCH))
-    least = F.when(F.col("n") < 52, F.ceil(F.col("n") * 4 / F.lit(5))).otherwise(SHARED)
-    return (
-        ranked.join(nodes.select("rid", "n", "mask", (size - least).cast("int").alias("misses")), "rid")
+    listed = (
+        ranked.join(unsettled.join(nodes.select("rid", "n"), "rid"), "rid")
         .withColumn("place", F.expr("n - shared + rank"))
         .filter("place <= n - ceil(n * 4 / 5) + 1")
-        .join(ids, "rid")
-        .select("value", "rid", "n", "misses", "mask", "label", "place")
+        .select("value", "rid", "n", "label", "place")
     )
-
-
-def _against_pivots(lists: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of a member and its list's pivot, which is another one each ``turn``.
-
-    A list has a pivot for each range of set sizes by a factor 1.5625; the ranges shift by half at odd turns.
-    """
-    members = lists.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(1.5625)) + F.lit(0.5 * (turn % 2))))
-    order = F.struct(F.xxhash64("rid", "value", F.lit(turn)).alias("h"), "rid", "n", "label")
-    pivots = members.groupBy("value", "band").agg(F.min(order).alias("p"), F.count("*").alias("size")).filter("size > 1")
+    listed = written(listed, "deep")
+    right = listed.select("value", *(F.col(c).alias(f"other_{c}") for c in ("rid", "n", "label", "place")))
     return (
-        members.join(pivots, ["value", "band"])
-        .filter("label <> p.label and 5 * least(n, p.n) >= 4 * greatest(n, p.n)")
-        .select(F.least("rid", "p.rid").alias("a"), F.greatest("rid", "p.rid").alias("b"))
-        .distinct()
-    )
-
-
-def _across(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a list whose groups differ and whose masks allow enough shared values.
-
-    Lists of full sets have places. Sets of n <= m values share at least 4/9 (n + m), so 8/9 n, of them: the
-    smaller set's value is then among its n - ceil(8/9 n) + 1 rarest, and enough values follow the first shared one.
-    """
-    right = lists.select("value", F.col("rid").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("mask").alias("others"), F.col("misses").alias("lacks"), *([F.col("place").alias("at")] if "place" in lists.columns else []))
-    enough = F.lit(True)
-    if "place" in lists.columns:
-        lists = lists.filter("place <= n - ceil(8 * n / 9) + 1")
-        enough = F.expr("9 * (1 + least(n - place, m - at)) >= 4 * (n + m)")
-    missing = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(4)), F.lit(0))
-    return (
-        lists.withColumnRenamed("rid", "a")
+        listed.filter("place <= n - ceil(8 * n / 9) + 1")
         .join(right, "value")
-        .filter("label <> other and 5 * n >= 4 * m and (n < m or n = m and a < b)")
-        .filter(enough & (missing("mask", "others") <= F.col("misses")) & (missing("others", "mask") <= F.col("lacks")))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .filter("label <> other_label and 5 * n >= 4 * other_n and (n < other_n or n = other_n and rid < other_rid)")
+        .filter("9 * (1 + least(n - place, other_n - other_place)) >= 4 * (n + other_n)")
+        .select(F.least("rid", "other_rid").alias("a"), F.greatest("rid", "other_rid").alias("b"))
         .distinct()
     )
 
 
-def _open(lists: DataFrame, groups: DataFrame) -> tuple[DataFrame, float]:
-    """The lists whose members are in several groups, as these now are; their pairs across groups per row."""
-    grouped = lists.drop("label").join(groups, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    counts = grouped.groupBy("value", "label").agg(F.count("*").alias("c")).groupBy("value").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("labels"))
-    several = counts.filter("labels > 1").select("value", ((F.col("rows") * F.col("rows") - F.col("same")) / 2).alias("pairs"), "rows")
-    still = written(grouped.join(several.select("value"), "value"), "open")
-    total = several.agg(F.sum("pairs"), F.sum("rows")).first()
-    return still, (total[0] or 0) / (total[1] or 1)
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Groups of near-duplicate documents: (doc_id, n_shingles, component_id, kept).
 
@@ -279,29 +276,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     nodes = written(nodes.withColumn("rid", F.monotonically_increasing_id()), "nodes")
     lists = written(_lists(nodes), "lists")
 
-    wanted = lists.select("rid").distinct().join(nodes, "rid").select("rid", "doc_id", "fp")
-    of_node = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("rid", "fp", "text").mapInArrow(_full_sets(shingle), "rid bigint, members binary")
-    sets = written(of_node.dropDuplicates(["rid"]), "sets")
-
-    links: DataFrame | None = None
-    open_lists = lists.withColumn("label", F.col("rid"))
-    for turn in range(ROUNDS):
-        found = _confirm(_similar_sketches(written(_against_pivots(open_lists, turn), "pairs"), nodes), sets, percent)
-        links = written(found if links is None else links.unionByName(found), "links")
-        groups = components(links)
-        open_lists, pairs = _open(open_lists, groups)
-        if pairs <= ENOUGH:
-            break
-    if pairs > ENOUGH:
-        open_lists = written(_deep_lists(open_lists, nodes, sets), "deep")
-    rest = _confirm(_similar_sketches(written(_across(open_lists), "pairs"), nodes), sets, percent)
-    groups = components(links.unionByName(rest))
+    repeated = bool(signed.groupBy("doc_id").count().filter("count > 1").head(1))
+    named = nodes.select("rid", "doc_id", "fp")
+
+    pairs = written(_similar_sketches(written(_against_pivots(lists), "pairs"), nodes), "similar")
+    compared = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+    links = written(_confirm(pairs, _sets(docs, named.join(compared, "rid"), shingle, repeated), percent), "links")
+
+    lists = lists.join(components(links), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    unsettled = written(_unsettled(written(lists, "lists")), "unsettled")
+    sets = _sets(docs, named.join(unsettled.select("rid"), "rid"), shingle, repeated)
+    pairs = written(_similar_sketches(written(_across(unsettled, nodes, sets), "pairs"), nodes), "similar")
+    groups = components(links.unionByName(_confirm(pairs, sets, percent)))
 
     labelled = nodes.join(groups, "rid", "left").select("fp", F.coalesce("label", "rid").alias("label"), "doc_id")
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = labelled.join(least, "label").select("fp", "component_id")
+    of_print = labelled.join(least, "label").select("fp", "component_id")
     empty = signed.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    full = signed.filter("n > 0").join(named, "fp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    full = signed.filter("n > 0").join(of_print, "fp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
