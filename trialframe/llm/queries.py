@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .ann import nearest
+from .chat import PREFERENCE_SQL, preference_pairs
 from .mixing import MIX_SQL, mix_sources
 from .neardup import near_duplicates
 from .packing import pack
+from .pages import main_text
 from .quality import quality
 from .secrets import find_secrets
+from .topk import TOP_K_SQL, exact_top_k
+from .warc import archive_pages
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,6 +38,27 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2 i and 2 i + 1 are the chosen and the rejected one of pair i."""
+    turns = _table(spark, sf_dir, "conversations")
+    pair = F.floor(F.col("conv_id") / 2).cast("long")
+    side = F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected")
+    return preference_pairs(turns.select(pair.alias("pair_id"), side.alias("side"), "turn", "role", "text"))
+
+
+def op4_warc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archive_pages(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to", "record_id", "date", "uri", "error")
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -40,13 +67,29 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_quality_classifier, op7_packing, op8_minhash_near_dedup, op10_secret_scans)}
+    found = (
+        op1_source_mixing,
+        op2_quality_classifier,
+        op3_preference_formatting,
+        op4_warc_conversion,
+        op5_exact_top_k,
+        op6_main_text,
+        op7_packing,
+        op8_minhash_near_dedup,
+        op9_nearest_neighbours,
+        op10_secret_scans,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": MIX_SQL}
+    return {"op1_source_mixing": MIX_SQL, "op3_preference_formatting": PREFERENCE_SQL, "op5_exact_top_k": TOP_K_SQL}
