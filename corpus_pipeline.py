@@ -1 +1,60 @@
-STAGES = []
+"""The corpus pipeline: documents in, packed training windows out."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from trialframe.llm.mixing import mixed_documents
+from trialframe.llm.neardup import drop_near_duplicates
+from trialframe.llm.packing import pack
+from trialframe.llm.quality import good_documents
+from trialframe.llm.queries import tokenizer_path
+from trialframe.llm.secrets import without_secrets
+from trialframe.llm.store import written
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels of ``sf_dir``, does not reject."""
+    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, by 5-word shingles and a similarity of 0.8."""
+    return drop_near_duplicates(docs, shingle=5, percent=80)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret replaced by a mark."""
+    return without_secrets(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as a mix by source weights takes them."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in windows of 4096 tokens."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", near_dedup),
+    ("secret scans", secret_scans),
+    ("mixing sources to target weights", source_mixing),
+    ("packing", packing),
+]
+
+#: SQL cannot express a trained classifier; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each stage's documents written and read again for the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
