@@ -10,7 +10,6 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,61 +18,130 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
+from .words import Words, text_words, word_hashes
 
 #: Windows that a group of pieces fills.
 GROUP_WINDOWS = 128
-#: Words that a worker remembers the ids of.
-REMEMBERED = 300_000
+#: Words that a worker remembers the ids of, at some 30 bytes a word.
+REMEMBERED = 3_000_000
+#: Bytes of text that are looked up together.
+BATCH_BYTES = 2 << 20
 
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-_SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
 
 class TokenIds:
     """Ids of whole texts by a tokenizer that never joins what white space parts.
 
     Its ids of a text are then those of the words one after another, and each distinct word is encoded
-    once. Texts that hold one of its special tokens are encoded whole.
+    once: words are looked up by a 64-bit hash in sorted arrays, batch by batch. Texts that hold one of its
+    special tokens are encoded whole. Ids must be below 65,536.
     """
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [str(x) for x in self.tokenizer.get_added_tokens_decoder().values() for x in [x.content]]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [x.content for x in added.values()]
+        #: Whether it lower-cases anyway, so that words need not differ by case.
+        self.lower = "Lowercase" in str(self.tokenizer.normalizer)
         self.end = end
-        self.known: dict[bytes, tuple[int, ...]] = {}
-
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            if any(x in text for x in self.special):
-                ids: list[int] = self.tokenizer.encode(text, add_special_tokens=False).ids
-            else:
-                words = text.encode("utf-8", "replace").split()
-                try:
-                    ids = list(chain.from_iterable(map(self.known.__getitem__, words)))
-                except KeyError:
-                    self._learn(words)
-                    ids = list(chain.from_iterable(map(self.known.__getitem__, words)))
-            ids.append(self.end)
-            yield np.array(ids, "<u4")
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = [x for x in dict.fromkeys(words) if x not in self.known]
-        for word, found in zip(fresh, self.tokenizer.encode_batch([x.decode() for x in fresh], add_special_tokens=False), strict=True):
-            self.known[word] = tuple(found.ids)
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Sorted hashes with the places of their words, the latest last; each at most half the one before.
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        #: Where each word's ids begin, and the ids; filled up to ``words`` and ``starts[words]``.
+        self.starts, self.ids, self.words = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint16), 0
+
+    def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
+        for words in text_words(column, BATCH_BYTES):
+            hashes, first, which = np.unique(word_hashes(words, self.lower), return_index=True, return_inverse=True)
+            place = self._places(words, hashes, first)[which]
+            start = self.starts[place]
+            size = self.starts[place + 1] - start
+            ends = np.cumsum(size)
+            flat = self.ids[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4")
+            bounds = np.concatenate([[0], ends])[words.bounds]
+            for row, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), words.first):
+                text = self._special(column, row, words, row - words.first)
+                yield np.append(flat[a:b], np.uint32(self.end)) if text is None else np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, self.end], "<u4")
+
+    def _special(self, column: pa.Array, row: int, words: Words, at: int) -> str | None:
+        """A row's text if it holds a special token."""
+        if words.marked is None:
+            words.marked = np.zeros(words.last - words.first, bool)
+            raw = words.data.tobytes()
+            for token in self.special:
+                found = raw.find(token.encode())
+                while found >= 0:
+                    words.marked[np.searchsorted(words.offsets, found, "right") - 1] = True
+                    found = raw.find(token.encode(), found + 1)
+        return column[row].as_py() if words.marked[at] else None
+
+    def _places(self, words: Words, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        place = np.full(len(hashes), -1, np.int64)
+        for keys, places in self.runs:
+            if (open_ := np.flatnonzero(place < 0)).size:
+                at = np.minimum(np.searchsorted(keys, hashes[open_]), len(keys) - 1)
+                hit = keys[at] == hashes[open_]
+                place[open_[hit]] = places[at[hit]]
+        if not (new := np.flatnonzero(place < 0)).size:
+            return place
+        if self.words + len(new) > REMEMBERED and self.words:
+            self._forget()
+            return self._places(words, hashes, first)
+        place[new] = self._learn([words.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(words.starts[first[new]], words.ends[first[new]], strict=True)])
+        self.runs.append((hashes[new], place[new]))
+        while len(self.runs) > 1 and 2 * len(self.runs[-1][0]) > len(self.runs[-2][0]):
+            keys, places = (np.concatenate(x) for x in zip(self.runs.pop(), self.runs.pop(), strict=True))
+            order = np.argsort(keys)
+            self.runs.append((keys[order], places[order]))
+        return place
+
+    def _learn(self, fresh: list[str]) -> np.ndarray:
+        """Encodes words and returns their places.
+
+        They are encoded as one text; each id belongs to the word in which it begins.
+        """
+        whole = [not any(x in w for x in self.special) for w in fresh]  # rows with the others are encoded whole
+        fresh = [w if k else "" for w, k in zip(fresh, whole, strict=True)]
+        encoded = self.tokenizer.encode(" ".join(fresh), add_special_tokens=False)
+        found = np.array(encoded.ids, np.uint16)
+        begins = np.cumsum([0, *(len(w) + 1 for w in fresh)])
+        at = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(found))
+        sizes = np.diff(np.searchsorted(at, begins))
+        while len(self.starts) < self.words + len(fresh) + 1:
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        begin = self.starts[self.words]
+        while len(self.ids) < begin + sizes.sum():
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.starts[self.words + 1 : self.words + 1 + len(fresh)] = begin + np.cumsum(sizes)
+        self.ids[begin : begin + sizes.sum()] = found
+        places = np.arange(self.words, self.words + len(fresh))
+        self.words += len(fresh)
+        return places
+
+
+_tokenizers: dict[tuple[str, int], TokenIds] = {}
+
+
+def token_ids(path: str, end: int) -> TokenIds:
+    """A worker's own ``TokenIds``, which later tasks in that worker use again."""
+    if (path, end) not in _tokenizers:
+        _tokenizers[path, end] = TokenIds(path, end)
+    return _tokenizers[path, end]
 
 
 def document_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) of each piece of each document; ``tokenizer`` is a path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = TokenIds(tokenizer, end)
+        ids_of = token_ids(tokenizer, end)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of([x or "" for x in batch.column("text").to_pylist()]), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of(batch.column("text")), strict=True):
                 raw = memoryview(ids.tobytes())
                 rows += [(doc_id, at, min(capacity, len(ids) - at), zlib.crc32(raw[4 * at : 4 * (at + capacity)]), len(ids)) for at in range(0, len(ids), capacity)]
             columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -171,10 +239,10 @@ def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str, end: int = 2)
     """(sequence_id, ids): the token windows themselves, for documents whose doc_id is unique."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = TokenIds(tokenizer, end)
+        ids_of = token_ids(tokenizer, end)
         for batch in batches:
             out = []
-            for pieces, ids in zip(batch.column("pieces").to_pylist(), ids_of([x or "" for x in batch.column("text").to_pylist()]), strict=True):
+            for pieces, ids in zip(batch.column("pieces").to_pylist(), ids_of(batch.column("text")), strict=True):
                 out += [(p["sequence_id"], p["offset"], ids[p["start"] : p["start"] + p["length"]].tolist()) for p in pieces]
             columns = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64()))], names=["sequence_id", "offset", "ids"])

@@ -32,6 +32,10 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     row: np.ndarray
+    #: Where each row's bytes begin, and at the end their number.
+    offsets: np.ndarray
+    #: Which rows a user of the words has marked.
+    marked: np.ndarray | None = None
 
     @property
     def bounds(self) -> np.ndarray:
@@ -89,7 +93,7 @@ def text_words(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[Words]:
         after[at[1:][filled] - 1] = False
         starts = np.flatnonzero(word & ~before)
         ends = np.flatnonzero(word & ~after) + 1
-        yield Words(first, last, data, starts, ends, np.searchsorted(at, starts, "right") - 1)
+        yield Words(first, last, data, starts, ends, np.searchsorted(at, starts, "right") - 1, at)
         first = last
 
 
