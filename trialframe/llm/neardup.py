@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
@@ -29,7 +29,7 @@ from .words import mix, shingle_sets
 SKETCH = 64
 SHARED = 36
 #: Members of a list that are sent to one task beside the set they are compared with.
-RUN = 512
+RUN = 4096
 
 #: Bits of the filter that keeps texts which are not compared out of the shuffles.
 FILTER_BITS = 1 << 24
@@ -146,9 +146,13 @@ def _similar_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs linked by their full sets. A set compared with many others is sent once for each RUN of them."""
-    runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(RUN)).alias("runs"))
-    salted = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), "runs").alias("salt"), "b")
+    """The pairs linked by their full sets.
+
+    A set that is compared with many others is sent once for each part of them, of some RUN members; there are
+    never more such copies than pairs.
+    """
+    most = pairs.groupBy("a").count().agg(F.max("count")).first()[0] or 1
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(-(-most // RUN))))
     own = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("rid", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "members")
     other = salted.join(sets.withColumnRenamed("rid", "b"), "b").select("a", "salt", "b", "members")
     return (
@@ -210,14 +214,23 @@ def _against_pivots(lists: DataFrame) -> DataFrame:
     )
 
 
+def _missing(x: str, y: str) -> Column:
+    """How many bits of mask ``x`` the mask ``y`` lacks."""
+    return sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(4)), F.lit(0))
+
+
+def _masks_allow() -> Column:
+    """Whether the masks of a row and the other allow as many shared values as a link needs."""
+    return (_missing("mask", "other_mask") <= F.col("misses")) & (_missing("other_mask", "mask") <= F.col("other_misses"))
+
+
 def _unsettled(lists: DataFrame) -> DataFrame:
-    """(rid, label) of members that, by size and mask, may have a link into another group of their list."""
+    """(rid, n, misses, mask, label) of members that, by size and mask, may have a link into another group of their list."""
     several = lists.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("value")
     left = lists.join(several, "value")
     other = left.select(F.col("value").alias("v"), *(F.col(c).alias(f"other_{c}") for c in ("n", "misses", "mask", "label")))
-    missing = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(4)), F.lit(0))
-    may = F.expr("label <> other_label and 5 * least(n, other_n) >= 4 * greatest(n, other_n)") & (missing("mask", "other_mask") <= F.col("misses")) & (missing("other_mask", "mask") <= F.col("other_misses"))
-    return left.join(other, (F.col("value") == F.col("v")) & may, "left_semi").select("rid", "label").distinct()
+    may = F.expr("label <> other_label and 5 * least(n, other_n) >= 4 * greatest(n, other_n)") & _masks_allow()
+    return left.join(other, (F.col("value") == F.col("v")) & may, "left_semi").select("rid", "n", "misses", "mask", "label").dropDuplicates(["rid"])
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +239,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rid"), _arrays(sets, pa.list_(pa.int64()))], names=["rid", "members"])
 
 
-def _across(unsettled: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _across(unsettled: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of unsettled nodes in different groups that may be similar, from lists of their full sets.
 
     Of each set the n - ceil(0.8 n) + 1 rarest values are listed. Sets of n <= m values share at least 4/9
@@ -238,18 +251,18 @@ def _across(unsettled: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFram
     by_rid = Window.partitionBy("rid")
     ranked = values.join(often, "value").withColumns({"rank": F.row_number().over(by_rid.orderBy("df", "value")), "shared": F.count("*").over(by_rid)})
     listed = (
-        ranked.join(unsettled.join(nodes.select("rid", "n"), "rid"), "rid")
+        ranked.join(unsettled, "rid")
         .withColumn("place", F.expr("n - shared + rank"))
         .filter("place <= n - ceil(n * 4 / 5) + 1")
-        .select("value", "rid", "n", "label", "place")
+        .select("value", "rid", "n", "misses", "mask", "label", "place")
     )
     listed = written(listed, "deep")
-    right = listed.select("value", *(F.col(c).alias(f"other_{c}") for c in ("rid", "n", "label", "place")))
+    right = listed.select("value", *(F.col(c).alias(f"other_{c}") for c in ("rid", "n", "misses", "mask", "label", "place")))
     return (
         listed.filter("place <= n - ceil(8 * n / 9) + 1")
         .join(right, "value")
         .filter("label <> other_label and 5 * n >= 4 * other_n and (n < other_n or n = other_n and rid < other_rid)")
-        .filter("9 * (1 + least(n - place, other_n - other_place)) >= 4 * (n + other_n)")
+        .filter(F.expr("9 * (1 + least(n - place, other_n - other_place)) >= 4 * (n + other_n)") & _masks_allow())
         .select(F.least("rid", "other_rid").alias("a"), F.greatest("rid", "other_rid").alias("b"))
         .distinct()
     )
@@ -286,7 +299,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     lists = lists.join(components(links), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     unsettled = written(_unsettled(written(lists, "lists")), "unsettled")
     sets = _sets(docs, named.join(unsettled.select("rid"), "rid"), shingle, repeated)
-    pairs = written(_similar_sketches(written(_across(unsettled, nodes, sets), "pairs"), nodes), "similar")
+    pairs = written(_similar_sketches(written(_across(unsettled, sets), "pairs"), nodes), "similar")
     groups = components(links.unionByName(_confirm(pairs, sets, percent)))
 
     labelled = nodes.join(groups, "rid", "left").select("fp", F.coalesce("label", "rid").alias("label"), "doc_id")
