@@ -126,12 +126,14 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
     Of rows with one doc_id, source and size, those that come first by a hash of their text are taken most.
     """
-    same = Window.partitionBy("mix_id", "mix_source", "mix_size")
-    rows = docs.withColumns({"mix_id": F.col("doc_id"), "mix_source": F.col("source"), "mix_size": document_size(F.col("text"))}).withColumn("mix_row", F.row_number().over(same.orderBy(F.xxhash64("text"))))
-    picks = mix_sources(docs, weights, most).select(F.col("doc_id").alias("pick_id"), F.col("source").alias("pick_source"), F.col("size").alias("pick_size"), "copies")
-    picks = picks.withColumn("pick_row", F.row_number().over(Window.partitionBy("pick_id", "pick_source", "pick_size").orderBy(F.col("copies").desc()))).filter("copies > 0")
-    on = [F.col(f"mix_{c}").eqNullSafe(F.col(f"pick_{c}")) for c in ("id", "source", "size", "row")]
-    return rows.join(picks, on).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = ("id", "source", "size")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rows = docs.select(whole, F.col("doc_id").alias("id"), F.col("source").alias("source"), document_size(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"))
+    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy(*names).orderBy("hash")))
+    picks = mix_sources(docs, weights, most).select(F.col("doc_id").alias("id"), "source", "size", "copies")
+    picks = picks.withColumn("row", F.row_number().over(Window.partitionBy(*names).orderBy(F.col("copies").desc()))).filter("copies > 0")
+    picks = picks.select(*[F.col(c).alias(f"pick_{c}") for c in (*names, "row")], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return rows.join(picks, [F.col(c).eqNullSafe(F.col(f"pick_{c}")) for c in (*names, "row")]).select("whole.*")
 
 
 #: The same in one step per running sum.

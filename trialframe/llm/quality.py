@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
@@ -140,24 +140,23 @@ def _shard(start):
     return learn
 
 
-def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``docs`` with a column ``quality_score``: the probability, from 0 to 1, that a row's label is 1.
+def score_quality(docs: DataFrame, weights: np.ndarray) -> Column:
+    """A column for ``docs``: the probability, from 0 to 1, that a row's label is 1.
 
     Null and empty texts score by the bias alone. Every row is scored by its whole text. Nothing is shuffled;
     the weights that are sent to the executors have a fixed size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
-    @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w, bias = shared.value[:-1], float(shared.value[-1])
         for part in parts:
             yield pd.Series([_score(x, w, bias) for x in text_features(pa.array(part, pa.string()))], dtype=float)
 
-    return docs.withColumn("quality_score", score(F.col("text").cast("string")))
+    return F.pandas_udf(score, "double")(F.col("text").cast("string"))
 
 
-def held_out_rows(doc_id) -> F.Column:
+def held_out_rows(doc_id: str) -> Column:
     """Whether a row's label may not be learned: crc32 of the id's text is divisible by 5. Null ids may not."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
@@ -170,13 +169,11 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
     """
     known = labels.filter(~held_out_rows("doc_id")).select("doc_id", F.col("quality").alias("label"))
     docs = docs.select("doc_id", "text")
-    scored = score_quality(docs, train(docs, known))
-    return scored.select("doc_id", held_out_rows("doc_id").alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= threshold).cast("int").alias("predicted"))
+    scored = docs.select("doc_id", score_quality(docs, train(docs, known)).alias("score"))
+    return scored.select("doc_id", held_out_rows("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """``docs`` with all their columns, without those that score below ``threshold``."""
     known = labels.filter(~held_out_rows("doc_id")).select("doc_id", F.col("quality").alias("label"))
-    weights = train(docs.select("doc_id", "text"), known)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return score_quality(docs.select(*columns), weights).filter(F.col("quality_score") >= threshold).select(*columns)
+    return docs.filter(score_quality(docs, train(docs.select("doc_id", "text"), known)) >= threshold)
