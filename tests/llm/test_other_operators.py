@@ -86,8 +86,8 @@ def test_host_boilerplate_of_undecided_blocks(spark):
 def vectors(spark, seed=0, n=900, d=16):
     rng = np.random.default_rng(seed)
     rows = [(i, [float(x) for x in rng.normal(size=d)]) for i in range(n)]
-    rows += [(1000 + i, rows[3][1]) for i in range(30)]
-    odd = [(2000, None), (2020, [1.0, None]), (2040, [float("nan")] * d), (2060, [float("inf")] * d), (None, rows[0][1]), (2080, [0.0] * d), (2100, rows[5][1][:3]), (2120, []), (20, rows[20][1])]
+    rows += [(100_001 + i, rows[3][1]) for i in range(30)]
+    odd = [(202000, None), (202020, [1.0, None]), (202040, [float("nan")] * d), (202060, [float("inf")] * d), (None, rows[0][1]), (202080, [0.0] * d), (202100, rows[5][1][:3]), (202120, []), (20, rows[20][1])]
     return spark.createDataFrame(rows + odd, VECTORS).withColumn("vector", F.lit("clash")), rows + odd
 
 
@@ -138,7 +138,7 @@ def test_neighbours_found(spark):
             total += 20
             assert all(abs(s - product(v, exact[j])) < 1e-9 for _, j, s in own if j not in (20,))
     assert hit >= 0.9 * total
-    assert 2080 not in got and 2120 not in got
+    assert 202080 not in got and 202120 not in got
 
 
 def test_neighbours_of_few(spark):
