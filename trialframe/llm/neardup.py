@@ -6,7 +6,7 @@ of each sketch; inverted lists of these values generate candidates. The sketch o
 similarity and drops most of the others, and the full sets decide.
 
 No list is expanded into all of its pairs. Documents with equal sets are one node from the start. In each
-list the members are first compared with one pivot. A link inside a group changes nothing, so what is left to
+list the members are first compared with one pivot, and those that may yet have links with another. A link inside a group changes nothing, so what is left to
 find are links between members of a list that are in different groups; a bit mask of each sketch tells
 whether a member may have any. Those that may, mostly documents that hold a common passage, are listed anew
 by the rarest fifth of their full sets, which is exact, and only these lists are expanded, by what the
@@ -201,14 +201,17 @@ def _lists(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _against_pivots(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a member and its list's pivot; a list has one for each range of set sizes by a factor 1.5625."""
-    members = lists.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(1.5625))))
-    order = F.struct(F.xxhash64("rid", "value").alias("h"), "rid", "n")
+def _against_pivots(lists: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of a member and its list's pivot, if their groups differ.
+
+    A list has a pivot for each range of set sizes by a factor 1.5625, and others at each ``turn``.
+    """
+    members = lists.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(1.5625)) + F.lit(0.5 * turn)))
+    order = F.struct(F.xxhash64("rid", "value", F.lit(turn)).alias("h"), "rid", "n", "label")
     pivots = members.groupBy("value", "band").agg(F.min(order).alias("p"), F.count("*").alias("size")).filter("size > 1")
     return (
         members.join(pivots, ["value", "band"])
-        .filter("rid <> p.rid and 5 * least(n, p.n) >= 4 * greatest(n, p.n)")
+        .filter("label <> p.label and 5 * least(n, p.n) >= 4 * greatest(n, p.n)")
         .select(F.least("rid", "p.rid").alias("a"), F.greatest("rid", "p.rid").alias("b"))
         .distinct()
     )
@@ -292,13 +295,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     repeated = bool(signed.groupBy("doc_id").count().filter("count > 1").head(1))
     named = nodes.select("rid", "doc_id", "fp")
 
-    pairs = written(_similar_sketches(written(_against_pivots(lists), "pairs"), nodes), "similar")
+    pairs = written(_similar_sketches(written(_against_pivots(lists.withColumn("label", F.col("rid")), 0), "pairs"), nodes), "similar")
     compared = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
     links = written(_confirm(pairs, _sets(docs, named.join(compared, "rid"), shingle, repeated), percent), "links")
 
-    lists = lists.join(components(links), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    unsettled = written(_unsettled(written(lists, "lists")), "unsettled")
+    lists = written(lists.join(components(links), "rid", "left").withColumn("label", F.coalesce("label", "rid")), "lists")
+    unsettled = written(_unsettled(lists), "unsettled")
     sets = _sets(docs, named.join(unsettled.select("rid"), "rid"), shingle, repeated)
+    pairs = written(_similar_sketches(written(_against_pivots(lists.join(unsettled.select("rid"), "rid"), 1), "pairs"), nodes), "similar")
+    links = written(links.unionByName(_confirm(pairs, sets, percent)), "links")
+    unsettled = unsettled.drop("label").join(components(links), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     pairs = written(_similar_sketches(written(_across(unsettled, sets), "pairs"), nodes), "similar")
     groups = components(links.unionByName(_confirm(pairs, sets, percent)))
 
