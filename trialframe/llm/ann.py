@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import small_batches, written
 from .topk import best, matrix, usable
 
 #: Rows that the forest is fitted on at most; those of a leaf come to LEAF_ROWS, or more where fewer than
@@ -214,6 +214,7 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFrame
     which a result names the best; as a query, the least of its vectors counts. Other columns are not read.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     kind = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
     rows = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("vector"))
     rows = written(rows.filter(F.exists("vector", lambda x: x != 0)), "vectors")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import small_batches, written
 from .words import mix, shingle_sets
 
 #: Values kept of each set. A pair at similarity 0.8 shares fewer than SHARED of 64 with probability 1e-6.
@@ -286,6 +286,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """
     if percent < 80:
         raise ValueError("sketches are made for a similarity of 0.8 or more")
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(docs.mapInArrow(_sign(shingle), _SIGNED), "signed")
     nodes = signed.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mask").alias("mask"))

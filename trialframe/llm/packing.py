@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import small_batches, written
 from .words import Words, text_words, word_hashes
 
 #: Windows that a group of pieces fills.
@@ -25,7 +25,7 @@ GROUP_WINDOWS = 128
 #: Words that a worker remembers the ids of, at some 30 bytes a word.
 REMEMBERED = 3_000_000
 #: Bytes of text that are looked up together.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -213,6 +213,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = 4096) ->
     Null and empty texts are ``end`` alone. Repeated rows are documents of their own, as are rows with a
     null doc_id. Other columns are not read. Ids are made where the text is; only pieces are shuffled.
     """
+    small_batches(docs.sparkSession)
     pieces = written(document_pieces(docs, tokenizer, end, capacity).withColumn("piece", F.monotonically_increasing_id()), "pieces")
     short = pieces.filter(F.col("length") < capacity)
     total = short.agg(F.sum("length")).first()[0] or 0

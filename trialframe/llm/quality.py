@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import small_batches, written
 from .words import Words, joined, mix, text_words, word_hashes
 
 BITS = 18
@@ -105,6 +105,7 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     whole text of those documents. Null labels and ids are skipped; a doc_id with several labels takes the
     least. Without any row all weights are 0.
     """
+    small_batches(docs.sparkSession)
     clean = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("label").cast("int").alias("label")).filter("label_id is not null and label in (0, 1)")
     sample = clean.groupBy("label_id").agg(F.min("label").alias("label")).withColumn("turn", F.xxhash64("label_id")).orderBy("turn", "label_id").limit(SAMPLE_ROWS)
     # at most SAMPLE_ROWS narrow rows

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import small_batches
+
 #: The strong kinds. A match that is too short is dropped, after it was consumed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -120,6 +122,8 @@ def find_secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
     columns are not read. No row is shuffled.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf(_FOUND)
     def scan(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
@@ -140,6 +144,8 @@ def without_secrets(docs: DataFrame, reach: int = 200, mark: str = "[SECRET]") -
     ``n_chars``, where there is such a column, follows. Null texts stay null; no row is dropped.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:

@@ -24,6 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Has the session exchange at most ``size`` with Python at once, unless it was set otherwise.
+
+    Texts are long, and with the 64 MB of the default each worker would hold several times as much.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, size)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

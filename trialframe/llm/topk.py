@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import small_batches, written
 
 #: Candidates of a block, and queries that are streamed past it in one task.
 BLOCK_ROWS = 4096
@@ -114,6 +114,7 @@ def exact_top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: i
     different lengths are filled up with 0. Rows that repeat a vec_id are candidates one by one; as a query,
     the least of its vectors counts. Scores beyond a long stop at its ends. Other columns are not read.
     """
+    small_batches(vectors.sparkSession)
     long = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
     rows = written(vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), long.alias("vector")), "vectors")
     queries = rows.filter(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))

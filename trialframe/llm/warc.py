@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import new_path
+from .store import new_path, small_batches
 
 #: The field lists of ARC record lines by version.
 ARC_FIELDS = {
@@ -296,6 +296,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     revisit one that has an id, and are responses if there is none. Other columns are not read.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     even = F.coalesce(F.pmod("page_id", F.lit(2)) == 0, F.lit(False))
     write_arc(pages.filter(even), f"{arc}/v1", 1)

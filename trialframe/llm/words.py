@@ -63,7 +63,7 @@ def _power(base: int, n: int) -> np.ndarray:
     return have
 
 
-def text_words(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[Words]:
+def text_words(column: pa.Array, most_bytes: int = 1 << 19) -> Iterator[Words]:
     """The words of a string column, a slice of rows of about ``most_bytes`` at a time; null is empty.
 
     A longer text is a slice of its own, whole.
