@@ -42,5 +42,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again; what reads it no longer depends on how it was made."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
