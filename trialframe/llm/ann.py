@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from .store import small_batches, written
 from .topk import best, matrix, usable
 
-#: Rows that the forest is fitted on at most; those of a leaf come to LEAF_ROWS, or more where fewer than
-#: LEAF_SAMPLE rows of the sample would be left in one.
+#: Rows that the forest is fitted on at most; trees, and leaves of each, of LEAF_ROWS rows or more. What a query
+#: visits does not depend on the size of the table; only the leaves grow.
 FIT_ROWS = 32_768
 TREES = 10
-LEAF_ROWS = 256
-LEAF_SAMPLE = 8
+LEAVES = 64
+LEAF_ROWS = 32
 #: Rows that the visited leaves of a query hold, over all trees: a share of all rows, and at least so many. The
 #: share is that high because near neighbours in 64 dimensions without further structure are hardly nearer
 #: than others; where data have structure, a lower one does.
@@ -198,7 +198,7 @@ def _ranked(k: int):
 
 def forest_over(sample: list[np.ndarray], width: int, reach: float, rows: int) -> list[Tree]:
     table = _extended(sample, width, reach)
-    leaf = max(LEAF_SAMPLE, LEAF_ROWS * len(table) / max(1, rows))
+    leaf = max(LEAF_ROWS * len(table) / max(1, rows), len(table) / LEAVES)
     return [grow(table, leaf, seed) for seed in range(TREES)]
 
 
