@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -433,7 +435,8 @@ def stream_job_status(spark, sf_dir):
     """Job status from a stream of events, read once to its end."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("event_id", F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stage"))
-    name = f"job_status_{abs(hash(sf_dir)) % 10**9}"
-    run = job_status(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+    path = f"{root}/job-status-{uuid.uuid4().hex}"
+    status = job_status(stream).writeStream.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/table"))
+    status.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/table")
