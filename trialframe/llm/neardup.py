@@ -181,6 +181,11 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("rid", "label")
 
 
+def _stars(groups: DataFrame) -> DataFrame:
+    """As few links (a, b) as hold the same groups together."""
+    return groups.filter("rid <> label").select(F.col("label").alias("a"), F.col("rid").alias("b"))
+
+
 def _lists(nodes: DataFrame) -> DataFrame:
     """(value, rid, n, misses, mask): the rarest values of each sketch that some other sketch holds too.
 
@@ -298,16 +303,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     pairs = written(_similar_sketches(written(_against_pivots(lists.withColumn("label", F.col("rid")), 0), "pairs"), nodes), "similar")
     compared = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    links = written(_confirm(pairs, _sets(docs, named.join(compared, "rid"), shingle, repeated), percent), "links")
+    groups = components(_confirm(pairs, _sets(docs, named.join(compared, "rid"), shingle, repeated), percent))
 
-    lists = written(lists.join(components(links), "rid", "left").withColumn("label", F.coalesce("label", "rid")), "lists")
+    lists = written(lists.join(groups, "rid", "left").withColumn("label", F.coalesce("label", "rid")), "lists")
     unsettled = written(_unsettled(lists), "unsettled")
     sets = _sets(docs, named.join(unsettled.select("rid"), "rid"), shingle, repeated)
     pairs = written(_similar_sketches(written(_against_pivots(lists.join(unsettled.select("rid"), "rid"), 1), "pairs"), nodes), "similar")
-    links = written(links.unionByName(_confirm(pairs, sets, percent)), "links")
-    unsettled = unsettled.drop("label").join(components(links), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    groups = components(_stars(groups).unionByName(_confirm(pairs, sets, percent)))
+    unsettled = unsettled.drop("label").join(groups, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     pairs = written(_similar_sketches(written(_across(unsettled, sets), "pairs"), nodes), "similar")
-    groups = components(links.unionByName(_confirm(pairs, sets, percent)))
+    groups = components(_stars(groups).unionByName(_confirm(pairs, sets, percent)))
 
     labelled = nodes.join(groups, "rid", "left").select("fp", F.coalesce("label", "rid").alias("label"), "doc_id")
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
