@@ -80,6 +80,36 @@ def test_host_boilerplate_of_undecided_blocks(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def words(name, n):
+    return " ".join(f"{name}{k}" for k in range(n))
+
+
+def page_texts(spark, rows):
+    return {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_copies_quotations_and_phrases_are_kept(spark):
+    own = lambda i: words(f"own{i}x", 40)
+    phrase, quoted, notice = words("phrase", 6), words("quoted", 15), words("notice", 12)
+    page = lambda i, more="": f"<div>{own(i)} {phrase} {own(i + 500)}{more}</div><div>{notice}</div>"
+    rows = [(i, f"http://h/{i}", page(i, f" {quoted} end{i}" if i in (3, 4) else "")) for i in range(12)]
+    rows += [(100 + i, f"http://h/7?id={i}", page(7)) for i in range(6)]  # equal pages
+    rows += [(200 + i, f"http://h/8/print{i}", f"<div>printed {i}</div>" + page(8)) for i in range(6)]  # nearly equal ones
+    rows += [(300 + i, "http://two/", f"<p>{own(900)}</p>") for i in range(2)]
+    got = page_texts(spark, rows)
+    for i in range(12):
+        assert got[i] == f"{own(i)} {phrase} {own(i + 500)}" + (f" {quoted} end{i}" if i in (3, 4) else "")
+    for i in range(6):
+        assert got[100 + i] == got[7] and got[200 + i] == f"printed {i}\n\n{got[8]}"
+    assert got[300] == got[301] == own(900)
+
+
+def test_marks_of_the_layout():
+    page = "<div class='content has-sidebar'><article><p>text</p></article><div class='sidebar'>side</div></div>"
+    assert [(b.role, b.text) for b in page_blocks(page)] == [("main", "text"), ("boiler", "side")]
+    assert [b.role for b in page_blocks("<div class='no-nav'>x</div><form id=page><main>y</main>z</form>")] == ["open", "main", "boiler"]
+
+
 # --- vectors --------------------------------------------------------------------------------------------------
 
 
