@@ -88,6 +88,16 @@ def page_texts(spark, rows):
     return {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
 
+def test_host_runs_decide_beside_an_article(spark):
+    notice = words("notice", 14)
+    rows = [(i, f"http://h/{i}", f"<div>{words(f'lead{i}x', 12)}</div><article><p>{words(f'art{i}x', 30)}</p></article><div>{notice}</div>") for i in range(5)]
+    rows += [(10, "http://alone/", "<article>text</article><div>beside it</div>")]
+    got = page_texts(spark, rows)
+    for i in range(5):
+        assert got[i] == f"{words(f'lead{i}x', 12)}\n\n{words(f'art{i}x', 30)}"
+    assert got[10] == "text"  # a host of one page tells nothing
+
+
 def test_copies_quotations_and_phrases_are_kept(spark):
     own = lambda i: words(f"own{i}x", 40)
     phrase, quoted, notice = words("phrase", 6), words("quoted", 15), words("notice", 12)
