@@ -91,6 +91,13 @@ def segment_lines(spark, sf_dir):
     return items.groupBy("protocol_id").agg(F.count("*").alias("fragments"), F.sum(F.length("source")).alias("chars"))
 
 
+@_query
+def segment_documents(spark, sf_dir):
+    """The same over all documents, with headings, bullets, labelled fields and semicolons; tests hold it against fragments found by hand."""
+    docs = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("protocol_id"), F.lit("v1").alias("source_version"), F.col("text").alias("protocol_text"))
+    return segment(docs).groupBy("protocol_id").agg(F.count("*").alias("fragments"), F.sum(F.length("source")).alias("chars"))
+
+
 @_query
 def segment_fragments(spark, sf_dir):
     return segment(T.protocols(spark, sf_dir)).select("protocol_id", "criterion_type", "source", "source_id", "parent_source_index", "fragment_no", "item_no")
