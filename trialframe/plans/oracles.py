@@ -141,6 +141,9 @@ select doc_id, 'sha256:' || sha256(text) as hash, 'DOC-' || substr(sha256(text),
         "retry_actions": """
 with a as (select user_id as trial_id, event_type = 'error' as failed, event_type = 'error' and event_id % 23 = 0 as terminal from events where event_id % 10 = user_id % 10),
 g as (select trial_id, count(*) filter (where failed) as failures, bool_or(terminal) as terminal from a group by trial_id)
+select trial_id, failures, case when failures = 0 then 'done' when terminal or failures > 2 then 'stop' else 'retry' end as next_action from g""",
+        "retry_actions_all": """
+with g as (select user_id * 20 + event_id % 20 as trial_id, count(*) filter (where event_type = 'error') as failures, bool_or(event_type = 'error' and event_id % 23 = 0) as terminal from events group by 1)
 select trial_id, failures, case when failures = 0 then 'done' when terminal or failures > 2 then 'stop' else 'retry' end as next_action from g""",
         "job_latest_status": "select user_id as job_id, arg_max(event_type, (ts, event_id)) as stage, count(*) as events from events group by user_id",
         "recent_jobs": "select user_id as job_id from events group by user_id order by max(ts) desc, user_id limit 100",
