@@ -203,6 +203,20 @@ def test_recall_on_the_table(spark):
     assert hit >= 0.9 * 20 * len(got)
 
 
+def test_recall_with_uneven_norms(spark):
+    rng = np.random.default_rng(7)
+    table = (rng.normal(size=(4000, 64)) * rng.lognormal(0, 1, size=(4000, 1))).astype(np.float32).astype(float)
+    got = {}
+    for r in nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(table)], VECTORS)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for i, own in got.items():
+        scores = table @ table[i]
+        scores[i] = -np.inf
+        hit += len(own & set(np.argsort(-scores)[:20].tolist()))
+    assert len(got) == 200 and hit >= 0.9 * 20 * len(got), hit / 20 / len(got)
+
+
 # --- conversations --------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,8 @@ trees through one priority queue, the nearest side of a split first, until it ha
 and visits meet in a join, and the rows of a leaf are ranked by their exact inner products.
 
 Inner products become angles: a row of norm r gets one more component sqrt(R * R - r * r), where R is the
-largest norm, and a query gets 0.
+largest norm, and a query, scaled to the norm R too, gets 0. How many leaves the queries visit is raised where
+rows of the sample, searched for each other, do not find enough of their true neighbours.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ LEAF_ROWS = 32
 #: than others; where data have structure, a lower one does.
 VISIT_SHARE = 0.9
 VISIT_ROWS = 2048
+#: Recall that rows of the sample must reach among each other, and how many of them are searched for.
+RECALL = 0.92
+PROBES = 128
 #: Rows of a leaf that one task holds.
 HELD_ROWS = 4096
 
@@ -112,16 +116,26 @@ def visits(forest: list[Tree], query: np.ndarray, leaves: int) -> list[tuple[int
     return out
 
 
-def _extended(vectors: list[np.ndarray], width: int, reach: float | None) -> np.ndarray:
-    """Rows filled up to ``width`` with one more component; that of queries (no ``reach``) is 0."""
+def _extended(vectors: list[np.ndarray], width: int, reach: float) -> np.ndarray:
+    """Rows filled up to ``width`` with one more component."""
     out = np.zeros((len(vectors), width + 1))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
-    if reach is not None:
+    if len(out):
         out[:, width] = np.sqrt(np.maximum(0.0, reach * reach - np.einsum("ij,ij->i", out, out)))
     return out
 
 
+def _aimed(vectors: list[np.ndarray], width: int, reach: float) -> np.ndarray:
+    """Queries scaled to the norm ``reach``, so that they lie on the sphere of the rows; the component added is 0."""
+    out = np.zeros((len(vectors), width + 1))
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = v
+    largest = np.abs(out).max(axis=1, keepdims=True)
+    out /= largest
+    return out * (reach / np.linalg.norm(out, axis=1, keepdims=True))
+
+
 def _vectors(column: pa.ListArray) -> list[np.ndarray]:
     offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -137,12 +151,12 @@ def _placed(shared, width: int, reach: float):
     return run
 
 
-def _visited(shared, width: int, leaves: int):
+def _visited(shared, width: int, reach: float, leaves: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                rows = _extended(_vectors(part.column("vector")), width, None)
+                rows = _aimed(_vectors(part.column("vector")), width, reach)
                 found = [(i, tree, leaf) for i, row in enumerate(rows) for tree, leaf in visits(shared.value, row, leaves)]
                 at, trees, names = (np.array(x, np.int64) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(trees.astype(np.int32)), pa.array(names), part.column("vec_id").take(pa.array(at)), part.column("vector").take(pa.array(at))], names=["tree", "leaf", "vec_id", "vector"])
@@ -202,6 +216,26 @@ def forest_over(sample: list[np.ndarray], width: int, reach: float, rows: int) -
     return [grow(table, leaf, seed) for seed in range(TREES)]
 
 
+def leaves_for(forest: list[Tree], sample: list[np.ndarray], width: int, reach: float, k: int) -> int:
+    """How many leaves rows of the ``sample`` must visit to find RECALL of their ``k`` nearest others in it."""
+    if len(sample) < 2:
+        return 0
+    table = _extended(sample, width, reach)
+    probes = np.linspace(0, len(sample) - 1, min(PROBES, len(sample))).astype(np.int64)
+    places = np.stack([leaf_of(tree, table) for tree in forest])
+    total = sum(t.leaves for t in forest)
+    aimed, needed = _aimed([sample[i] for i in probes], width, reach), []
+    for i, query in zip(probes, aimed, strict=True):
+        scores = table[:, :width] @ query[:width]
+        scores[i] = -np.inf
+        top = np.argpartition(-scores, min(k, len(sample) - 1) - 1)[: min(k, len(sample) - 1)]
+        at = [np.zeros(t.leaves, np.int64) for t in forest]
+        for n, (tree, leaf) in enumerate(visits(forest, query, total), 1):
+            at[tree][leaf] = n
+        needed.append(np.min([own[leaves[top]] for own, leaves in zip(at, places, strict=True)], axis=0))
+    return int(np.quantile(np.concatenate(needed), RECALL, method="higher"))
+
+
 def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the ``k`` largest inner products found, in double precision.
 
@@ -222,17 +256,18 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFrame
     facts = rows.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width"), F.max(norm).alias("reach")).first()
     n, width, reach = facts["n"], facts["width"] or 0, facts["reach"] or 0.0
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("vector").toArrow()  # at most FIT_ROWS
-    forest = forest_over(_vectors(sample.column("vector").combine_chunks()) if n else [], width, reach, n)
+    sample = _vectors(sample.column("vector").combine_chunks()) if n else []
+    forest = forest_over(sample, width, reach, n)
     shared = spark.sparkContext.broadcast(forest)
     leaves = sum(t.leaves for t in forest)
     # a leaf holds n * TREES / leaves rows; trees overlap
-    wanted = max(TREES, -(-int(max(VISIT_ROWS, VISIT_SHARE * n) * leaves) // max(1, n * TREES)))
+    wanted = max(TREES, -(-int(max(VISIT_ROWS, VISIT_SHARE * n) * leaves) // max(1, n * TREES)), leaves_for(forest, sample, width, reach, k))
 
     queries = rows.filter(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     schema = f"tree int, leaf bigint, vec_id bigint, vector array<{kind}>"
     placed = written(rows.mapInArrow(_placed(shared, width, reach), schema), "placed")
     parts = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / F.lit(HELD_ROWS)).cast("int").alias("parts"))
-    visited = queries.mapInArrow(_visited(shared, width, wanted), schema)
+    visited = queries.mapInArrow(_visited(shared, width, reach, wanted), schema)
     held = placed.join(parts, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int")).withColumn("kind", F.lit(0)).drop("parts")
     passed = visited.join(parts, ["tree", "leaf"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("kind", F.lit(1)).drop("parts")
     found = (
