@@ -106,6 +106,15 @@ def test_near_duplicates_of_nothing(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and kept.columns[-2:] == ["n", "kept"]
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue cyan pink grey")
+    rows = [(1, a, "s"), (1, a, "s"), (None, a, "s"), (None, b, "s"), (None, b, "s"), (2, c, "s"), (1, c, "s"), (3, c, "s"), (4, a, "s"), (4, "quite another text of six words", "s"), (None, None, "s"), (None, "", "s"), (5, "", "s"), (5, "", "s")]
+    docs = documents(spark, rows).withColumn("ROW", F.lit("clash"))
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (None, b), (1, c), (4, "quite another text of six words"), (None, None), (None, ""), (5, "")], key=str)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r.rid: r.label for r in components(links).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}

@@ -34,7 +34,7 @@ RUN = 4096
 #: Bits of the filter that keeps texts which are not compared out of the shuffles.
 FILTER_BITS = 1 << 24
 
-_SIGNED = "doc_id bigint, fp binary, n int, sketch array<bigint>, mask array<bigint>"
+_SIGNED = "doc_id bigint, fp binary, n int, sketch array<bigint>, mask array<bigint>, row bigint"
 
 
 def _fingerprint(values: np.ndarray) -> bytes:
@@ -73,8 +73,8 @@ def _sign(shingle: int):
                 sketches.append(values[:SKETCH].copy())
                 masks.append(_mask(sketches[-1]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), _arrays(sketches, pa.list_(pa.int64())), _arrays(masks, pa.list_(pa.int64()))],
-                names=["doc_id", "fp", "n", "sketch", "mask"],
+                [batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), _arrays(sketches, pa.list_(pa.int64())), _arrays(masks, pa.list_(pa.int64())), batch.column("row")],
+                names=["doc_id", "fp", "n", "sketch", "mask", "row"],
             )
 
     return run
@@ -276,23 +276,12 @@ def _across(unsettled: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Groups of near-duplicate documents: (doc_id, n_shingles, component_id, kept).
-
-    Two documents are linked if 100 * intersection >= percent * union of their sets of distinct
-    ``shingle``-word shingles (A-Z lower-cased; a shorter text is one shingle). ``component_id`` is the
-    smallest doc_id that links reach, ``kept`` marks that document. ``percent`` must be at least 80, for
-    which the sketches are made.
-
-    Null and empty texts and texts of spaces have an empty set and are linked with nothing. Rows that repeat
-    a doc_id keep a row each: with the same text they are one document and both kept, with other texts they
-    are grouped by text. A null doc_id counts only in a group that has no other; it is kept there. Columns
-    other than doc_id and text are not read.
-    """
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs`` (doc_id, text, row) each row's sketch, and (fp, label, component_id) of each set: its group, and the least doc_id of that."""
     if percent < 80:
         raise ValueError("sketches are made for a similarity of 0.8 or more")
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "row")
     signed = written(docs.mapInArrow(_sign(shingle), _SIGNED), "signed")
     nodes = signed.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mask").alias("mask"))
     nodes = written(nodes.withColumn("rid", F.monotonically_increasing_id()), "nodes")
@@ -316,13 +305,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     labelled = nodes.join(groups, "rid", "left").select("fp", F.coalesce("label", "rid").alias("label"), "doc_id")
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_print = labelled.join(least, "label").select("fp", "component_id")
+    return signed, labelled.join(least, "label").select("fp", "label", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """Groups of near-duplicate documents: (doc_id, n_shingles, component_id, kept).
+
+    Two documents are linked if 100 * intersection >= percent * union of their sets of distinct
+    ``shingle``-word shingles (A-Z lower-cased; a shorter text is one shingle). ``component_id`` is the
+    smallest doc_id that links reach, ``kept`` marks that document. ``percent`` must be at least 80, for
+    which the sketches are made.
+
+    Null and empty texts and texts of spaces have an empty set and are linked with nothing. Rows that repeat
+    a doc_id keep a row each: with the same text they are one document and both kept, with other texts they
+    are grouped by text. A null doc_id counts only in a group that has no other; it is kept there. Columns
+    other than doc_id and text are not read.
+    """
+    signed, of_print = _grouped(docs.select("doc_id", "text", F.lit(None).cast("long").alias("row")), shingle, percent)
     empty = signed.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     full = signed.filter("n > 0").join(of_print, "fp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with all their columns, one document of each near-duplicate group."""
-    kept = near_duplicates(docs, shingle, percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """``docs`` with all their columns, one row of each near-duplicate group: of its least doc_id, null being the last.
+
+    Texts without shingles are linked with nothing; of those, equal doc_ids count as one, null ones each.
+    """
+    row = "row"
+    while row.lower() in (c.lower() for c in docs.columns):
+        row += "_"
+    # written, so that a row has one number whenever it is read
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    signed, groups = _grouped(numbered.select("doc_id", "text", F.col(row).alias("row")), shingle, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("kept_row")
+    full = signed.filter("n > 0").select("fp", "doc_id", "row").join(groups, "fp").groupBy("label").agg(first).select("kept_row")
+    empty = signed.filter("n = 0").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")).alias("own")).agg(F.min("row").alias("kept_row")).select("kept_row")
+    return numbered.join(full.unionByName(empty), F.col(row) == F.col("kept_row"), "left_semi").drop(row)
