@@ -64,6 +64,18 @@ from lines where kind = 1"""),
 select trial_id, ord, lab || ' on two occasions' as entity, null::varchar as comparator, 'absent' as value, null::varchar as unit, 'categorical' as value_kind, null::double as lower_bound,
   null::boolean as lower_inclusive, null::double as upper_bound, null::boolean as upper_inclusive, null::varchar as interval, true as negated, 'history of' as temporal, 'HAS_NEGATION,HAS_TEMPORAL,HAS_MULTIPLIER' as relations
 from lines where kind = 3"""),
+        "parse_statements": lines_sql(f"""{_FRAGMENTS}
+, p as (
+  select f.*, l.lab, l.q, l.d, case when f.kind = 0 then '>=' when f.kind = 2 then '<' when f.kind = 5 then case f.fragment_no when 1 then '>' else '<=' end end as sign, case when f.fragment_no = 2 then l.q + 100 else l.q end as v
+  from f join lines l using (trial_id, ord))
+select trial_id, ord, fragment_no, case kind when 3 then lab || ' on two occasions' when 4 then source else upper(lab) end as entity, sign as comparator,
+  case kind when 1 then q || ' to ' || (q + 10) when 3 then 'absent' when 4 then 'present' else v::varchar end as value,
+  case when kind in (0, 5) then 'mg/dL' when kind = 1 then 'mmol/L' when kind = 2 then '%' end as unit, case when kind = 1 then 'interval' when kind in (3, 4) then 'categorical' else 'numerical' end as value_kind,
+  case when kind = 1 or sign in ('>=', '>') then q::double end as lower_bound, case when kind = 1 or sign = '>=' then true when sign = '>' then false end as lower_inclusive,
+  case when kind = 1 then (q + 10)::double when sign in ('<', '<=') then v::double end as upper_bound, case when kind = 1 or sign = '<=' then true when sign = '<' then false end as upper_inclusive,
+  case when kind = 1 then '[' || q || ', ' || (q + 10) || ']' when sign = '>=' then '[' || v || ', +inf)' when sign = '>' then '(' || v || ', +inf)' when sign = '<' then '(-inf, ' || v || ')' when sign = '<=' then '(-inf, ' || v || ']' end as interval,
+  kind = 3 as negated, case kind when 2 then 'within ' || d || ' days' when 3 then 'history of' when 4 then 'at least ' || q || ' weeks' end as temporal,
+  case kind when 1 then 'HAS_VALUE' when 2 then 'HAS_VALUE,HAS_TEMPORAL' when 3 then 'HAS_NEGATION,HAS_TEMPORAL,HAS_MULTIPLIER' when 4 then 'HAS_TEMPORAL' else 'HAS_VALUE' end as relations from p"""),
         "text_flags": lines_sql("""
 select trial_id, ord, kind = 3 as negated, case kind when 2 then 'within ' || d || ' days' when 3 then 'history of' when 4 then 'at least ' || q || ' weeks' end as temporal,
   case when kind = 3 then 'on two occasions' end as repetition from lines"""),

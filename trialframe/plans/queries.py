@@ -52,6 +52,13 @@ def parse_negations(spark, sf_dir):
     return parse(T.lines(spark, sf_dir).filter("kind = 3").select("trial_id", "ord", "criterion_type", F.col("statement").alias("source"))).select(*_PARSED, F.array_join("relations", ",").alias("relations"))
 
 
+@_query
+def parse_statements(spark, sf_dir):
+    """The fragments of all statements, of every kind."""
+    items = segment(T.protocols(spark, sf_dir)).select(F.col("protocol_id").alias("trial_id"), F.col("parent_source_index").alias("ord"), "fragment_no", "criterion_type", "source")
+    return parse(items).select(*_PARSED[:2], "fragment_no", *_PARSED[2:], F.array_join("relations", ",").alias("relations"))
+
+
 @_query
 def text_flags(spark, sf_dir):
     text = F.col("statement")
