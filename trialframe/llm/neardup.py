@@ -6,16 +6,17 @@ of each sketch; inverted lists of these values generate candidates. The sketch o
 similarity and drops most of the others, and the full sets decide.
 
 No list is expanded into all of its pairs. Documents with equal sets are one node from the start. In each
-list the members are first compared with one pivot, and those that may yet have links with another. A link inside a group changes nothing, so what is left to
-find are links between members of a list that are in different groups; a bit mask of each sketch tells
-whether a member may have any. Those that may, mostly documents that hold a common passage, are listed anew
-by the rarest fifth of their full sets, which is exact, and only these lists are expanded, by what the
-places of the shared values allow. The groups are those of all links.
+list the members are first compared with one pivot, and those that may yet have links with four others. A link
+inside a group changes nothing, so what is left to find are links between members of a list that are in different
+groups; a bit mask of each sketch tells whether a member may have any. Those that may, mostly documents that hold
+a common passage, are listed anew by the rarest fifth of their full sets, which is exact. There the likeliest pair
+of each two groups is compared first; what then still is in different groups, and may be similar by the places of
+the shared values and by masks of the full sets, is compared pair by pair. The groups are those of all links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,12 @@ from .words import mix, shingle_sets
 #: Values kept of each set. A pair at similarity 0.8 shares fewer than SHARED of 64 with probability 1e-6.
 SKETCH = 64
 SHARED = 36
+#: 64-bit words of the mask of a sketch, and of a full set.
+MASK_WORDS = 4
+FULL_MASK_WORDS = 16
+#: Turns of the pivots that members which may yet have links are compared with.
+MORE_PIVOTS = (1, 2, 3, 4)
+_FULL_MASK = [f"mask_{i}" for i in range(FULL_MASK_WORDS)]
 #: Members of a list that are sent to one task beside the set they are compared with.
 RUN = 4096
 
@@ -47,10 +54,10 @@ def _fingerprint(values: np.ndarray) -> bytes:
     return a.tobytes() + b.tobytes() + len(values).to_bytes(4, "little")
 
 
-def _mask(sketch: np.ndarray) -> np.ndarray:
-    """256 bits, of which each value of the sketch sets one."""
-    bits = np.zeros(256, bool)
-    bits[sketch & 255] = True
+def _mask(values: np.ndarray, words: int) -> np.ndarray:
+    """``words`` times 64 bits, of which each value sets one."""
+    bits = np.zeros(64 * words, bool)
+    bits[values & (64 * words - 1)] = True
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
@@ -71,7 +78,7 @@ def _sign(shingle: int):
                 prints.append(_fingerprint(values))
                 sizes.append(len(values))
                 sketches.append(values[:SKETCH].copy())
-                masks.append(_mask(sketches[-1]))
+                masks.append(_mask(sketches[-1], MASK_WORDS))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), _arrays(sketches, pa.list_(pa.int64())), _arrays(masks, pa.list_(pa.int64())), batch.column("row")],
                 names=["doc_id", "fp", "n", "sketch", "mask", "row"],
@@ -130,17 +137,20 @@ def _confirmed(percent: int):
     return run
 
 
-def _similar_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _similar_sketches(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose union sketch estimates enough similarity; exact while the sketches are whole sets."""
     left = nodes.select(F.col("rid").alias("a"), F.col("sketch").alias("sa"))
     right = nodes.select(F.col("rid").alias("b"), F.col("sketch").alias("sb"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u")))
+    common = F.size(F.array_intersect("sa", "sb"))
+    whole = (F.size("sa") < SKETCH) & (F.size("sb") < SKETCH)
+    exact = common * 100 >= (F.size("sa") + F.size("sb") - common) * percent
     return (
         pairs.join(left, "a")
         .join(right, "b")
         .select("a", "b", "sa", "sb", union.alias("u"))
-        .filter(both * SKETCH >= F.size("u") * SHARED)
+        .filter(F.when(whole, exact).otherwise(both * SKETCH >= F.size("u") * SHARED))
         .select("a", "b")
     )
 
@@ -206,30 +216,27 @@ def _lists(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _against_pivots(lists: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of a member and its list's pivot, if their groups differ.
+def _against_pivots(lists: DataFrame, turns: Sequence[int]) -> DataFrame:
+    """Pairs (a, b) of a member and a pivot of its list, if their groups differ.
 
-    A list has a pivot for each range of set sizes by a factor 1.5625, and others at each ``turn``.
+    A list has a pivot for each turn and each range of set sizes by a factor 1.5625. A node's rank is the same
+    in all lists, so lists that hold much the same nodes have one pivot, and a node meets it once.
     """
-    members = lists.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(1.5625)) + F.lit(0.5 * turn)))
-    order = F.struct(F.xxhash64("rid", "value", F.lit(turn)).alias("h"), "rid", "n", "label")
-    pivots = members.groupBy("value", "band").agg(F.min(order).alias("p"), F.count("*").alias("size")).filter("size > 1")
+    members = lists.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(1.5625)) + F.lit(0.5 * (turns[0] % 2))))
+    firsts = [F.min(F.struct(F.xxhash64("rid", F.lit(turn)).alias("h"), "rid", "n", "label")) for turn in turns]
+    pivots = members.groupBy("value", "band").agg(F.array_distinct(F.array(*firsts)).alias("ps"), F.count("*").alias("size")).filter("size > 1")
     return (
         members.join(pivots, ["value", "band"])
+        .withColumn("p", F.explode("ps"))
         .filter("label <> p.label and 5 * least(n, p.n) >= 4 * greatest(n, p.n)")
         .select(F.least("rid", "p.rid").alias("a"), F.greatest("rid", "p.rid").alias("b"))
         .distinct()
     )
 
 
-def _missing(x: str, y: str) -> Column:
+def _missing(x: Sequence[Column], y: Sequence[Column]) -> Column:
     """How many bits of mask ``x`` the mask ``y`` lacks."""
-    return sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(4)), F.lit(0))
-
-
-def _masks_allow() -> Column:
-    """Whether the masks of a row and the other allow as many shared values as a link needs."""
-    return (_missing("mask", "other_mask") <= F.col("misses")) & (_missing("other_mask", "mask") <= F.col("other_misses"))
+    return sum((F.bit_count(a.bitwiseAND(F.bitwise_not(b))) for a, b in zip(x, y, strict=True)), F.lit(0))
 
 
 def _unsettled(lists: DataFrame) -> DataFrame:
@@ -237,43 +244,64 @@ def _unsettled(lists: DataFrame) -> DataFrame:
     several = lists.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("value")
     left = lists.join(several, "value")
     other = left.select(F.col("value").alias("v"), *(F.col(c).alias(f"other_{c}") for c in ("n", "misses", "mask", "label")))
-    may = F.expr("label <> other_label and 5 * least(n, other_n) >= 4 * greatest(n, other_n)") & _masks_allow()
+    # linked sets of n and m values share at least 4/9 (n + m), so the one lacks at most (5 n - 4 m) / 9 of the other
+    mask, other_mask = ([F.col(c)[i] for i in range(MASK_WORDS)] for c in ("mask", "other_mask"))
+    whole = F.greatest("n", "other_n") <= SKETCH
+    most = F.when(whole, F.expr("5 * n - 4 * other_n")).otherwise(9 * F.col("misses"))
+    other_most = F.when(whole, F.expr("5 * other_n - 4 * n")).otherwise(9 * F.col("other_misses"))
+    may = F.expr("label <> other_label and 5 * least(n, other_n) >= 4 * greatest(n, other_n)") & (_missing(mask, other_mask) * 9 <= most) & (_missing(other_mask, mask) * 9 <= other_most)
     return left.join(other, (F.col("value") == F.col("v")) & may, "left_semi").select("rid", "n", "misses", "mask", "label").dropDuplicates(["rid"])
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.frombuffer(x, np.int64) for x in batch.column("members").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), _arrays(sets, pa.list_(pa.int64()))], names=["rid", "members"])
+        masks = [_mask(x, FULL_MASK_WORDS) for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), _arrays(sets, pa.list_(pa.int64())), _arrays(masks, pa.list_(pa.int64()))], names=["rid", "members", "full_mask"])
 
 
-def _across(unsettled: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of unsettled nodes in different groups that may be similar, from lists of their full sets.
+def _deep_lists(unsettled: DataFrame, sets: DataFrame) -> DataFrame:
+    """(value, rid, n, place, masks): unsettled nodes by the rarest values of their full sets.
 
-    Of each set the n - ceil(0.8 n) + 1 rarest values are listed. Sets of n <= m values share at least 4/9
-    (n + m), so 8/9 n, of them: the smaller set's value is then among its n - ceil(8/9 n) + 1 rarest, and
-    enough values follow the first shared one in both.
+    Of each set the n - ceil(0.8 n) + 1 rarest values are listed; ``place`` counts from the rarest.
     """
-    values = sets.mapInArrow(_members, "rid bigint, members array<bigint>").select("rid", F.explode("members").alias("value"))
+    read = sets.mapInArrow(_members, "rid bigint, members array<bigint>, full_mask array<bigint>")
+    values = read.select("rid", F.explode("members").alias("value"))
     often = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     by_rid = Window.partitionBy("rid")
     ranked = values.join(often, "value").withColumns({"rank": F.row_number().over(by_rid.orderBy("df", "value")), "shared": F.count("*").over(by_rid)})
     listed = (
-        ranked.join(unsettled, "rid")
+        ranked.join(unsettled.select("rid", "n"), "rid")
         .withColumn("place", F.expr("n - shared + rank"))
         .filter("place <= n - ceil(n * 4 / 5) + 1")
-        .select("value", "rid", "n", "misses", "mask", "label", "place")
+        .join(read.select("rid", *(F.col("full_mask")[i].alias(c) for i, c in enumerate(_FULL_MASK))), "rid")
+        .select("value", "rid", "n", "place", *_FULL_MASK)
     )
-    listed = written(listed, "deep")
-    right = listed.select("value", *(F.col(c).alias(f"other_{c}") for c in ("rid", "n", "misses", "mask", "label", "place")))
-    return (
+    return written(listed, "deep")
+
+
+def _across(listed: DataFrame, groups: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) of listed nodes in different groups that may be similar; with ``best`` the likeliest one of each two groups.
+
+    Sets of n <= m values share at least 4/9 (n + m), so 8/9 n, of them: the smaller set's value is then among
+    its n - ceil(8/9 n) + 1 rarest, and enough values follow the first shared one in both. Masks of the full sets
+    drop most pairs before they are formed: of n values a linked set lacks at most (5 n - 4 m) / 9.
+    """
+    listed = listed.join(groups, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    right = listed.select("value", *(F.col(c).alias(f"other_{c}") for c in ("rid", "n", "label", "place", *_FULL_MASK)))
+    lacks = _missing([F.col(c) for c in _FULL_MASK], [F.col(f"other_{c}") for c in _FULL_MASK]) * 9
+    may_lack = F.expr("5 * n - 4 * other_n")
+    found = (
         listed.filter("place <= n - ceil(8 * n / 9) + 1")
         .join(right, "value")
         .filter("label <> other_label and 5 * n >= 4 * other_n and (n < other_n or n = other_n and rid < other_rid)")
-        .filter(F.expr("9 * (1 + least(n - place, other_n - other_place)) >= 4 * (n + other_n)") & _masks_allow())
-        .select(F.least("rid", "other_rid").alias("a"), F.greatest("rid", "other_rid").alias("b"))
-        .distinct()
+        .filter(F.expr("9 * (1 + least(n - place, other_n - other_place)) >= 4 * (n + other_n)") & (lacks <= may_lack))
     )
+    pair = (F.least("rid", "other_rid").alias("a"), F.greatest("rid", "other_rid").alias("b"))
+    if not best:
+        return found.select(*pair).distinct()
+    likeliest = F.min(F.struct(((lacks - may_lack) / F.col("n")).alias("over"), *pair)).alias("p")
+    return found.groupBy(F.least("label", "other_label"), F.greatest("label", "other_label")).agg(likeliest).select("p.a", "p.b").distinct()
 
 
 def _grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -290,18 +318,19 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
     repeated = bool(signed.groupBy("doc_id").count().filter("count > 1").head(1))
     named = nodes.select("rid", "doc_id", "fp")
 
-    pairs = written(_similar_sketches(written(_against_pivots(lists.withColumn("label", F.col("rid")), 0), "pairs"), nodes), "similar")
+    pairs = written(_similar_sketches(written(_against_pivots(lists.withColumn("label", F.col("rid")), [0]), "pairs"), nodes, percent), "similar")
     compared = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
     groups = components(_confirm(pairs, _sets(docs, named.join(compared, "rid"), shingle, repeated), percent))
 
     lists = written(lists.join(groups, "rid", "left").withColumn("label", F.coalesce("label", "rid")), "lists")
     unsettled = written(_unsettled(lists), "unsettled")
     sets = _sets(docs, named.join(unsettled.select("rid"), "rid"), shingle, repeated)
-    pairs = written(_similar_sketches(written(_against_pivots(lists.join(unsettled.select("rid"), "rid"), 1), "pairs"), nodes), "similar")
-    groups = components(_stars(groups).unionByName(_confirm(pairs, sets, percent)))
-    unsettled = unsettled.drop("label").join(groups, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    pairs = written(_similar_sketches(written(_across(unsettled, sets), "pairs"), nodes), "similar")
+    pairs = written(_similar_sketches(written(_against_pivots(lists.join(unsettled.select("rid"), "rid"), MORE_PIVOTS), "pairs"), nodes, percent), "similar")
     groups = components(_stars(groups).unionByName(_confirm(pairs, sets, percent)))
+    listed = _deep_lists(unsettled, sets)
+    for best in (True, False):  # most groups meet by their likeliest pair, which leaves few pairs to the second turn
+        pairs = written(_similar_sketches(written(_across(listed, groups, best), "pairs"), nodes, percent), "similar")
+        groups = components(_stars(groups).unionByName(_confirm(pairs, sets, percent)))
 
     labelled = nodes.join(groups, "rid", "left").select("fp", F.coalesce("label", "rid").alias("label"), "doc_id")
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
