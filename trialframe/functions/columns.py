@@ -14,8 +14,13 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(x: Column | str) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.btrim(col(x).cast("string"), F.lit(P.SPACE))
+
+
 def blank_to_null(x: Column | str) -> Column:
-    text = F.trim(col(x).cast("string"))
+    text = strip(x)
     return F.when(text != "", text)
 
 
@@ -23,14 +28,15 @@ def blank_to_null(x: Column | str) -> Column:
 
 
 def stable_id(prefix: str, *parts: Column | str) -> Column:
-    """``prefix`` and 16 hex digits of the hash of the trimmed parts; null, empty and 0 count as empty."""
-    texts = [F.when(col(p).cast("string") == "0", "").otherwise(F.coalesce(F.trim(col(p).cast("string")), F.lit(""))) for p in parts]
+    """``prefix`` and 16 hex digits of the hash of the stripped parts; null, empty and the number 0 count as empty."""
+    zero = lambda p: (F.typeof(col(p)) != "string") & (col(p).cast("string").try_cast("double") == 0)
+    texts = [F.when(zero(p), "").otherwise(F.coalesce(strip(p), F.lit(""))) for p in parts]
     return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(F.concat_ws("\x1f", *texts), 256), 1, 16))
 
 
 def nct_id(x: Column | str) -> Column:
     """A registry id in upper case, or null if it is none."""
-    text = F.upper(F.trim(col(x)))
+    text = F.upper(strip(x))
     return F.when(text.rlike(r"^NCT[0-9]{8}$"), text)
 
 
@@ -55,7 +61,7 @@ def text_version(text: Column | str) -> Column:
 
 def boolean_cell(x: Column | str) -> Column:
     """A sheet's yes/no cell; null for empty cells and for what is neither (see ``bad_boolean_cell``)."""
-    text = F.lower(F.trim(col(x).cast("string")))
+    text = F.lower(strip(x))
     return F.when(text.isin("true", "yes", "1"), True).when(text.isin("false", "no", "0"), False)
 
 
@@ -69,7 +75,8 @@ def optional_number(x: Column | str) -> Column:
 
 def confidence(x: Column | str) -> Column:
     """Clamped to 0..1; 0.5 if missing or no number."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), col(x).cast("string").try_cast("double"))), F.lit(0.5))
+    found = col(x).cast("string").try_cast("double")
+    return F.when(found.isNotNull() & ~F.isnan(found), F.greatest(F.lit(0.0), F.least(F.lit(1.0), found))).otherwise(0.5)
 
 
 # --- language -------------------------------------------------------------------------------------------------
@@ -96,24 +103,24 @@ def negated(text: Column | str) -> Column:
 def temporal(text: Column | str) -> Column:
     """All temporal phrases, pattern by pattern, each once; null if there are none."""
     found = [F.regexp_extract_all(col(text), F.lit(P.jvm(f"({p})")), F.lit(1)) for p in P.TEMPORAL]
-    joined = F.array_join(F.array_distinct(F.transform(F.concat(*found), lambda x: F.trim(x))), "; ")
+    joined = F.array_join(F.array_distinct(F.transform(F.concat(*found), strip)), "; ")
     return F.when(joined != "", joined)
 
 
 def repetition(text: Column | str) -> Column:
-    found = F.trim(F.regexp_extract(col(text), P.jvm(f"({P.REPETITION})"), 1))
+    found = strip(F.regexp_extract(col(text), P.jvm(f"({P.REPETITION})"), 1))
     return F.when(found != "", found)
 
 
 def number(text: Column | str) -> Column:
     """A number written in digits, with or without thousands commas, or as a word up to ten."""
     words = F.create_map(*[F.lit(v) for pair in P.NUMBER_WORDS.items() for v in (pair[0], float(pair[1]))])
-    plain = F.lower(F.trim(col(text)))
+    plain = F.lower(strip(text))
     return F.coalesce(words[plain], F.replace(plain, F.lit(","), F.lit("")).try_cast("double"))
 
 
 def comparator_symbol(phrase: Column | str) -> Column:
-    plain = F.trim(F.regexp_replace(F.lower(col(phrase)), r"\s+", " "))
+    plain = strip(F.regexp_replace(F.lower(col(phrase)), r"(?U)\s+", " "))
     return F.create_map(*[F.lit(x) for pair in P.WRITTEN_COMPARATORS.items() for x in pair])[plain]
 
 
@@ -133,9 +140,9 @@ def common_time_bounds(lower, lower_unit, upper, upper_unit) -> Column:
     """struct(lower, upper, unit): months and years on the scale of the lower bound."""
 
     def clean(unit) -> Column:
-        text = F.lower(F.trim(col(unit)))
+        text = F.lower(strip(unit))
         known = reduce(lambda c, k: c.when(text.startswith(k), f"{k}s"), ("month", "week", "day"), F.when(text.startswith("year"), "years"))
-        return F.when(text != "", known.otherwise(F.trim(col(unit))))
+        return F.when(text != "", known.otherwise(strip(unit)))
 
     low, high = clean(lower_unit), clean(upper_unit)
     scaled = F.when((low == "months") & (high == "years"), col(upper) * 12).when((low == "years") & (high == "months"), col(upper) / 12).otherwise(col(upper))
@@ -143,7 +150,7 @@ def common_time_bounds(lower, lower_unit, upper, upper_unit) -> Column:
 
 
 def tidy_unit(unit: Column | str) -> Column:
-    text = F.regexp_replace(F.trim(col(unit)), r"\s+", " ")
+    text = F.regexp_replace(strip(unit), r"(?U)\s+", " ")
     return F.when(text.rlike(P.jvm(r"upper\s+limit\s+of\s+normal|uln")), "x ULN").when(text != "", text)
 
 
@@ -172,13 +179,19 @@ def infer_domain(entity, source, compared, aliases: dict[str, str]) -> Column:
     """A clinical domain by the longest alias that entity and source mention, else by cue words."""
     text = F.lower(F.concat_ws(" ", F.coalesce(col(entity), F.lit("")), F.coalesce(col(source), F.lit(""))))
     known = [(a, d) for a, d in sorted(aliases.items(), key=lambda x: -len(x[0])) if d in P.DOMAINS]
-    rules = [(text.rlike(P.jvm(rf"(?<!\w)\Q{a}\E(?!\w)")), d) for a, d in known]
+    named = [(text.rlike(P.jvm(rf"(?<!\w)\Q{a}\E(?!\w)")), d) for a, d in known]
+    cues = []
     for pattern, domain in P.DOMAIN_CUES:
         seen = text.rlike(P.jvm(pattern))
-        rules.append((seen | F.coalesce(col(compared), F.lit(False)) if domain == "measurement" else seen, domain))
-    first, *rest = rules
-    return reduce(lambda c, rule: c.when(*rule), rest, F.when(*first)).otherwise("observation")
+        cues.append((seen | F.coalesce(col(compared), F.lit(False)) if domain == "measurement" else seen, domain))
+    chain = lambda rules: reduce(lambda c, rule: c.when(*rule), rules[1:], F.when(*rules[0]))
+    by_cue = chain(cues).otherwise("observation")
+    if not named:
+        return by_cue
+    # most texts have no alias, which one pattern tells
+    any_alias = text.rlike(P.jvm(r"(?<!\w)(?:" + "|".join(rf"\Q{a}\E" for a, _ in known) + r")(?!\w)"))
+    return F.when(any_alias, chain(named)).otherwise(by_cue)
 
 
 def missing(x: Column | str) -> Column:
-    return F.coalesce(F.trim(col(x).cast("string")), F.lit("")) == ""
+    return F.coalesce(strip(x), F.lit("")) == ""

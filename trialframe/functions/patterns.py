@@ -16,6 +16,9 @@ WRITTEN_COMPARATORS = {
     "less than": "<", "below": "<", "more than": ">", "greater than": ">", "above": ">",
 }
 
+# White space, whatever its kind.
+SPACE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 # Units and numbers, as parts of other patterns.
 _NUMBER = r"[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
 _PLAIN = r"\d+(?:\.\d+)?"
@@ -39,6 +42,50 @@ WRITTEN = (
 )
 WRITTEN_AFTER = rf"(?P<value>{_PLAIN}|{_WORD_NUMBER})\s+(?P<phrase>or\s+more|or\s+greater|or\s+fewer|or\s+less)\s+(?P<entity>[A-Za-z][A-Za-z0-9 /-]{{1,60}}?)(?=\s+(?:at|with|who|that|during|for|$)|[.,;()])"
 
+# How a compared or ranged measurement is named; for Python, case-insensitive unless said otherwise.
+NAME_TAIL = r"\s+(?:score|status|level|count)$"
+LABEL_BREAK = r"(?:[(:,;]|\b(?:and|or)\b)\s*"
+LABELS = (
+    r"(?:(?:systolic|diastolic|mean)\s+)?(?:bp|msdbp|mssbp|egfr|bmi|alt|ast)\s*$",
+    r"(?:[A-Za-z][A-Za-z0-9-]*\s+){0,2}(?:pressure|count|level|fraction|score|rate|clearance|saturation|platelets?|neutrophils?|troponin|bilirubin)\s*$",
+    r"(?-i:^[A-Z][A-Z0-9-]{1,12}$)",
+)
+LABEL_WORDS = 5
+AGED = r"\b(?:aged?|ages?)\b"
+AGED_START = r"^(?:aged?|ages?)\b"
+AGE_OF_YEARS = r"\b(?:age|aged|years?\s+(?:of\s+age|old))\b"
+UPPER_LIMIT = r"upper\s+limit\s+of\s+normal|uln"
+IN_WINDOW = r"\bwithin\s*$"
+LEAD_IN = r"^(?:must\s+have|patients?\s+with|participants?\s+with|history\s+of|no\s+history\s+of|without|exclude(?:d)?\s+)"
+
+# How a comparison that is written in words is named; for Python, case-insensitive.
+DURATION_NAMES = (
+    (("life expectancy",), "life expectancy"),
+    (("remission",), "remission duration"),
+    (("disease-free",), "disease-free duration"),
+    (("most recent", "stro"), "time since most recent stroke"),
+    (("implanted",), "time since implantation"),
+    (("completed",), "time since treatment completion"),
+    (("stable",), "{subject} stability duration"),
+    (("diagnosis",), "time since diagnosis"),
+    (("birth control",), "birth control duration"),
+    ((), "duration"),
+)
+STABLE = r"\bstable\b"
+STABLE_LINK = r"\b(?:must|should)\s+be\s*$|\b(?:is|are|be)\s*$"
+STABLE_LEADS = (r"^(?:(?:the|above)\s+)+", r"^(?:dosing\s+)?of\s+(?:the\s+)?(?:above\s+)?")
+CYCLES_OF = r"^of\s+([^.]*)"
+CYCLES_TAIL = r"\b(?:required|allowed)\s*$"
+COUNTED = r"^(?!(?:prior|after|before|since|ago|per)\b)(?:of\s+(?:the\s+)?)?([A-Za-z][A-Za-z0-9 /-]{1,50}?)(?=\s+(?:with|who|that|at|during|for|of)|[,.;:()]|$)"
+COUNTED_TAIL = r"\s+applies$"
+FAILURE_RATE = r"\bfailure rate\b"
+PERCENT_OF = r"^(?!(?:of|in|at|when|that|which|per)\b)([A-Za-z][A-Za-z -]{1,35}?)(?=\s+(?:of|in|at|when|that|which)|[,.;()]|$)"
+CLAUSE_TO = r"\bto\s*$"
+CLAUSE_LEAD = r".*\b(?:with|either|and|or|including|demonstrating|to)\s+"
+CLAUSE_LINK = r"\b(?:must\s+be|should\s+be|is|are|for)\s*$"
+CLAUSE_WORDS = 6
+UNNAMED = "explicit comparison"
+
 # Language of a statement; these are for Spark and Python alike.
 NEGATION = r"(?:^|[;:,.]\s*)(?:no(?!\s+more\s+than)|not|without|negative\s+for|absence\s+of|free\s+of|never)\b|\bno\s+(?:known\s+)?history\s+of\b"
 REPETITION = r"\b(?:on\s+)?(?:one|two|three|four|five|six|seven|eight|nine|ten|\d+)\s+(?:occasions?|times?|measurements?|visits?)\b"

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import missing
+from ..functions.columns import missing, strip
 
 
 def manifest_trials(entries: DataFrame) -> DataFrame:
     """(trial_id, pos) of the active entries (pos, trial_id, enabled, status), each trial at its first place."""
     placeholder = (~F.coalesce(F.col("enabled"), F.lit(True))) | F.upper(F.coalesce(F.col("status"), F.lit(""))).isin("TBD", "PLACEHOLDER")
     active = entries.filter(~(missing("trial_id") & placeholder))
-    return active.groupBy(F.upper(F.trim("trial_id")).alias("trial_id")).agg(F.min("pos").alias("pos"))
+    return active.groupBy(F.upper(strip("trial_id")).alias("trial_id")).agg(F.min("pos").alias("pos"))
 
 
 def blank_slots(entries: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def blank_slots(entries: DataFrame) -> DataFrame:
 
 def profile(entries: DataFrame) -> DataFrame:
     """Per cohort: slots, active ones, blank ones, distinct trials and repeated ones."""
-    ident = F.when(~missing("trial_id"), F.upper(F.trim("trial_id")))
+    ident = F.when(~missing("trial_id"), F.upper(strip("trial_id")))
     return entries.groupBy("cohort").agg(F.count("*").alias("slots"), F.count(ident).alias("active"), (F.count("*") - F.count(ident)).alias("blank"), F.count_distinct(ident).alias("trials"), (F.count(ident) - F.count_distinct(ident)).alias("repeated"))
 
 
@@ -60,9 +60,14 @@ def latest_status(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max_by(F.struct("ts", "stage", "seq"), F.struct("ts", "seq")).alias("e"), F.count("*").alias("events")).select("job_id", F.col("e.ts").alias("ts"), F.col("e.stage").alias("stage"), "events")
 
 
+#: What a list of jobs shows of each.
+SUMMARY = "job_id trial_id protocol_id source_version input_mode status stage progress created_at updated_at error".split()
+
+
 def recent_jobs(jobs: DataFrame, limit: int = 100) -> DataFrame:
-    """The most recently updated jobs; a top-k, without a full sort."""
-    return jobs.orderBy(F.col("updated_at").desc(), "job_id").limit(limit)
+    """The summaries of the most recently updated jobs, absent columns null; a top-k, without a full sort."""
+    shown = [F.col(c) if c in jobs.columns else F.lit(None).cast("string").alias(c) for c in SUMMARY]
+    return jobs.orderBy(F.col("updated_at").desc(), "job_id").limit(limit).select(*shown)
 
 
 def jobs_in_order(manifest: DataFrame, jobs: DataFrame) -> DataFrame:

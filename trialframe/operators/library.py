@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -41,7 +41,7 @@ def in_library_order(entries: DataFrame) -> DataFrame:
 
 
 def reset(entries: DataFrame) -> DataFrame:
-    """A reviewed part without rows."""
+    """A reviewed part without rows, to be written as the next snapshot; earlier ones and the base stay as they are."""
     return entries.limit(0)
 
 
@@ -131,19 +131,46 @@ def upgrade(entries: DataFrame, terminology: Terminology | None = None) -> DataF
     return validate(both.drop("attribute"))
 
 
+def _relation(lo: str, hi: str, other_lo: str, other_hi: str) -> Column:
+    lo, hi, other_lo, other_hi = map(F.col, (lo, hi, other_lo, other_hi))
+    return (
+        F.when((lo == other_lo) & (hi == other_hi), "equal")
+        .when((hi < other_lo) | (other_hi < lo), "disjoint")
+        .when((lo >= other_lo) & (hi <= other_hi), "subset")
+        .when((lo <= other_lo) & (hi >= other_hi), "superset")
+        .otherwise("overlap")
+    )
+
+
+def interval_counts(criteria: DataFrame) -> DataFrame:
+    """(entity, unit, lo, hi, other_lo, other_hi, relation, trial_pairs): how intervals of equal measurements relate.
+
+    A row is two distinct intervals (or one with itself) of a measurement, the lesser first, and the pairs of different
+    trials that hold the one and the other. Trials are counted before intervals meet, so a measurement that all
+    trials have makes as many rows as it has distinct intervals, squared, however many trials there are.
+    """
+    low, high = F.coalesce("lower_bound", F.lit(float("-inf"))), F.coalesce("upper_bound", F.lit(float("inf")))
+    own = criteria.filter("lower_bound is not null or upper_bound is not null").select("trial_id", "entity", F.coalesce("unit", F.lit("")).alias("unit"), low.alias("lo"), high.alias("hi")).distinct()
+    held = own.groupBy("entity", "unit", "lo", "hi").agg(F.count("*").alias("n"))
+    other = held.select(F.col("entity").alias("e"), F.col("unit").alias("u"), *[F.col(c).alias(f"other_{c}") for c in ("lo", "hi", "n")])
+    met = held.join(other, (F.col("entity") == F.col("e")) & (F.col("unit") == F.col("u"))).filter("lo < other_lo or lo = other_lo and hi <= other_hi")
+    # pairs of a trial with itself do not count
+    trial = own.groupBy("entity", "unit", "trial_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("xs")).filter("size(xs) > 1")
+    twice = trial.select("entity", "unit", F.posexplode("xs").alias("i", "x"), "xs").select("entity", "unit", "x", F.explode(F.slice("xs", F.col("i") + 2, F.size("xs"))).alias("y"))
+    twice = twice.groupBy("entity", "unit", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"), F.col("y.lo").alias("other_lo"), F.col("y.hi").alias("other_hi")).agg(F.count("*").alias("both"))
+    one = (F.col("lo") == F.col("other_lo")) & (F.col("hi") == F.col("other_hi"))
+    pairs = F.when(one, (F.col("n") * (F.col("n") - 1) / 2).cast("long")).otherwise(F.col("n") * F.col("other_n") - F.coalesce("both", F.lit(0)))
+    keys = ["entity", "unit", "lo", "hi", "other_lo", "other_hi"]
+    return met.join(twice, keys, "left").select(*keys, _relation("lo", "hi", "other_lo", "other_hi").alias("relation"), pairs.alias("trial_pairs")).filter("trial_pairs > 0")
+
+
 def interval_relations(criteria: DataFrame) -> DataFrame:
     """(entity, unit, trial_a, trial_b, relation): how the intervals of two trials' equal measurements relate.
 
-    Intervals are first reduced to distinct ones per trial; the join is on entity and unit.
+    Intervals are first reduced to distinct ones per trial; the join is on entity and unit. The output has a row for
+    each pair of trials: for measurements that many trials have, take ``interval_counts``.
     """
     low, high = F.coalesce("lower_bound", F.lit(float("-inf"))), F.coalesce("upper_bound", F.lit(float("inf")))
     own = criteria.filter("lower_bound is not null or upper_bound is not null").select("trial_id", "entity", F.coalesce("unit", F.lit("")).alias("unit"), low.alias("lo"), high.alias("hi")).distinct()
     other = own.select("entity", "unit", *[F.col(c).alias(f"other_{c}") for c in ("trial_id", "lo", "hi")])
-    relation = (
-        F.when((F.col("lo") == F.col("other_lo")) & (F.col("hi") == F.col("other_hi")), "equal")
-        .when((F.col("hi") < F.col("other_lo")) | (F.col("other_hi") < F.col("lo")), "disjoint")
-        .when((F.col("lo") >= F.col("other_lo")) & (F.col("hi") <= F.col("other_hi")), "subset")
-        .when((F.col("lo") <= F.col("other_lo")) & (F.col("hi") >= F.col("other_hi")), "superset")
-        .otherwise("overlap")
-    )
-    return own.join(other, ["entity", "unit"]).filter("trial_id < other_trial_id").select("entity", "unit", F.col("trial_id").alias("trial_a"), F.col("other_trial_id").alias("trial_b"), relation.alias("relation"))
+    return own.join(other, ["entity", "unit"]).filter("trial_id < other_trial_id").select("entity", "unit", F.col("trial_id").alias("trial_a"), F.col("other_trial_id").alias("trial_b"), _relation("lo", "hi", "other_lo", "other_hi").alias("relation"))

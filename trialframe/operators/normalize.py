@@ -10,48 +10,60 @@ from ..functions.terms import Terminology
 from .parse import constraints, parse
 from .validate import ISSUES, issue, issues, with_readiness
 
-_TEXT = ("criterion_type", "domain", "entity", "comparator", "value", "unit", "temporal", "repetition", "qualifier", "logical_operator", "extraction_confidence", "source")
+_TEXT = ("criterion_type", "domain", "entity", "comparator", "value", "unit", "temporal", "repetition", "qualifier", "logical_operator", "extraction_confidence")
 _NUMBERS = ("lower_bound", "upper_bound")
 _FLAGS = ("lower_inclusive", "upper_inclusive")
+_FIELDS = {**dict.fromkeys(_TEXT, "string"), **dict.fromkeys(_NUMBERS, "double"), **dict.fromkeys(_FLAGS, "boolean")}
+_ORDER = {"phase": "int", "item_no": "int", "seq": "bigint"}
+_PARENT = ("parent_statement_id", "parent_statement", "surrounding_context")
 
 
-def _proposal_columns(df: DataFrame) -> DataFrame:
-    """Every proposal column, as text, double or boolean; null where ``df`` has none."""
-    types = {**dict.fromkeys(_TEXT, "string"), **dict.fromkeys(_NUMBERS, "double"), **dict.fromkeys(_FLAGS, "boolean")}
-    return df.select("protocol_id", *[c for c in ("phase", "item_no", "seq") if c in df.columns], *[(F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in types.items()])
+def _row(**values: Column) -> Column:
+    """A struct of the order and all proposal fields; null where no value is given."""
+    return F.struct(*[values.get(c, F.lit(None)).cast(t).alias(c) for c, t in {**_ORDER, **_FIELDS}.items()])
+
+
+def _squeezed(value: Column) -> Column:
+    return F.lower(F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"(?U)\s+", ""))
+
+
+def _by_sentence(proposals: DataFrame, items: DataFrame) -> DataFrame:
+    """(protocol_id, source, last, rows): what becomes of each sentence of a protocol, and its last item.
+
+    Items and proposals meet in one grouping. Protocols share sentences, but the groups are those of one protocol.
+    """
+    given = {c: F.col(c) for c in _FIELDS if c in proposals.columns}
+    item = items.select("protocol_id", "source", F.struct("item_no", "criterion_type", *_PARENT).alias("item"), F.lit(None).alias("proposal"))
+    proposal = proposals.select("protocol_id", C.strip("source").alias("source"), F.lit(None).alias("item"), _row(phase=F.lit(0), item_no=F.lit(0), seq=F.col("ord"), **given).alias("proposal"))
+    met = item.unionByName(proposal).groupBy("protocol_id", "source").agg(F.array_sort(F.collect_list("item")).alias("items"), F.array_sort(F.collect_list("proposal")).alias("proposals"))
+    # a proposal that quotes no item was invented
+    met = met.filter(F.size("items") > 0).withColumn("written", constraints("source"))
+
+    first, last = F.get("items", F.lit(0)), F.element_at("items", -1)
+    of = lambda x: F.struct(x["comparator"], _squeezed(x["value"]))
+    proposed = F.transform("proposals", lambda p: p.withField("criterion_type", last["criterion_type"]))
+    known = F.transform(F.filter("proposals", lambda p: ~C.missing(p["comparator"])), of)
+    new = F.filter("written", lambda c, at: ~F.exists(known, lambda k: k == of(c)) & ~F.exists(F.slice("written", F.lit(1), at), lambda c1: of(c1) == of(c)))
+    constant = {"domain": F.lit("measurement"), "qualifier": F.lit("deterministically parsed written comparison"), "extraction_confidence": F.lit("1.0")}
+    written = F.transform(new, lambda c, at: _row(phase=F.lit(1), item_no=first["item_no"], seq=at, criterion_type=first["criterion_type"], **constant, **{x: c[x] for x in ("comparator", "value", "unit", "entity", "logical_operator")}))
+    bare = F.transform("items", lambda x: _row(phase=F.lit(1), item_no=x["item_no"], seq=F.lit(1 << 30), criterion_type=x["criterion_type"]))
+    unseen = F.when(F.size("proposals") == 0, bare).otherwise(F.slice(bare, 1, 0))
+    return met.select("protocol_id", "source", last.alias("last"), F.concat(proposed, written, unseen).alias("rows"))
 
 
 def reconcile(proposals: DataFrame, items: DataFrame) -> DataFrame:
     """Proposals that quote a source item, written constraints, and items that no proposal mentions.
 
-    ``proposals`` is (protocol_id, ord, ...), ``items`` what ``segment`` returns. All joins are on protocol_id and the
-    exact text, never on text alone, since protocols share sentences. Order is (phase, item_no, seq). A
-    sentence under both headings gives proposals its last item's type.
+    ``proposals`` is (protocol_id, ord, ...), ``items`` what ``segment`` returns. Sentences match by their exact
+    text within a protocol, never on text alone. Order is (phase, item_no, seq). A sentence under both headings
+    gives proposals its last item's type.
     """
-    for name in ("comparator", "value"):
-        if name not in proposals.columns:
-            proposals = proposals.withColumn(name, F.lit(None).cast("string"))
-    texts = items.groupBy("protocol_id", "source").agg(F.max_by("criterion_type", "item_no").alias("kind"), F.min_by("criterion_type", "item_no").alias("first_kind"), F.min("item_no").alias("item_no"))
-    proposed = proposals.withColumn("source", F.trim("source")).join(texts.select("protocol_id", "source", "kind"), ["protocol_id", "source"])
-    proposed = proposed.withColumn("criterion_type", F.col("kind")).withColumns({"phase": F.lit(0), "item_no": F.lit(0), "seq": F.col("ord").cast("long")})
-
-    written = texts.select("protocol_id", "item_no", F.col("first_kind").alias("criterion_type"), "source", F.posexplode(constraints("source")).alias("at", "c"))
-    written = written.select("protocol_id", "item_no", "criterion_type", "source", "at", *[F.col(f"c.{x}").alias(x) for x in ("comparator", "value", "unit", "entity", "logical_operator")])
-    squeezed = F.lower(F.regexp_replace(F.coalesce(F.col("value").cast("string"), F.lit("")), r"\s+", ""))
-    once = Window.partitionBy("protocol_id", "source", "comparator", "squeezed").orderBy("at")
-    written = written.withColumn("squeezed", squeezed).withColumn("n", F.row_number().over(once)).filter("n = 1")
-    known = proposed.filter(~C.missing("comparator")).select("protocol_id", "source", "comparator", squeezed.alias("squeezed")).distinct()
-    written = written.join(known, ["protocol_id", "source", "comparator", "squeezed"], "left_anti")
-    written = written.withColumns({"phase": F.lit(1), "seq": F.col("at").cast("long"), "domain": F.lit("measurement"), "qualifier": F.lit("deterministically parsed written comparison"), "extraction_confidence": F.lit("1.0")})
-
-    unseen = items.join(proposed.select("protocol_id", "source").distinct(), ["protocol_id", "source"], "left_anti")
-    unseen = unseen.select("protocol_id", "criterion_type", "source", F.lit(1).alias("phase"), "item_no", F.lit(1 << 30).cast("long").alias("seq"))
-    return _proposal_columns(proposed).unionByName(_proposal_columns(written)).unionByName(_proposal_columns(unseen))
+    return _by_sentence(proposals, items).select("protocol_id", "source", F.explode("rows").alias("r")).select("protocol_id", "source", "r.*")
 
 
 def signature() -> list[Column]:
     """The columns that make an atomic criterion distinct in its protocol; domain and logic are not among them."""
-    text = [F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))).alias(f"s_{c}") for c in ("entity", "value", "unit", "temporal", "repetition", "qualifier")]
+    text = [F.lower(C.strip(F.coalesce(F.col(c).cast("string"), F.lit("")))).alias(f"s_{c}") for c in ("entity", "value", "unit", "temporal", "repetition", "qualifier")]
     return [F.col("parent_statement_id"), F.col("criterion_type"), F.col("comparator"), F.col("lower_bound"), F.col("lower_inclusive"), F.col("upper_bound"), F.col("upper_inclusive"), F.coalesce(F.col("negated"), F.lit(False)), *text]
 
 
@@ -70,19 +82,17 @@ def drop_duplicates(rows: DataFrame) -> DataFrame:
 def normalize(proposals: DataFrame, items: DataFrame, protocols: DataFrame, terminology: Terminology | None = None) -> DataFrame:
     """Criteria of ``protocols`` from their source items and what was proposed for these.
 
-    The partition keys of every window start with protocol_id, so one shuffle by it can serve them; no group is
-    larger than a protocol. Atom indexes are contiguous in each parent statement, ids are hashes of content, and
-    reruns agree.
+    Items and proposals are shuffled once to meet, and what is parsed once, by protocol_id, with which the keys of all
+    windows begin; no group is larger than a protocol. Atom indexes are contiguous in each parent statement, ids are
+    hashes of content, and reruns agree.
     """
-    last = items.groupBy("protocol_id", "source").agg(F.max_by(F.struct("parent_statement_id", "parent_statement", "surrounding_context"), "item_no").alias("item"))
-    rows = reconcile(proposals, items)
-    many = F.count("*").over(Window.partitionBy("protocol_id", "source")) > 1
+    met = _by_sentence(proposals, items)
+    rows = met.select("protocol_id", "source", *[F.col(f"last.{c}").alias(c) for c in _PARENT], (F.size("rows") > 1).alias("many"), F.explode("rows").alias("r")).select("*", "r.*").drop("r")
     logic = F.lower(F.coalesce(F.col("logical_operator"), F.lit("standalone")))
     shared = F.when(C.says("source", r"\bor\b"), "or").otherwise("and")
-    rows = rows.withColumn("many", many).withColumn("logical_operator", F.when(F.col("many") & (logic == "standalone"), shared).otherwise(logic)).drop("many")
-    rows = rows.join(last, ["protocol_id", "source"]).select("*", F.col("item.parent_statement_id").alias("parent_statement_id"), F.col("item.parent_statement").alias("parent_statement"), F.col("item.surrounding_context").alias("surrounding_context")).drop("item")
+    rows = rows.withColumn("logical_operator", F.when(F.col("many") & (logic == "standalone"), shared).otherwise(logic)).drop("many")
     parsed = parse(rows.withColumn("extraction_confidence", C.confidence("extraction_confidence")), terminology)
-    return finish(drop_duplicates(parsed), protocols)
+    return finish(drop_duplicates(parsed.repartition("protocol_id")), protocols)
 
 
 def finish(rows: DataFrame, protocols: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,18 +11,24 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import patterns as P
 from ..functions.literals import memo, parse_criterion, written_constraints
-from ..functions.terms import Terminology, canonical_term
+from ..functions.terms import Terminology
 
 _PARSED = "struct<entity:string, comparator:string, value:string, unit:string, value_kind:string, lower_bound:double, lower_inclusive:boolean, upper_bound:double, upper_inclusive:boolean, negated:boolean, literal:boolean, compared:boolean>"
 _FIELDS = ("source", "entity", "comparator", "value", "unit", "lower_bound", "lower_inclusive", "upper_bound", "upper_inclusive")
 _WRITTEN = "array<struct<comparator:string, value:string, unit:string, entity:string, logical_operator:string>>"
 
 
-def _parsed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parse = memo(parse_criterion)
-    for part in parts:
-        rows = [parse(*(None if x is None or x != x else x for x in row)) for row in part[list(_FIELDS)].itertuples(index=False)]
-        yield pd.DataFrame(rows, columns=[x.split(":")[0] for x in _PARSED[7:-1].split(", ")]).astype(object).where(lambda f: f.notna(), None)
+def _parser(words: Terminology) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Parses batches, and gives entities their canonical names; texts and terms that repeat are read once."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name = memo(words.canonical)
+        parse = memo(lambda *given: (found := parse_criterion(*given)) | {"entity": name(found["entity"])})
+        for part in parts:
+            rows = [parse(*(None if x is None or x != x else x for x in row)) for row in part[list(_FIELDS)].itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=[x.split(":")[0] for x in _PARSED[7:-1].split(", ")]).astype(object).where(lambda f: f.notna(), None)
+
+    return run
 
 
 def _constraints(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -32,8 +38,8 @@ def _constraints(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def constraints(source: Column | str) -> Column:
-    """The comparisons that a text writes out in words, as an array of structs."""
-    return F.pandas_udf(_constraints, _WRITTEN)(C.col(source))
+    """The comparisons that a text writes out in words, as an array of structs; it runs once, whatever reads it."""
+    return F.pandas_udf(_constraints, _WRITTEN).asNondeterministic()(C.col(source))
 
 
 def parse(rows: DataFrame, terminology: Terminology | None = None) -> DataFrame:
@@ -51,13 +57,12 @@ def parse(rows: DataFrame, terminology: Terminology | None = None) -> DataFrame:
             rows = rows.withColumn(name, F.lit(None).cast(types.get(name, "string")))
     kept = [c for c in rows.columns if c not in {*proposed, "negated", "value_kind", "interval", "relations"}]
     given = F.struct(*[F.col(c).cast(types.get(c, "string")).alias(c) for c in _FIELDS])
-    found = rows.select(*kept, *[F.col(c).alias(f"given_{c}") for c in proposed], F.pandas_udf(_parsed, _PARSED)(given).alias("p"))
-    named = found.withColumn("entity", canonical_term("p.entity", words))
-    raw = F.trim(F.coalesce(F.col("given_source"), F.lit("")))
+    found = rows.select(*kept, *[F.col(c).alias(f"given_{c}") for c in proposed], F.pandas_udf(_parser(words), _PARSED)(given).alias("p"))
+    raw = C.strip(F.coalesce(F.col("given_source"), F.lit("")))
     text = C.grade_last(C.operators(raw))
     kind = F.lower(F.coalesce(F.col("given_criterion_type"), F.lit("inclusion")))
-    domain = F.lower(F.trim(F.col("given_domain")))
-    out = named.select(
+    domain = F.lower(C.strip("given_domain"))
+    out = found.withColumn("entity", F.col("p.entity")).select(
         *kept,
         kind.alias("criterion_type"),
         F.when(domain.isin(*P.DOMAINS), domain).otherwise(C.infer_domain("entity", raw, F.col("p.compared"), words.domains)).alias("domain"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -85,15 +85,15 @@ def reviewed_rows(reviewed: DataFrame, jobs: DataFrame) -> DataFrame:
     rows = reviewed.drop(*[c for c in own if c in reviewed.columns]).join(jobs.select("job_id", *own), "job_id")
     clean = {
         "criterion_type": F.lower(F.coalesce("criterion_type", F.lit(""))),
-        "domain": F.lower(F.trim(F.coalesce("domain", F.lit("")))),
-        "entity": F.trim(F.coalesce("entity", F.lit(""))),
-        "value": F.trim(F.coalesce("value", F.lit(""))),
+        "domain": F.lower(C.strip(F.coalesce("domain", F.lit("")))),
+        "entity": C.strip(F.coalesce("entity", F.lit(""))),
+        "value": C.strip(F.coalesce("value", F.lit(""))),
         "comparator": C.blank_to_null("comparator"),
         "unit": C.blank_to_null("unit"),
         "temporal": C.blank_to_null("temporal"),
         "repetition": C.blank_to_null("repetition"),
         "qualifier": C.blank_to_null("qualifier"),
-        "source": F.trim(F.coalesce("source", F.lit(""))),
+        "source": C.strip(F.coalesce("source", F.lit(""))),
         "logical_operator": F.lower(F.coalesce(C.blank_to_null("logical_operator"), F.lit("standalone"))),
         "negated": F.coalesce("negated", F.lit(False)),
         "lower_inclusive": F.when(F.col("lower_bound").isNotNull(), F.coalesce("lower_inclusive", F.lit(False))),
@@ -129,15 +129,31 @@ def reviewed_rows(reviewed: DataFrame, jobs: DataFrame) -> DataFrame:
     return rows.withColumn("reject_reasons", F.array_compact(F.array(*[F.when(bad, F.lit(name)) for bad, name in rules])))
 
 
+def _group_reasons() -> Column:
+    """Faults of a row's Boolean group, over the rows of its job and parent statement."""
+    group = Window.partitionBy("job_id", "parent_statement_id")
+    n = F.count("*").over(group)
+    spread = lambda c: (F.min(c).over(group), F.max(c).over(group))
+    (lo, hi), (first, last), (operator, other) = spread("parent_atom_count"), spread("atom_index"), spread("logical_operator")
+    members = (lo != n) | (hi != n) | (first != 1) | (last != n) | (F.size(F.collect_set("atom_index").over(group)) != n)
+    logic = (n > 1) & ((operator != other) | (operator == "standalone"))
+    return F.array_compact(F.array(F.when(members, F.lit("GROUP_MEMBERS")), F.when(logic, F.lit("GROUP_OPERATOR"))))
+
+
 def apply_review(reviewed: DataFrame, jobs: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted rows, rejects (job_id, reason)): a job is applied whole or not at all."""
+    """(accepted rows, rejects (job_id, reason)): a job is applied whole or not at all.
+
+    All checks are windows whose keys begin with job_id, so the rows are shuffled by it once; no group is larger
+    than a job.
+    """
     rows = reviewed_rows(reviewed, jobs)
+    job = Window.partitionBy("job_id")
+    ids = expected.groupBy("job_id").agg(F.array_sort(F.collect_set("row_id")).alias("expected_ids"))
     equal = F.count("*").over(Window.partitionBy("job_id", *signature())) > 1
-    row_faults = rows.withColumn("equal", equal).select("job_id", F.explode(F.concat("reject_reasons", F.when(F.col("equal"), F.array(F.lit("DUPLICATE"))).otherwise(F.array().cast("array<string>")))).alias("reason"))
-    groups = group_faults(rows)
-    group = groups.select("job_id", F.explode(F.array_compact(F.array(F.when(F.col("bad_members"), F.lit("GROUP_MEMBERS")), F.when(F.col("bad_operator"), F.lit("GROUP_OPERATOR"))))).alias("reason"))
-    wanted = expected.join(reviewed.select("job_id").distinct(), "job_id", "left_semi")
-    ids = id_differences(reviewed, wanted).select("job_id", F.lit("ROW_IDS").alias("reason"))
+    same_ids = F.array_sort(F.collect_set("row_id").over(job)) == F.col("expected_ids")
+    own = F.array_compact(F.array(F.when(equal, F.lit("DUPLICATE")), F.when(~F.coalesce(same_ids, F.lit(False)), F.lit("ROW_IDS"))))
+    judged = rows.join(ids, "job_id", "left").withColumn("reasons", F.concat("reject_reasons", own, _group_reasons()))
+    bad = F.max(F.size("reasons")).over(job)
+    accepted = judged.withColumn("bad", bad).filter("bad = 0").drop("bad", "reasons", "expected_ids")
     unknown = reviewed.select("job_id").distinct().join(jobs.select("job_id"), "job_id", "left_anti").select("job_id", F.lit("UNKNOWN_JOB").alias("reason"))
-    rejects = row_faults.unionByName(group).unionByName(ids).unionByName(unknown).distinct()
-    return rows.join(rejects.select("job_id").distinct(), "job_id", "left_anti"), rejects
+    return accepted, judged.select("job_id", F.explode("reasons").alias("reason")).unionByName(unknown).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.columns import stable_id
+from ..functions.columns import stable_id, strip
 
 _HEADING = re.compile(P.HEADING, re.IGNORECASE)
 _BULLET = re.compile(r"(?:[-*•]\s+|\d+[.)]\s+)(.*)", re.DOTALL)
@@ -73,10 +73,10 @@ def segment(protocols: DataFrame) -> DataFrame:
     parent_statement, parent_source_index, fragment_no, item_no, surrounding_context. Statements are split at
     semicolons. All of a protocol's work stays in its row until the rows are exploded; nothing is shuffled.
     """
-    found = F.pandas_udf(_all_statements, _STATEMENTS)(F.col("protocol_text"))
+    found = F.pandas_udf(_all_statements, _STATEMENTS).asNondeterministic()(F.col("protocol_text"))  # so that it runs once, whatever reads it
     listed = protocols.select("protocol_id", "source_version", found.alias("found"))
     # fragments of each statement, and how many came before it
-    fragments = F.transform("found", lambda s: F.filter(F.transform(F.split(s["source"], r"\s*;\s*"), lambda x: F.trim(x)), lambda x: x != ""))
+    fragments = F.transform("found", lambda s: F.filter(F.transform(F.split(s["source"], ";"), strip), lambda x: x != ""))
     listed = listed.withColumn("fragments", fragments)
     one = listed.select("protocol_id", "source_version", "found", "fragments", F.posexplode("found").alias("at", "s"))
     near = F.filter(F.transform(F.slice("found", F.greatest(F.col("at"), F.lit(1)), F.when(F.col("at") == 0, 2).otherwise(3)), lambda s: s["source"]), lambda x: x != "")

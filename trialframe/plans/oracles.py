@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.patterns import SPACE as _SPACE
 from .tables import CHECKED_SQL, lines_sql
 
 _ENTRIES = """
@@ -39,31 +40,40 @@ def _stable(prefix: str, *parts: str) -> str:
 
 _REVIEW = """
 , r as (
-  select order_key as job_id, trial_id, ord, part_key, criterion_type, upper(lab) as entity, q from lines where kind = 0),
+  select order_key as job_id, kind, part_key from lines),
 reasons as (
   select job_id, 'JOB_NOT_COMPLETED' as reason from r where job_id % 53 = 0
   union select job_id, 'NOT_REVIEWED' from r where part_key % 41 = 0
   union select job_id, 'DOMAIN' from r where part_key % 43 = 0
-  union select job_id, 'NOT_READY' from r where part_key % 41 = 0 or part_key % 47 = 0)
+  union select job_id, 'NOT_READY' from r where part_key % 41 = 0 or part_key % 47 = 0 and kind in (0, 5))
 """
 
 
+def _retries(trial: str) -> str:
+    return f"""
+with g as (select {trial} as trial_id, count(*) filter (where event_type = 'error') as failures, bool_or(event_type = 'error' and event_id % 23 = 0) as terminal from events group by 1)
+select trial_id, failures, case when failures = 0 then 'done' when terminal or failures > 2 then 'stop' else 'retry' end as next_action from g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    parsed = "trial_id, ord, upper(lab) as entity"
     return {
-        "parse_thresholds": lines_sql(f"""
-select {parsed}, case kind when 0 then '>=' else '<' end as comparator, q::varchar as value, case kind when 0 then 'mg/dL' else '%' end as unit, 'numerical' as value_kind,
-  case when kind = 0 then q::double end as lower_bound, case when kind = 0 then true end as lower_inclusive, case when kind = 2 then q::double end as upper_bound, case when kind = 2 then false end as upper_inclusive,
-  case kind when 0 then '[' || q || ', +inf)' else '(-inf, ' || q || ')' end as interval, false as negated, case when kind = 2 then 'within ' || d || ' days' end as temporal
-from lines where kind in (0, 2)"""),
-        "parse_ranges": lines_sql(f"""
-select {parsed}, null::varchar as comparator, q || ' to ' || (q + 10) as value, 'mmol/L' as unit, 'interval' as value_kind, q::double as lower_bound, true as lower_inclusive, (q + 10)::double as upper_bound,
-  true as upper_inclusive, '[' || q || ', ' || (q + 10) || ']' as interval, false as negated, null::varchar as temporal
-from lines where kind = 1"""),
+        "parse_thresholds": lines_sql("""
+, p as (select *, case kind when 0 then '>=' when 2 then '<' when 5 then '>' end as sign from lines)
+select trial_id, ord, case kind when 3 then lab || ' on two occasions' when 4 then statement else upper(lab) end as entity, sign as comparator, case kind when 1 then q || ' to ' || (q + 10) when 3 then 'absent' when 4 then 'present' else q::varchar end as value,
+  case when kind in (0, 5) then 'mg/dL' when kind = 1 then 'mmol/L' when kind = 2 then '%' end as unit, case when kind = 1 then 'interval' when kind in (3, 4) then 'categorical' else 'numerical' end as value_kind,
+  case when kind in (0, 1, 5) then q::double end as lower_bound, case when kind in (0, 1) then true when kind = 5 then false end as lower_inclusive, case kind when 1 then (q + 10)::double when 2 then q::double end as upper_bound,
+  case kind when 1 then true when 2 then false end as upper_inclusive, case kind when 0 then '[' || q || ', +inf)' when 1 then '[' || q || ', ' || (q + 10) || ']' when 2 then '(-inf, ' || q || ')' when 5 then '(' || q || ', +inf)' end as interval,
+  kind = 3 as negated, case kind when 2 then 'within ' || d || ' days' when 3 then 'history of' when 4 then 'more than ' || q || ' weeks' end as temporal from p"""),
+        "parse_ranges": lines_sql("""
+select trial_id, ord, upper(lab) as entity, case kind when 0 then '>=' when 2 then '<' when 4 then '<=' when 5 then '<=' end as comparator,
+  case kind when 1 then q || ' to ' || (q + 10) when 3 then 'absent' when 4 then (q + 100)::varchar when 5 then (q + 100)::varchar else q::varchar end as value,
+  case when kind in (0, 5) then 'mg/dL' when kind = 1 then 'mmol/L' when kind = 2 then '%' when kind = 4 then 'weeks' end as unit, case when kind in (1, 4) then 'interval' when kind = 3 then 'categorical' else 'numerical' end as value_kind,
+  case kind when 0 then '[' || q || ', +inf)' when 1 then '[' || q || ', ' || (q + 10) || ']' when 2 then '(-inf, ' || q || ')' when 3 then '(' || (q + 1) || ', +inf)' when 4 then '(' || (q + 1) || ', ' || (q + 100) || ']' else '(-inf, ' || (q + 100) || ']' end as interval
+from lines"""),
         "parse_negations": lines_sql("""
-select trial_id, ord, lab || ' on two occasions' as entity, null::varchar as comparator, 'absent' as value, null::varchar as unit, 'categorical' as value_kind, null::double as lower_bound,
-  null::boolean as lower_inclusive, null::double as upper_bound, null::boolean as upper_inclusive, null::varchar as interval, true as negated, 'history of' as temporal, 'HAS_NEGATION,HAS_TEMPORAL,HAS_MULTIPLIER' as relations
-from lines where kind = 3"""),
+select trial_id, ord, kind = 3 as negated, case kind when 2 then 'within ' || d || ' days' when 3 then 'history of' when 4 then 'more than ' || q || ' weeks' end as temporal, case when kind = 3 then 'on two occasions' end as repetition,
+  case when kind in (0, 2, 5) then 'measurement' when kind = 3 then 'condition' else 'observation' end as domain,
+  case kind when 2 then 'HAS_VALUE,HAS_TEMPORAL' when 3 then 'HAS_NEGATION,HAS_TEMPORAL,HAS_MULTIPLIER' when 4 then 'HAS_TEMPORAL' else 'HAS_VALUE' end as relations from lines"""),
         "parse_statements": lines_sql(f"""{_FRAGMENTS}
 , p as (
   select f.*, l.lab, l.q, l.d, case when f.kind = 0 then '>=' when f.kind = 2 then '<' when f.kind = 5 then case f.fragment_no when 1 then '>' else '<=' end end as sign, case when f.fragment_no = 2 then l.q + 100 else l.q end as v
@@ -74,22 +84,21 @@ select trial_id, ord, fragment_no, case kind when 3 then lab || ' on two occasio
   case when kind = 1 or sign in ('>=', '>') then q::double end as lower_bound, case when kind = 1 or sign = '>=' then true when sign = '>' then false end as lower_inclusive,
   case when kind = 1 then (q + 10)::double when sign in ('<', '<=') then v::double end as upper_bound, case when kind = 1 or sign = '<=' then true when sign = '<' then false end as upper_inclusive,
   case when kind = 1 then '[' || q || ', ' || (q + 10) || ']' when sign = '>=' then '[' || v || ', +inf)' when sign = '>' then '(' || v || ', +inf)' when sign = '<' then '(-inf, ' || v || ')' when sign = '<=' then '(-inf, ' || v || ']' end as interval,
-  kind = 3 as negated, case kind when 2 then 'within ' || d || ' days' when 3 then 'history of' when 4 then 'at least ' || q || ' weeks' end as temporal,
+  kind = 3 as negated, case kind when 2 then 'within ' || d || ' days' when 3 then 'history of' when 4 then 'more than ' || q || ' weeks' end as temporal,
   case kind when 1 then 'HAS_VALUE' when 2 then 'HAS_VALUE,HAS_TEMPORAL' when 3 then 'HAS_NEGATION,HAS_TEMPORAL,HAS_MULTIPLIER' when 4 then 'HAS_TEMPORAL' else 'HAS_VALUE' end as relations from p"""),
         "text_flags": lines_sql("""
-select trial_id, ord, kind = 3 as negated, case kind when 2 then 'within ' || d || ' days' when 3 then 'history of' when 4 then 'at least ' || q || ' weeks' end as temporal,
+select trial_id, ord, kind = 3 as negated, case kind when 2 then 'within ' || d || ' days' when 3 then 'history of' when 4 then 'more than ' || q || ' weeks' end as temporal,
   case when kind = 3 then 'on two occasions' end as repetition from lines"""),
         "written_constraints": lines_sql("""
-select trial_id, ord, '>=' as comparator, q::varchar as value, 'weeks' as unit, 'duration' as entity, 'standalone' as logical_operator from lines where kind = 4"""),
-        "operator_spelling": lines_sql("select trial_id, ord, statement as spelled, '>= ' || q || ' grade' as graded from lines where kind in (0, 5)"),
+select trial_id, ord, '>' as comparator, q::varchar as value, 'weeks' as unit, 'duration' as entity, 'standalone' as logical_operator from lines where kind = 4"""),
+        "operator_spelling": lines_sql("select trial_id, ord, statement as spelled, '>= ' || q || ' grade' as graded from lines"),
         "number_columns": lines_sql("""
 select trial_id, ord, '[' || q || ', ' || case when kind < 3 then q || '.5' else '+inf' end || ')' as interval, q * 12.0::double as upper, 'months' as unit,
   (1000 + q)::double as number, ('0.' || q)::double as confidence, 'x ULN' as tidy from lines"""),
-        "segment_lines": r"""
-with l as (
-  select doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')) as line from documents
-  where not contains(text, ':') and not contains(text, ' | ') and not contains(text, ';') and regexp_matches(text, '^[A-Za-z]'))
-select doc_id as protocol_id, count(*) as fragments, sum(length(line))::bigint as chars from l group by doc_id""",
+        "segment_lines": f"""
+with l as (select doc_id, trim(unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))), '{_SPACE}') as line from documents),
+f as (select doc_id, trim(unnest(string_split(regexp_replace(line, '^(?:[-*•][{_SPACE}]+|[0-9]+[.)][{_SPACE}]+)', ''), ';')), '{_SPACE}') as part from l)
+select doc_id as protocol_id, count(*) as fragments, sum(length(part))::bigint as chars from f where part <> '' group by doc_id""",
         "segment_fragments": lines_sql(f"""{_FRAGMENTS}
 select trial_id as protocol_id, criterion_type, source, {_stable("statement", "trial_id", "'v1'", "criterion_type", "ord", "statement")} as source_id, ord as parent_source_index, fragment_no,
   row_number() over (partition by trial_id order by ord, fragment_no)::int as item_no from f"""),
@@ -108,18 +117,41 @@ atoms as (
   select distinct f.trial_id, f.source, f.criterion_type, p.parent from f join parents p using (trial_id, source)
   union all select distinct trial_id, source, 'written', parent from f join parents p using (trial_id, source) where kind = 4)
 select trial_id, count(*) as criteria, count(*) as ids, count(distinct parent) as parents from atoms group by trial_id"""),
+        "criteria_with_proposals": lines_sql(f"""{_FRAGMENTS}
+, items as (select f.*, l.lab, l.q, l.d, row_number() over (partition by f.trial_id order by f.ord, f.fragment_no) as item_no from f join lines l using (trial_id, ord)),
+texts as (
+  select trial_id, source, any_value(kind) as kind, any_value(fragment_no) as fragment_no, any_value(lab) as lab, any_value(q) as q, min(item_no) as item_no, arg_max(criterion_type, item_no) as last_type, arg_min(criterion_type, item_no) as first_type,
+         arg_max({_stable("statement", "trial_id", "'v1'", "criterion_type", "ord", "statement")}, item_no) as parent from items group by all),
+given as (
+  select trial_id, case when kind = 5 then lab || ' > ' || q || ' mg/dL' else statement end as source, ord as seq, null as qualifier, 0.9 as conf from lines where part_key % 4 <> 0
+  union all select trial_id, case when kind = 5 then lab || ' > ' || q || ' mg/dL' else statement end, ord + 1000, 'again', 0.9 from lines where part_key % 4 <> 0 and part_key % 3 = 0
+  union all select trial_id, case when kind = 5 then lab || ' > ' || q || ' mg/dL' else statement end, ord + 2000, null, 0.4 from lines where part_key % 4 <> 0 and part_key % 5 = 0),
+rows_ as (
+  select t.*, 'given' as made, t.last_type as type, 0 as phase, 0 as pos, seq, qualifier, conf from given join texts t using (trial_id, source)
+  union all select *, 'written', first_type, 1, item_no, 0, 'deterministically parsed written comparison', 1.0 from texts where kind = 4
+  union all select t.*, 'bare', i.criterion_type, 1, i.item_no, 1 << 30, null, 0.5 from items i join texts t using (trial_id, source) where not exists (select 1 from given g where g.trial_id = i.trial_id and g.source = i.source)),
+counted as (select *, count(*) over (partition by trial_id, source) > 1 as many from rows_),
+best as (
+  select *, row_number() over (partition by trial_id, source, made, type, qualifier order by conf desc, phase, pos, seq) as n, min((phase, pos, seq)) over (partition by trial_id, source, made, type, qualifier) as place from counted),
+atoms as (select *, row_number() over (partition by trial_id, parent order by place)::int as atom_index, count(*) over (partition by trial_id, parent)::int as parent_atom_count from best where n = 1)
+select trial_id, source, {_stable("criterion", "trial_id", "'v1'", "parent", "atom_index")} as criterion_id, atom_index, parent_atom_count, type as criterion_type,
+  case when made = 'written' then 'DURATION' when made = 'bare' and kind = 3 then lab || ' on two occasions' when made = 'bare' and kind = 4 then source else upper(lab) end as entity,
+  case when made <> 'bare' or kind in (0, 2, 5) then 'measurement' when kind = 3 then 'condition' else 'observation' end as domain,
+  case when kind = 0 then '>=' when kind = 2 then '<' when kind = 5 then case fragment_no when 1 then '>' else '<=' end when made = 'written' then '>' end as comparator,
+  case when kind = 1 then q || ' to ' || (q + 10) when kind = 3 then 'absent' when kind = 4 and made <> 'written' then 'present' when fragment_no = 2 then (q + 100)::varchar else q::varchar end as value,
+  qualifier, case when many or parent_atom_count > 1 then 'and' else 'standalone' end as logical_operator, conf::double as extraction_confidence, '' as codes, 'HUMAN_REVIEW_REQUIRED' as blockers from atoms"""),
         "reconcile_items": lines_sql(f"""{_FRAGMENTS}
 , kinds as (select trial_id, source, arg_max(criterion_type, ord * 10 + fragment_no) as last_kind, arg_min(criterion_type, ord * 10 + fragment_no) as first_kind, max(kind) as kind from f group by all),
 p as (select l.trial_id, l.statement as source, k.last_kind from lines l join kinds k on k.trial_id = l.trial_id and k.source = l.statement
-  where l.kind < 4 and part_key % 3 <> 0 and part_key % 4 <> 0)
+  where part_key % 3 <> 0 and part_key % 4 <> 0)
 select trial_id as protocol_id, phase::int as phase, criterion_type, count(*) as n, count(entity) as entities from (
   select trial_id, 0 as phase, last_kind as criterion_type, 'x' as entity from p
   union all select trial_id, 1, first_kind, 'x' from kinds where kind = 4
   union all select f.trial_id, 1, f.criterion_type, null from f where not exists (select 1 from p where p.trial_id = f.trial_id and p.source = f.source))
 group by all"""),
-        "proposal_contract": lines_sql("""
-select trial_id, ord, concat_ws(',', case when ord % 2 <> 0 then 'domain' end, case when part_key % 11 = 0 then 'entity' end,
-  case when ord % 3 = 0 and round(1 - tax, 2) * 2 > 1 then 'extraction_confidence' end) as violations from lines where kind in (0, 2, 3)"""),
+        "proposal_contract": lines_sql(f"""{CHECKED_SQL}
+select trial_id, ord, concat_ws(',', case when criterion_type = 'other' then 'criterion_type' end, case when ord % 2 <> 0 then 'domain' end, case when part_key % 11 = 0 then 'entity' end, case when part_key % 29 = 0 then 'comparator' end,
+  case when part_key % 31 = 0 then 'negated' end, case when part_key % 37 = 0 then 'logical_operator' end, case when ord % 3 = 0 and conf * 2 > 1 then 'extraction_confidence' end, case when kind = 5 and q % 8 = 0 then 'source' end) as violations from judged"""),
         "dedup_signature": lines_sql(f"{_ATOMS} select protocol_id, parent_statement_id, criterion_type, entity, value, first_seq::bigint as first_seq, conf as extraction_confidence from ranked where n = 1"),
         "atom_reindex": lines_sql(f"""{_ATOMS}
 , w as (select *, row_number() over (partition by protocol_id, parent_statement_id order by first_seq)::int as atom_index, count(*) over (partition by protocol_id, parent_statement_id) as parent_atom_count from ranked where n = 1)
@@ -127,13 +159,13 @@ select protocol_id, parent_statement_id, entity, value, criterion_type, atom_ind
         "validation_issues": lines_sql(f"{CHECKED_SQL} select trial_id, ord, array_to_string(codes, ',') as codes from judged"),
         "readiness": lines_sql(f"{CHECKED_SQL} select trial_id, ord, len(blockers) = 0 as export_ready, array_to_string(blockers, ',') as blockers from judged"),
         "issue_histogram": lines_sql(f"""{CHECKED_SQL}
-select code, case when code = 'NEGATION_UNCAPTURED' then 'warning' else 'error' end as severity, count(*) as n from (select unnest(codes) as code from judged) group by code"""),
+select substr(m, 3) as code, case m[1] when 'w' then 'warning' else 'error' end as severity, count(*) as n from (select unnest(marked) as m from judged) group by m"""),
         "quality_rollup": lines_sql(f"""{CHECKED_SQL}
 select trial_id, grouping(trial_id)::int as overall, count(distinct trial_id) as trials, count(*) as criteria, count(*) filter (where criterion_type = 'inclusion') as inclusion,
-  count(*) filter (where criterion_type = 'exclusion') as exclusion, count(*) filter (where len(list_filter(codes, lambda x: x <> 'NEGATION_UNCAPTURED')) > 0) as with_errors,
-  count(*) filter (where list_contains(codes, 'NEGATION_UNCAPTURED')) as with_warnings, round(avg(conf), 6) as mean_confidence from judged group by rollup (trial_id)"""),
+  count(*) filter (where criterion_type = 'exclusion') as exclusion, count(*) filter (where len(errors) > 0) as with_errors, count(*) filter (where len(warnings) > 0) as with_warnings,
+  round(avg(conf), 6) as mean_confidence from judged group by rollup (trial_id)"""),
         "trial_metrics": lines_sql(f"""{CHECKED_SQL}
-select 'NCT' || lpad(o_orderkey::varchar, 8, '0') as trial_id, count(ord) as criteria, count(*) filter (where len(list_filter(codes, lambda x: x <> 'NEGATION_UNCAPTURED')) > 0) as with_errors,
+select 'NCT' || lpad(o_orderkey::varchar, 8, '0') as trial_id, count(ord) as criteria, count(*) filter (where len(errors) > 0) as with_errors,
   round(avg(conf), 6) as mean_confidence from orders left join judged on trial_id = 'NCT' || lpad(o_orderkey::varchar, 8, '0') group by o_orderkey"""),
         "manifest_profile": f"""{_ENTRIES}
 select cohort, count(*) as slots, count(trial_id) as active, count(*) - count(trial_id) as blank, count(distinct trial_id) as trials, count(trial_id) - count(distinct trial_id) as repeated from entries group by cohort""",
@@ -150,20 +182,17 @@ select case when o_orderkey % 50 <> 0 then 'NCT' || lpad(o_orderkey::varchar, 8,
         "provenance_ids": f"""
 select doc_id, 'sha256:' || sha256(text) as hash, 'DOC-' || substr(sha256(text), 1, 12) as label, 'sha256-' || substr(sha256(text), 1, 16) as version,
   {_stable("statement", "doc_id", "source", "0", "null")} as stable_id from documents""",
-        "retry_actions": """
-with a as (select user_id as trial_id, event_type = 'error' as failed, event_type = 'error' and event_id % 23 = 0 as terminal from events where event_id % 10 = user_id % 10),
-g as (select trial_id, count(*) filter (where failed) as failures, bool_or(terminal) as terminal from a group by trial_id)
-select trial_id, failures, case when failures = 0 then 'done' when terminal or failures > 2 then 'stop' else 'retry' end as next_action from g""",
-        "retry_actions_all": """
-with g as (select user_id * 20 + event_id % 20 as trial_id, count(*) filter (where event_type = 'error') as failures, bool_or(event_type = 'error' and event_id % 23 = 0) as terminal from events group by 1)
-select trial_id, failures, case when failures = 0 then 'done' when terminal or failures > 2 then 'stop' else 'retry' end as next_action from g""",
+        "retry_actions": _retries("user_id * 20 + event_id % 20"),
+        "retry_actions_all": _retries("user_id"),
         "job_latest_status": "select user_id as job_id, arg_max(event_type, (ts, event_id)) as stage, count(*) as events from events group by user_id",
-        "recent_jobs": "select user_id as job_id from events group by user_id order by max(ts) desc, user_id limit 100",
+        "recent_jobs": """
+select user_id as job_id, 'NCT' || lpad(user_id::varchar, 8, '0') as trial_id, 'P' || user_id as protocol_id, 'v1' as source_version, 'nct' as input_mode, arg_max(event_type, (ts, event_id)) as status, arg_max(event_type, (ts, event_id)) as stage,
+  least(count(*), 100) as progress, min(ts) as created_at, max(ts) as updated_at, case when arg_max(event_type, (ts, event_id)) = 'error' then 'timeout' end as error from events group by user_id order by max(ts) desc, user_id limit 100""",
         "cost_summary": f"{_USAGE} select model, count(*) as calls, sum(i)::bigint as input_tokens, sum(o)::bigint as output_tokens, round(sum(cost), 6) as cost, sum(cost) >= 0.01 as warn from priced group by model",
         "cost_running_limit": f"""{_USAGE}
 , r as (select run_id, seq, sum(cost) over (partition by run_id order by seq rows unbounded preceding) as spent from priced)
 select run_id, min(seq) as seq, round(arg_min(spent, seq), 6) as spent from r where spent > 0.01 group by run_id""",
-        "usage_batches": "select user_id % 20 as protocol_id, event_id as item_no, (row_number() over (partition by user_id % 20 order by event_id) - 1) // 20 as batch from events",
+        "usage_batches": "select user_id as protocol_id, event_id as item_no, (row_number() over (partition by user_id order by event_id) - 1) // 20 as batch from events",
         "review_completeness": lines_sql("""
 select order_key::varchar as job_id, count(*) as expected, count(*) filter (where part_key % 101 <> 0) as supplied,
   bool_and(part_key % 101 <> 0 and part_key % 97 <> 0) as complete from lines group by order_key"""),
@@ -180,16 +209,22 @@ both_ as (
   select trial_id, source, criterion_type, min(entity) as entity, 'old' as value, 0 as newer, 0 as seq from e where part_key % 2 = 0 group by all
   union all select distinct trial_id, source, criterion_type, entity, value, 1, seq from e where part_key % 3 = 0)
 select trial_id, source, criterion_type, entity, value from both_ qualify row_number() over (partition by trial_id, source, criterion_type order by newer desc, seq desc) = 1"""),
-        "library_union": lines_sql("select case kind when 0 then 'immutable_base' else 'reviewed' end as library_source, criterion_type, count(*) as n from lines where kind < 2 group by all"),
+        "library_union": lines_sql("select case when kind < 3 then 'immutable_base' else 'reviewed' end as library_source, criterion_type, count(*) as n from lines group by all"),
         "library_search": "select doc_id, lang from documents where contains(lower(concat_ws(' ', text, lang, source)), 'ere')",
         "validated_export": lines_sql(f"""{CHECKED_SQL}
-select trial_id, ord, concat_ws(',', case when ord % 2 <> 0 then 'domain' end, case when ord % 3 = 0 then 'reviewed_at' end) as violations from judged where len(blockers) = 0"""),
+select trial_id, ord, concat_ws(',', case when part_key % 29 = 0 then 'source_id' end, case when part_key % 31 = 0 then 'parent_statement' end, case when part_key % 37 = 0 then 'boolean_group_id' end, case when part_key % 41 = 0 then 'atom_index' end,
+  case when ord % 2 <> 0 then 'domain' end, case when part_key % 43 = 0 then 'value_kind' end, case when part_key % 53 = 0 then 'relations' end, case when part_key % 47 = 0 then 'surrounding_context' end,
+  case when ord % 3 = 0 then 'reviewed_at' end) as violations from judged where len(blockers) = 0"""),
         "legacy_upgrade": lines_sql("""
 select trial_id || '-' || ord as row_id, trial_id || '-' || ord as criterion_id, trial_id || '-' || ord as parent_statement_id, 'legacy-unversioned' as source_version,
-  case when line_status = 'F' then 'accepted' else 'pending' end as human_review_status, case kind when 0 then 'categorical' else 'interval' end as value_kind,
-  case when kind = 1 then '[' || q || ', ' || (q + 10) || ']' end as interval, upper(lab) as term from lines where kind < 2"""),
+  case when line_status = 'F' then 'accepted' else 'pending' end as human_review_status, case when kind = 1 then 'interval' when kind in (2, 5) then 'numerical' else 'categorical' end as value_kind,
+  case kind when 1 then '[' || q || ', ' || (q + 10) || ']' when 2 then '(-inf, ' || q || ')' when 5 then '(' || q || ', +inf)' end as interval, upper(lab) as term from lines"""),
         "interval_relations": lines_sql("""
-, i as (select distinct 'S' || (order_key % 40) as trial_id, part_key as entity, q as lo, q + 10 as hi from lines where kind = 1)
-select case when a.lo = b.lo then 'equal' when a.hi < b.lo or b.hi < a.lo then 'disjoint' else 'overlap' end as relation, count(*) as n
-from i a join i b on a.entity = b.entity and a.trial_id < b.trial_id group by 1"""),
+, i as (select distinct trial_id, lab as entity, q as lo, q + case kind when 0 then 100 else kind * 10 end as hi from lines),
+o as (
+  select a.entity, case when (a.lo, a.hi) <= (b.lo, b.hi) then a.lo else b.lo end as lo, case when (a.lo, a.hi) <= (b.lo, b.hi) then a.hi else b.hi end as hi,
+         case when (a.lo, a.hi) <= (b.lo, b.hi) then b.lo else a.lo end as lo2, case when (a.lo, a.hi) <= (b.lo, b.hi) then b.hi else a.hi end as hi2
+  from i a join i b on a.entity = b.entity and a.trial_id < b.trial_id)
+select entity, case when lo = lo2 and hi = hi2 then 'equal' when hi < lo2 then 'disjoint' when lo >= lo2 and hi <= hi2 then 'subset' when lo <= lo2 and hi >= hi2 then 'superset' else 'overlap' end as relation, count(*) as n
+from o group by all"""),
     }

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -39,17 +39,24 @@ _PARSED = ("trial_id", "ord", "entity", "comparator", "value", "unit", "value_ki
 
 @_query
 def parse_thresholds(spark, sf_dir):
-    return parse(T.lines(spark, sf_dir).filter("kind in (0, 2)").select("trial_id", "ord", "criterion_type", F.col("statement").alias("source"))).select(*_PARSED)
+    """All statements, whole, without a proposal."""
+    return parse(T.lines(spark, sf_dir).select("trial_id", "ord", "criterion_type", F.col("statement").alias("source"))).select(*_PARSED)
 
 
 @_query
 def parse_ranges(spark, sf_dir):
-    return parse(T.lines(spark, sf_dir).filter("kind = 1").select("trial_id", "ord", "criterion_type", F.col("statement").alias("source"))).select(*_PARSED)
+    """All statements with proposals: what they spell out outranks the proposed numbers, which fill in where it does not."""
+    rows = T.lines(spark, sf_dir)
+    given = {"entity": F.col("lab"), "comparator": F.when(F.col("kind") == 4, "<="), "value": F.when(F.col("kind") >= 3, (F.col("q") + 100).cast("string")), "unit": F.lit(" weeks "), "lower_bound": F.col("q") + 1.0, "lower_inclusive": F.lit(False)}
+    found = parse(rows.select("trial_id", "ord", "criterion_type", F.col("statement").alias("source"), *[c.alias(name) for name, c in given.items()]))
+    return found.select("trial_id", "ord", "entity", "comparator", "value", "unit", "value_kind", "interval")
 
 
 @_query
 def parse_negations(spark, sf_dir):
-    return parse(T.lines(spark, sf_dir).filter("kind = 3").select("trial_id", "ord", "criterion_type", F.col("statement").alias("source"))).select(*_PARSED, F.array_join("relations", ",").alias("relations"))
+    """What all statements say beside their numbers."""
+    found = parse(T.lines(spark, sf_dir).select("trial_id", "ord", "criterion_type", F.col("statement").alias("source")))
+    return found.select("trial_id", "ord", "negated", "temporal", "repetition", "domain", F.array_join("relations", ",").alias("relations"))
 
 
 @_query
@@ -76,7 +83,7 @@ def operator_spelling(spark, sf_dir):
     """Signs written in other ways come to one spelling."""
     odd = F.replace(F.replace("statement", F.lit(">="), F.lit("\\>/=")), F.lit("<="), F.lit("≤"))
     grade = F.concat(F.lit(">= grade "), "q")
-    return T.lines(spark, sf_dir).filter("kind in (0, 5)").select("trial_id", "ord", C.operators(odd).alias("spelled"), C.grade_last(grade).alias("graded"))
+    return T.lines(spark, sf_dir).select("trial_id", "ord", C.operators(odd).alias("spelled"), C.grade_last(grade).alias("graded"))
 
 
 @_query
@@ -92,17 +99,16 @@ def number_columns(spark, sf_dir):
 
 @_query
 def segment_lines(spark, sf_dir):
-    """Documents as protocols without headings: each line is a statement."""
+    """All documents as protocols: lines, bullets and semicolons make fragments."""
     docs = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("protocol_id"), F.lit("v1").alias("source_version"), F.col("text").alias("protocol_text"))
-    items = segment(docs.filter("not contains(protocol_text, ':') and not contains(protocol_text, ' | ') and not contains(protocol_text, ';') and protocol_text rlike '^[A-Za-z]'"))
-    return items.groupBy("protocol_id").agg(F.count("*").alias("fragments"), F.sum(F.length("source")).alias("chars"))
+    return segment(docs).groupBy("protocol_id").agg(F.count("*").alias("fragments"), F.sum(F.length("source")).alias("chars"))
 
 
 @_query
 def segment_documents(spark, sf_dir):
-    """The same over all documents, with headings, bullets, labelled fields and semicolons; tests hold it against fragments found by hand."""
-    docs = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("protocol_id"), F.lit("v1").alias("source_version"), F.col("text").alias("protocol_text"))
-    return segment(docs).groupBy("protocol_id").agg(F.count("*").alias("fragments"), F.sum(F.length("source")).alias("chars"))
+    """All documents under a heading: only bullets, lines that state a threshold, and what continues them, are statements."""
+    docs = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("protocol_id"), F.lit("v1").alias("source_version"), F.concat(F.lit("Key Exclusion Criteria:\n"), "text").alias("protocol_text"))
+    return segment(docs).groupBy("protocol_id", "criterion_type").agg(F.count("*").alias("fragments"), F.sum(F.length("source")).alias("chars"))
 
 
 @_query
@@ -158,12 +164,25 @@ def criteria_rows(spark, sf_dir):
     return rows.withColumns({"validation_issues": F.array_join(F.transform("validation_issues", lambda x: x["code"]), "|"), "relations": F.array_join("relations", "|"), "readiness_blockers": F.array_join("readiness_blockers", "|")})
 
 
+@_query
+def criteria_with_proposals(spark, sf_dir):
+    """The whole chain with proposals: some items have none, some several, some the same twice."""
+    protocols, rows = T.protocols(spark, sf_dir), T.lines(spark, sf_dir).filter("part_key % 4 <> 0")
+    quoted = F.when(F.col("kind") == 5, F.element_at(F.split("statement", ";"), 1)).otherwise(F.col("statement"))
+    proposal = lambda later, n, qualifier, confidence: F.when(F.col("part_key") % n == 0, F.struct((F.col("ord") + later).alias("ord"), F.lit(qualifier).cast("string").alias("qualifier"), F.lit(confidence).alias("extraction_confidence")))
+    made = F.explode(F.array_compact(F.array(proposal(0, 1, None, 0.9), proposal(1000, 3, "again", 0.9), proposal(2000, 5, None, 0.4))))
+    proposals = rows.select(F.col("trial_id").alias("protocol_id"), quoted.alias("source"), F.upper("lab").alias("entity"), F.lit("measurement").alias("domain"), F.lit("inclusion").alias("criterion_type"), made.alias("p")).select("*", "p.*").drop("p")
+    found = normalize(proposals, segment(protocols), protocols)
+    codes = F.array_join(F.transform("validation_issues", lambda x: x["code"]), ",")
+    return found.select("trial_id", "source", "criterion_id", "atom_index", "parent_atom_count", "criterion_type", "entity", "domain", "comparator", "value", "qualifier", "logical_operator", "extraction_confidence", codes.alias("codes"), F.array_join("readiness_blockers", ",").alias("blockers"))
+
+
 @_query
 def reconcile_items(spark, sf_dir):
     """Proposals for some items, invented ones among them, against the items: what is left, by phase."""
     items = segment(T.protocols(spark, sf_dir))
-    rows = T.lines(spark, sf_dir).filter("kind < 4")
-    invented = F.when(F.col("part_key") % 4 == 0, F.concat(F.lit("invented "), "statement")).otherwise(F.col("statement"))
+    rows = T.lines(spark, sf_dir)
+    invented = F.when(F.col("part_key") % 4 == 0, F.concat(F.lit("invented "), "statement")).otherwise(F.concat("statement", F.lit(" \n")))
     proposals = rows.filter("part_key % 3 <> 0").select(F.col("trial_id").alias("protocol_id"), "ord", invented.alias("source"), F.lit("inclusion").alias("criterion_type"), F.upper("lab").alias("entity"))
     return reconcile(proposals, items).groupBy("protocol_id", "phase", "criterion_type").agg(F.count("*").alias("n"), F.count("entity").alias("entities"))
 
@@ -172,6 +191,8 @@ def reconcile_items(spark, sf_dir):
 def proposal_contract(spark, sf_dir):
     """What breaks the contract of proposed rows."""
     rows = T.checked(spark, sf_dir).withColumn("domain", F.when(F.col("ord") % 2 == 0, "measurement").otherwise("lab")).withColumn("extraction_confidence", F.col("extraction_confidence") * F.when(F.col("ord") % 3 == 0, 2.0).otherwise(1.0))
+    wrong = lambda n, name, x: F.when(F.col("part_key") % n == 0, x).otherwise(F.col(name))
+    rows = rows.withColumns({"comparator": wrong(29, "comparator", "=>"), "negated": wrong(31, "negated", F.lit(None)), "logical_operator": wrong(37, "logical_operator", "xor")})
     return rows.select("trial_id", "ord", F.array_join(proposal_violations(), ",").alias("violations"))
 
 
@@ -271,23 +292,23 @@ def provenance_ids(spark, sf_dir):
     return docs.select("doc_id", C.protocol_hash("text").alias("hash"), C.protocol_label("DOC", "text").alias("label"), C.text_version("text").alias("version"), C.stable_id("statement", "doc_id", "source", F.lit(0), F.lit(None).cast("string")).alias("stable_id"))
 
 
-def _attempts(spark, sf_dir) -> DataFrame:
-    events = T.table(spark, sf_dir, "events")
-    error = F.when((F.col("event_type") == "error") & (F.col("event_id") % 23 == 0), "No criteria segmented").when(F.col("event_type") == "error", "timeout")
-    return events.filter(F.col("event_id") % 10 == F.col("user_id") % 10).select(F.col("user_id").alias("trial_id"), (F.col("event_type") == "error").alias("failed"), error.alias("error"))
+def _attempts(spark, sf_dir, trial) -> DataFrame:
+    """Every event as an attempt."""
+    failed = F.col("event_type") == "error"
+    error = F.when(failed & (F.col("event_id") % 23 == 0), "No criteria segmented").when(failed, "timeout")
+    return T.table(spark, sf_dir, "events").select(trial.alias("trial_id"), failed.alias("failed"), error.alias("error"))
 
 
 @_query
 def retry_actions(spark, sf_dir):
-    return cohort.retry_actions(_attempts(spark, sf_dir))
+    """A user has 20 trials here."""
+    return cohort.retry_actions(_attempts(spark, sf_dir, F.col("user_id") * 20 + F.col("event_id") % 20))
 
 
 @_query
 def retry_actions_all(spark, sf_dir):
-    """The same with every event as an attempt; a user has 20 trials here, as otherwise all would end in "stop"."""
-    failed = F.col("event_type") == "error"
-    error = F.when(failed & (F.col("event_id") % 23 == 0), "No criteria segmented").when(failed, "timeout")
-    return cohort.retry_actions(T.table(spark, sf_dir, "events").select((F.col("user_id") * 20 + F.col("event_id") % 20).alias("trial_id"), failed.alias("failed"), error.alias("error")))
+    """The same with one trial a user, of which most end in "stop"."""
+    return cohort.retry_actions(_attempts(spark, sf_dir, F.col("user_id")))
 
 
 def _events(spark, sf_dir) -> DataFrame:
@@ -301,8 +322,10 @@ def job_latest_status(spark, sf_dir):
 
 @_query
 def recent_jobs(spark, sf_dir):
-    jobs = _events(spark, sf_dir).groupBy("job_id").agg(F.max("ts").alias("updated_at"))
-    return cohort.recent_jobs(jobs).select("job_id")
+    last = F.struct("ts", "seq")
+    jobs = _events(spark, sf_dir).groupBy("job_id").agg(F.max("ts").alias("updated_at"), F.min("ts").alias("created_at"), F.max_by("stage", last).alias("stage"), F.max_by("stage", last).alias("status"), F.least(F.count("*"), F.lit(100)).alias("progress"))
+    ident = F.col("job_id").cast("string")
+    return cohort.recent_jobs(jobs.withColumns({"trial_id": F.concat(F.lit("NCT"), F.lpad(ident, 8, "0")), "protocol_id": F.concat(F.lit("P"), ident), "source_version": F.lit("v1"), "input_mode": F.lit("nct"), "error": F.when(F.col("stage") == "error", "timeout")}))
 
 
 _PRICES = (("user", 0.15, 0.60), ("assistant", 2.5, 10.0))
@@ -328,7 +351,7 @@ def cost_running_limit(spark, sf_dir):
 @_query
 def usage_batches(spark, sf_dir):
     """Items of each protocol in batches of 20."""
-    rows = T.table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("protocol_id"), F.col("event_id").alias("item_no"))
+    rows = T.table(spark, sf_dir, "events").select(F.col("user_id").alias("protocol_id"), F.col("event_id").alias("item_no"))
     return cohort.batches(rows)
 
 
@@ -361,14 +384,18 @@ def group_consistency(spark, sf_dir):
 
 def _reviewed(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sheet, jobs, expected) of single-atom statements."""
-    rows = T.lines(spark, sf_dir).filter("kind = 0")
+    rows = T.lines(spark, sf_dir)
     parent = F.concat("trial_id", F.lit("-"), "ord")
+    kind, q = F.col("kind"), F.col("q").cast("double")
+    by_kind = lambda *values: F.element_at(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in values]), kind + 1)
     sheet = rows.select(
         F.col("order_key").alias("job_id"), parent.alias("row_id"), parent.alias("criterion_id"), parent.alias("source_id"), parent.alias("parent_statement_id"), parent.alias("boolean_group_id"),
         F.when(F.col("part_key") % 41 == 0, "pending").otherwise("accepted").alias("review_status"), "criterion_type",
-        F.when(F.col("part_key") % 43 == 0, "organ").otherwise("Measurement").alias("domain"), F.upper("lab").alias("entity"), F.lit(">=").alias("comparator"), F.col("q").cast("string").alias("value"),
-        F.when(F.col("part_key") % 47 != 0, "mg/dL").alias("unit"), F.lit("numerical").alias("value_kind"), F.col("q").cast("double").alias("lower_bound"), F.lit(True).alias("lower_inclusive"),
-        F.lit(None).cast("double").alias("upper_bound"), F.lit(True).alias("upper_inclusive"), F.lit(False).alias("negated"), *[F.lit("").alias(c) for c in ("temporal", "repetition", "qualifier")],
+        F.when(F.col("part_key") % 43 == 0, "organ").otherwise("Measurement").alias("domain"), F.upper("lab").alias("entity"), by_kind(">=", None, "<", None, ">=", ">").alias("comparator"),
+        F.when(kind == 3, "absent").otherwise(F.col("q").cast("string")).alias("value"), F.when(F.col("part_key") % 47 != 0, by_kind("mg/dL", "mmol/L", "%", None, "weeks", "mg/dL")).alias("unit"),
+        by_kind("numerical", "interval", "numerical", "categorical", "numerical", "numerical").alias("value_kind"), F.when(~kind.isin(2, 3), q).alias("lower_bound"), F.lit(True).alias("lower_inclusive"),
+        by_kind(F.lit(None).cast("double"), q + 10, q, F.lit(None).cast("double"), F.lit(None).cast("double"), q + 100).alias("upper_bound"), F.lit(True).alias("upper_inclusive"), (kind == 3).alias("negated"),
+        F.when(kind == 2, F.concat(F.lit("within "), "d", F.lit(" days"))).when(kind == 3, "history of").otherwise("").alias("temporal"), F.when(kind == 3, "on two occasions").otherwise("").alias("repetition"), F.lit("").alias("qualifier"),
         F.lit("standalone").alias("logical_operator"), F.col("statement").alias("source"), F.col("statement").alias("parent_statement"), F.col("statement").alias("surrounding_context"),
         F.lit(1).alias("parent_atom_count"), F.lit(1).alias("atom_index"), F.lit(0.9).alias("extraction_confidence"))
     keys = rows.select(F.col("order_key").alias("job_id"), "trial_id").distinct()
@@ -402,7 +429,7 @@ def library_upsert(spark, sf_dir):
 
 @_query
 def library_union(spark, sf_dir):
-    base, reviewed = _entry_rows(spark, sf_dir, "kind = 0"), _entry_rows(spark, sf_dir, "kind = 1")
+    base, reviewed = _entry_rows(spark, sf_dir, "kind < 3"), _entry_rows(spark, sf_dir, "kind >= 3")
     return library.library_union(base, reviewed).groupBy("library_source", "criterion_type").agg(F.count("*").alias("n"))
 
 
@@ -415,23 +442,26 @@ def library_search(spark, sf_dir):
 @_query
 def validated_export(spark, sf_dir):
     """Ready rows, and what breaks the contract in them."""
-    rows = validate(T.checked(spark, sf_dir)).withColumns({c: F.col("criterion_id") for c in ("source_id", "parent_statement_id", "parent_statement", "boolean_group_id")})
-    rows = rows.withColumns({"domain": F.when(F.col("ord") % 2 == 0, "measurement").otherwise("lab"), "value_kind": F.lit("numerical"), "atom_index": F.lit(1), "relations": C.criterion_relations(), "surrounding_context": F.lit(""), "reviewed_at": F.when(F.col("ord") % 3 != 0, "2024-01-01T00:00:00Z")})
+    wrong = lambda n, x, value=None: F.when(F.col("part_key") % n != 0, x).otherwise(F.lit(value))
+    ident = F.col("criterion_id")
+    rows = validate(T.checked(spark, sf_dir)).withColumns({"source_id": wrong(29, ident), "parent_statement_id": ident, "parent_statement": wrong(31, ident, ""), "boolean_group_id": wrong(37, ident)})
+    rows = rows.withColumns({"domain": F.when(F.col("ord") % 2 == 0, "measurement").otherwise("lab"), "value_kind": wrong(43, F.lit("numerical"), "text"), "atom_index": wrong(41, F.lit(1), 0), "relations": F.when(F.col("part_key") % 53 != 0, C.criterion_relations()), "surrounding_context": wrong(47, F.lit("")), "reviewed_at": F.when(F.col("ord") % 3 != 0, "2024-01-01T00:00:00Z")})
     return library.validated_export(rows).select("trial_id", "ord", F.array_join("violations", ",").alias("violations"))
 
 
 @_query
 def legacy_upgrade(spark, sf_dir):
     """Old entries, some without a domain, in the present shape."""
-    rows = T.lines(spark, sf_dir).filter("kind < 2").select("trial_id", F.concat("trial_id", F.lit("-"), "ord").alias("row_id"), "criterion_type", F.when(F.col("kind") == 0, "measurement").alias("domain"), F.upper("lab").alias("entity"), F.lit(None).cast("string").alias("attribute"), F.col("q").cast("string").alias("value"), F.col("statement").alias("source"), F.when(F.col("line_status") == "F", "2020-01-01").alias("reviewed_at"))
+    rows = T.lines(spark, sf_dir).select("trial_id", F.concat("trial_id", F.lit("-"), "ord").alias("row_id"), "criterion_type", F.when(F.col("kind") == 0, "measurement").alias("domain"), F.upper("lab").alias("entity"), F.lit(None).cast("string").alias("attribute"), F.col("q").cast("string").alias("value"), F.col("statement").alias("source"), F.when(F.col("line_status") == "F", "2020-01-01").alias("reviewed_at"))
     return library.upgrade(rows).select("row_id", "criterion_id", "parent_statement_id", "source_version", "human_review_status", "value_kind", "interval", F.col("entity").alias("term"))
 
 
 @_query
 def interval_relations(spark, sf_dir):
-    """How the intervals of trials relate, by measurement; trials are grouped by customer segment here."""
-    rows = T.lines(spark, sf_dir).filter("kind = 1").select(F.concat(F.lit("S"), F.col("order_key") % 40).alias("trial_id"), F.concat("lab", F.lit("-"), F.col("part_key")).alias("entity"), F.lit("mmol/L").alias("unit"), F.col("q").cast("double").alias("lower_bound"), (F.col("q") + 10.0).alias("upper_bound"))
-    return library.interval_relations(rows).groupBy("relation").agg(F.count("*").alias("n"))
+    """How the intervals of all trials relate, by measurement."""
+    width = F.element_at(F.array(*map(F.lit, (100.0, 10.0, 20.0, 30.0, 40.0, 50.0))), F.col("kind") + 1)
+    rows = T.lines(spark, sf_dir).select("trial_id", F.col("lab").alias("entity"), F.lit("mmol/L").alias("unit"), F.col("q").cast("double").alias("lower_bound"), (F.col("q") + width).alias("upper_bound"))
+    return library.interval_counts(rows).groupBy("entity", "relation").agg(F.sum("trial_pairs").alias("n"))
 
 
 # --- rows only ------------------------------------------------------------------------------------------------
@@ -452,12 +482,19 @@ def pages_to_eligibility(spark, sf_dir):
     return readers.pages_to_eligibility(pages)
 
 
+def _local_folder(spark) -> str:
+    """A folder of this machine, for a session that is this machine alone."""
+    if not (spark.conf.get("spark.master", "") or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+
+
 @_query
 def stream_job_status(spark, sf_dir):
     """Job status from a stream of events, read once to its end."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("event_id", F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stage"))
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark)
     path = f"{root}/job-status-{uuid.uuid4().hex}"
     status = job_status(stream).writeStream.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/table"))
     status.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators.library import latest_snapshot
+from ..operators.library import latest_snapshot, library_union, upgrade
 
 _ENTRY = "struct<slot:int,cohort:string,trial_id:string,phase:string,title:string,enabled:boolean,status:string>"
 STUDY_SCHEMA = (
@@ -20,7 +20,7 @@ def manifest_entries(texts: DataFrame) -> DataFrame:
 
     A manifest is an object with ``trials`` or a bare array; an entry is an object or a bare id.
     """
-    whole = F.trim(F.col("value"))
+    whole = C.strip("value")
     array = F.when(whole.startswith("["), whole).otherwise(F.get_json_object(whole, "$.trials"))
     cohort = F.when(~whole.startswith("["), F.get_json_object(whole, "$.cohort_id"))
     items = texts.select(cohort.alias("cohort_id"), F.posexplode(F.from_json(array, "array<string>")).alias("pos", "item"))
@@ -115,6 +115,16 @@ def read_review_sheet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def read_entries(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of one library file, a base library or a snapshot."""
+    return spark.read.option("multiLine", True).json(path).select(F.explode("entries").alias("e")).select("e.*")
+
+
+def read_whole_library(spark: SparkSession, folder: str, base: str) -> DataFrame:
+    """The base library in the file ``base`` and the reviewed entries, in the present shape, with their origin."""
+    return library_union(upgrade(read_entries(spark, base)), upgrade(read_library(spark, folder)))
+
+
 def read_library(spark: SparkSession, folder: str) -> DataFrame:
     """The entries of the snapshot in ``folder`` that counts: current before legacy, then the last by name."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path").distinct()
@@ -122,4 +132,4 @@ def read_library(spark: SparkSession, folder: str) -> DataFrame:
     chosen = names.join(latest_snapshot(names), "name").select("path").first()  # one name
     if chosen is None:
         return spark.createDataFrame([], "trial_id string, criterion_type string, entity string, source string")
-    return spark.read.option("multiLine", True).json(chosen[0]).select(F.explode("entries").alias("e")).select("e.*")
+    return read_entries(spark, chosen[0])

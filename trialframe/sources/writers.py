@@ -16,10 +16,13 @@ SNAPSHOT_COLUMNS = (
 
 
 def write_snapshot(entries: DataFrame, folder: str, snapshot_id: str) -> None:
-    """A cumulative snapshot: Parquet by snapshot_id, and one flat text form with nested columns as JSON."""
-    entries.withColumn("snapshot_id", F.lit(snapshot_id)).write.mode("append").partitionBy("snapshot_id").parquet(f"{folder}/parquet")
+    """A cumulative snapshot: Parquet in its own partition by snapshot_id, and a flat text form with nested columns as JSON.
+
+    A snapshot that is written again replaces itself and no other.
+    """
+    entries.write.mode("overwrite").parquet(f"{folder}/parquet/snapshot_id={snapshot_id}")
     flat = in_library_order(entries).select(*[F.to_json(c).alias(c) if entries.schema[c].dataType.typeName() == "array" else F.col(c) for c in SNAPSHOT_COLUMNS])
-    flat.write.option("header", True).option("escape", '"').csv(f"{folder}/csv/{snapshot_id}")
+    flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/csv/{snapshot_id}")
 
 
 def write_validated_export(entries: DataFrame, path: str) -> None:
