@@ -5,8 +5,9 @@ trees through one priority queue, the nearest side of a split first, until it ha
 and visits meet in a join, and the rows of a leaf are ranked by their exact inner products.
 
 Inner products become angles: a row of norm r gets one more component sqrt(R * R - r * r), where R is the
-largest norm, and a query, scaled to the norm R too, gets 0. How many leaves the queries visit is raised where
-rows of the sample, searched for each other, do not find enough of their true neighbours.
+largest norm, and a query, scaled to the norm R too, gets 0. How many leaves a query visits is measured: so many
+that rows of the sample, searched for each other, find enough of their true neighbours. Data with structure need
+few; where near neighbours are hardly nearer than others, as in 64 dimensions without clusters, most are needed.
 """
 
 from __future__ import annotations
@@ -29,14 +30,9 @@ FIT_ROWS = 32_768
 TREES = 10
 LEAVES = 64
 LEAF_ROWS = 32
-#: Rows that the visited leaves of a query hold, over all trees: a share of all rows, and at least so many. The
-#: share is that high because near neighbours in 64 dimensions without further structure are hardly nearer
-#: than others; where data have structure, a lower one does.
-VISIT_SHARE = 0.9
-VISIT_ROWS = 2048
 #: Recall that rows of the sample must reach among each other, and how many of them are searched for.
-RECALL = 0.92
-PROBES = 128
+RECALL = 0.93
+PROBES = 256
 #: Rows of a leaf that one task holds.
 HELD_ROWS = 4096
 
@@ -172,18 +168,37 @@ def inner_products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def contenders(queries: np.ndarray, rows: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each query the places of the rows that may be among its ``k`` best.
+
+    A matrix product rounds in another order than ``inner_products``; rows within the error of the k-th are kept.
+    """
+    width = min(queries.shape[1], rows.shape[1])
+    everything = np.arange(len(rows))
+    if len(rows) <= k:
+        return [everything] * len(queries)
+    with np.errstate(over="ignore", invalid="ignore"):
+        scores = queries[:, :width] @ rows[:, :width].T
+        error = 1e-14 * width * np.linalg.norm(queries, axis=1) * np.linalg.norm(rows, axis=1).max()
+    least = np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k] - error
+    return [np.flatnonzero(own >= low) if np.isfinite(own).all() and np.isfinite(low) else everything for own, low in zip(scores, least, strict=True)]
+
+
 def _ranked(k: int):
     """Rows come sorted by (tree, leaf, part, kind, vec_id): the rows of a leaf, then the queries that visit it."""
 
     def flush(ids: list, rows: list, queries: list, vectors: list) -> list[tuple]:
         names, found = np.array(ids, np.int64), []
         table = matrix(rows, np.float64)
+        # a query's own rows do not count
+        own_rows = int(np.unique(names, return_counts=True)[1].max()) if len(names) else 0
         for first in range(0, len(queries), 64):
-            scores = inner_products(matrix(vectors[first : first + 64], np.float64), table)
-            for query, own in zip(queries[first : first + 64], scores, strict=True):
-                others = names != query
-                top = best(own[others], k)
-                found.append((np.full(len(top), query), names[others][top], own[others][top]))
+            aims = matrix(vectors[first : first + 64], np.float64)
+            for query, aim, near in zip(queries[first : first + 64], aims, contenders(aims, table, k + own_rows), strict=True):
+                near = near[names[near] != query]
+                own = inner_products(aim[None], table[near])[0]
+                top = best(own, k)
+                found.append((np.full(len(top), query), names[near][top], own[top]))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +256,7 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFrame
 
     ``vectors`` is (vec_id, embedding). The queries are the rows whose vec_id is divisible by ``query_every``, the
     candidates all rows with another vec_id; all of them are in the index. Ties go to the smaller vec_id. A query
-    visits leaves of VISIT_ROWS rows at least, so that it finds ``k`` candidates if there are as many.
+    visits leaves of 2 (k + 1) rows a tree at least, so that it finds ``k`` candidates if there are as many.
 
     Rows without a vec_id, null or zero vectors and those with null or non-finite components take no part.
     Vectors of different lengths are filled up with 0. Rows that repeat a vec_id are candidates one by one, of
@@ -260,8 +275,8 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFrame
     forest = forest_over(sample, width, reach, n)
     shared = spark.sparkContext.broadcast(forest)
     leaves = sum(t.leaves for t in forest)
-    # a leaf holds n * TREES / leaves rows; trees overlap
-    wanted = max(TREES, -(-int(max(VISIT_ROWS, VISIT_SHARE * n) * leaves) // max(1, n * TREES)), leaves_for(forest, sample, width, reach, k))
+    # a leaf holds n * TREES / leaves rows, and so many leaves hold 2 (k + 1) rows a tree
+    wanted = max(TREES, -(-2 * (k + 1) * leaves // max(1, n)), leaves_for(forest, sample, width, reach, k))
 
     queries = rows.filter(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     schema = f"tree int, leaf bigint, vec_id bigint, vector array<{kind}>"
