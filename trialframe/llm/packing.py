@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .store import small_batches, written
 from .words import Words, text_words, word_hashes
 
-#: Windows that a group of pieces fills.
+#: Windows that a group of pieces fills, and its pieces, each on average: differencing holds an array of as many
+#: values as there are windows for each piece, some 20 MB at most.
 GROUP_WINDOWS = 128
+GROUP_PIECES = 8192
 #: Words that a worker remembers the ids of, at some 30 bytes a word.
 REMEMBERED = 3_000_000
 #: Bytes of text that are looked up together.
@@ -216,8 +218,8 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = 4096) ->
     small_batches(docs.sparkSession)
     pieces = written(document_pieces(docs, tokenizer, end, capacity).withColumn("piece", F.monotonically_increasing_id()), "pieces")
     short = pieces.filter(F.col("length") < capacity)
-    total = short.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, round(total / (GROUP_WINDOWS * capacity)))
+    sums = short.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("ids"), F.count("*").alias("pieces")).first()
+    groups = max(1, round(sums["ids"] / (GROUP_WINDOWS * capacity)), round(sums["pieces"] / GROUP_PIECES))
 
     def divide(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "piece"], ascending=[False, True], ignore_index=True)
