@@ -82,7 +82,8 @@ def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
     if not identifiers.spans:
         return []
     mixed = fresh(Span(m.start(), m.end(), "linked_secret") for m in MIXED.finditer(text) if _mixed(m[0]))
-    mixed = [x for x in mixed if identifiers.near(x, reach) and not any(a.start < x.end and x.start < a.end for a in accounts)]
+    named = _Intervals(accounts)
+    mixed = [x for x in mixed if identifiers.near(x, reach) and not named.near(x, 0)]
     secrets = _Intervals([*certain, *mixed])
     if not secrets.spans:
         return []
