@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -36,8 +37,8 @@ BATCH_BYTES = 4 << 20
 #: A payload must have so many bytes to be revisited.
 REVISIT_BYTES = 100
 
-_ARC = "record_no bigint, version int, url string, ip string, date string, media string, page_id bigint, payload binary, payload_bytes bigint, payload_digest string, error string"
-_WARC = "warc_type string, record_id string, date string, uri string, page_id bigint, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary, error string"
+_ARC = "record_no bigint, place string, version int, http int, url string, ip string, date string, media string, page_id bigint, payload binary, payload_bytes bigint, payload_digest string, error string"
+_WARC = "warc_type string, record_id string, refers_id string, date string, uri string, page_id bigint, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary, error string"
 
 
 class ArcRecord(NamedTuple):
@@ -89,6 +90,12 @@ def _version_block(version: int, name: str, date: str) -> bytes:
     return f"filedesc://{name} 0.0.0.0 {date} text/plain {len(body)}\n".encode() + body
 
 
+def _place(path: str, record: int) -> str:
+    """Where a record is among archives that were written together, whatever the writer's job was called."""
+    folder, _, name = path.rpartition("/")
+    return f"{folder.rpartition('/')[2]}/{re.sub(r'[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}-?', '', name)}/{record}"
+
+
 def _http(block: bytes) -> tuple[dict[str, str], bytes]:
     """The header fields, in lower case, and the body of an HTTP message."""
     head, _, body = block.partition(CRLF + CRLF)
@@ -150,10 +157,10 @@ def _read(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for files in batches:
-            for content in files.column("content"):
+            for path, content in zip(files.column("path"), files.column("content"), strict=True):
                 data = content.as_py()
                 rows, size = [], 0
-                for row in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                for row in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, path.as_py()):
                     rows.append(row)
                     size += 200 + sum(len(x) for x in row if isinstance(x, bytes))
                     if size >= BATCH_BYTES:
@@ -162,22 +169,24 @@ def _read(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """The records of ARC files of either version, gzipped or not.
 
-    (record_no, version, url, ip, date, media, page_id, payload, payload_bytes, payload_digest, error): the
-    payload is the body of the HTTP message, its digest the bare SHA-256. Malformed records have an error.
+    (record_no, place, version, http, url, ip, date, media, page_id, payload, payload_bytes, payload_digest, error):
+    the payload is the body of the HTTP message, or all of a block that is none (http 0), such as a DNS answer; its
+    digest is the bare SHA-256. ``place`` names the record's file and number. Malformed records have an error.
     """
 
-    def parse(data: bytes) -> Iterator[tuple]:
+    def parse(data: bytes, path: str) -> Iterator[tuple]:
         for i, x in enumerate(parse_arc(data)):
-            header, body = _http(x.block)
+            http = x.block.startswith(b"HTTP/")
+            header, body = _http(x.block) if http else ({}, x.block)
             number = header.get("x-page-id", "")
             url = x.fields.get("URL")
-            yield (i, x.version, None if url == "-" else url, x.fields.get("IP-address"), x.fields.get("Archive-date"), x.fields.get("Content-type"), int(number) if number.lstrip("-").isdigit() else None, body, len(body), hashlib.sha256(body).hexdigest(), x.error)
+            yield (i, _place(path, i), x.version, int(http), None if url == "-" else url, x.fields.get("IP-address"), x.fields.get("Archive-date"), x.fields.get("Content-type"), int(number) if number.lstrip("-").isdigit() else None, body, len(body), hashlib.sha256(body).hexdigest(), x.error)
 
     return _read(spark, path, parse, _ARC)
 
@@ -185,6 +194,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
 def with_revisits(records: DataFrame) -> DataFrame:
     """``records`` with ``refers_to``: the smallest page_id of those with an equal payload, if another's.
 
+    ``refers_place`` and ``refers_date`` are those of that page's first record.
     Payloads under REVISIT_BYTES refer to nothing, nor does a record without a page_id if none has one. Only
     digests are grouped; payloads stay with their records unless the join has to move them.
     """
@@ -192,20 +202,23 @@ def with_revisits(records: DataFrame) -> DataFrame:
     first = (
         records.filter(long & F.col("error").isNull())
         .groupBy(F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("bytes"))
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
+        .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "place", "date"))).alias("first"), F.count("*").alias("copies"))
         .filter("copies > 1")
     )
     joined = records.join(first, (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") == F.col("bytes")), "left")
-    other = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    return joined.withColumn("refers_to", F.when(other, F.col("first"))).drop("digest", "bytes", "first", "copies")
+    other = F.col("first").isNotNull() & ~F.col("first.page_id").eqNullSafe(F.col("page_id"))
+    refers = {f"refers_{name}": F.when(other, F.col(f"first.{c}")) for name, c in (("to", "page_id"), ("place", "place"), ("date", "date"))}
+    return joined.withColumns(refers).drop("digest", "bytes", "first", "copies")
 
 
-def _record_id(page_id: int | None, digest: str, date: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{digest}/{date}')}>"
+def _record_id(page_id: int | None, digest: str, date: str | None, place: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{digest}/{date}/{place}')}>"
 
 
 def _iso(date: str | None) -> str:
-    d = (date or "").ljust(14, "0")
+    """A time stamp from up to 14 digits; of what is left out, the first month, day or second."""
+    d = re.sub(r"\D", "", date or "")[:14]
+    d += "00010101000000"[len(d) :]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
@@ -218,27 +231,28 @@ def write_warc(records: DataFrame, path: str) -> None:
     """Writes rows of ``read_arc`` with ``refers_to`` as WARC files; malformed rows are left out.
 
     A response has the HTTP message as its block; a revisit has only the header of that message, and the
-    digest and size of the full payload.
+    digest and size of the full payload. A block that was no HTTP message is a resource.
     """
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
-        names = ("url", "date", "media", "page_id", "payload", "payload_digest", "payload_bytes", "refers_to")
+        names = ("url", "date", "media", "page_id", "payload", "payload_digest", "payload_bytes", "refers_to", "refers_place", "refers_date", "place", "http")
         for batch in batches:
-            for url, date, media, page_id, payload, digest, size, refers in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: {media}; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+            for url, date, media, page_id, payload, digest, size, refers, refers_place, refers_date, place, http in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: {media}; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() if http else b""
                 block = head if refers is not None else head + payload
-                fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", _record_id(page_id, digest, date)), ("WARC-Date", _iso(date))]
+                kind = "revisit" if refers is not None else "response" if http else "resource"
+                fields = [("WARC-Type", kind), ("WARC-Record-ID", _record_id(page_id, digest, date, place)), ("WARC-Date", _iso(date))]
                 if url:
                     fields.append(("WARC-Target-URI", url))
                 fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("X-Payload-Bytes", str(size))]
                 if page_id is not None:
                     fields.append(("X-Page-Id", str(page_id)))
                 if refers is not None:
-                    fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _record_id(refers, digest, date)), ("X-Refers-To-Page", str(refers))]
-                yield _warc_record([*fields, ("Content-Type", "application/http; msgtype=response")], block)
+                    fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _record_id(refers, digest, refers_date, refers_place)), ("WARC-Refers-To-Date", _iso(refers_date)), ("X-Refers-To-Page", str(refers))]
+                yield _warc_record([*fields, ("Content-Type", "application/http; msgtype=response" if http else media or "application/octet-stream")], block)
 
     body = b"software: trialframe\r\nformat: WARC File Format 1.1\r\n"
-    opening = _warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", _record_id(None, hashlib.sha256(body).hexdigest(), "")), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], body)
+    opening = _warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", _record_id(None, hashlib.sha256(body).hexdigest(), "", "")), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], body)
     _write(records.filter("error is null").mapInArrow(lambda batches: _archives(lines(batches), opening), "value string"), path)
 
 
@@ -262,27 +276,27 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The response and revisit records of WARC files, gzipped or not, each with its payload.
+    """The response, resource and revisit records of WARC files, gzipped or not, each with its payload.
 
-    (warc_type, record_id, date, uri, page_id, refers_to, payload_digest, payload_bytes, payload, error): a
+    (warc_type, record_id, refers_id, date, uri, page_id, refers_to, payload_digest, payload_bytes, payload, error): a
     revisit has no payload; its digest and bytes are those of the full one. A response whose payload does
     not have the digest that it declares has an error.
     """
 
-    def parse(data: bytes) -> Iterator[tuple]:
+    def parse(data: bytes, _: str) -> Iterator[tuple]:
         for fields, block, error in parse_warc(data):
             kind = fields.get("warc-type")
-            if kind not in ("response", "revisit") and error is None:
+            if kind not in ("response", "resource", "revisit") and error is None:
                 continue
             number = lambda k: int(fields[k]) if fields.get(k, "").lstrip("-").isdigit() else None  # noqa: B023, E731
             digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
             payload, size = None, number("x-payload-bytes")
-            if kind == "response":
-                payload = _http(block)[1]
+            if kind in ("response", "resource"):
+                payload = _http(block)[1] if kind == "response" else block
                 size = len(payload)
                 if error is None and hashlib.sha256(payload).hexdigest() != digest:
                     error = "digest differs"
-            yield kind, fields.get("warc-record-id"), fields.get("warc-date"), fields.get("warc-target-uri"), number("x-page-id"), number("x-refers-to-page"), digest, size, payload, error
+            yield kind, fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-date"), fields.get("warc-target-uri"), number("x-page-id"), number("x-refers-to-page"), digest, size, payload, error
 
     return _read(spark, path, parse, _WARC)
 
