@@ -66,12 +66,34 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
+def with_other_answers(turns: DataFrame) -> DataFrame:
+    """Preference pairs (pair_id, side, turn, role, text) of conversations (conv_id, turn, role, text), one of each.
+
+    Chosen is the conversation as it is. Rejected are its turns before the assistant's last one, and then the last
+    answer of another conversation in its place: that of conversation 2 i + 1 for 2 i, and the other way round; an
+    empty answer if there is none. Conversations in which the assistant has no turn with a number give no pair.
+    """
+    last = turns.filter("role = 'assistant' and turn is not null").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last")).select("conv_id", F.col("last.turn").alias("cut"), F.col("last.text").alias("answer"))
+    chosen = turns.join(last.select("conv_id"), "conv_id").select(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), "turn", "role", "text")
+    before = turns.join(last.select("conv_id", "cut"), "conv_id").filter("turn < cut or turn is null").select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), "turn", "role", "text")
+    other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("pair_id"), "answer")
+    answers = last.select(F.col("conv_id").alias("pair_id"), "cut").join(other, "pair_id", "left").select("pair_id", F.lit("rejected").alias("side"), F.col("cut").alias("turn"), F.lit("assistant").alias("role"), F.coalesce("answer", F.lit("")).alias("text"))
+    return chosen.unionByName(before).unionByName(answers)
+
+
 PREFERENCE_SQL = r"""
-with turns as (
-  select conv_id // 2 as pair_id, conv_id % 2 as side, role, text,
-         row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as pos,
+with lasts as (
+  select conv_id, max((turn, text)) as l from conversations where role = 'assistant' and turn is not null and conv_id is not null group by conv_id),
+cuts as (select conv_id, l[1] as cut, l[2] as answer from lasts),
+paired as (
+  select conv_id as pair_id, 0 as side, turn, role, text from conversations join cuts using (conv_id)
+  union all select conv_id, 1, turn, role, text from conversations join cuts using (conv_id) where turn < cut or turn is null
+  union all select c.conv_id, 1, c.cut, 'assistant', coalesce(o.answer, '') from cuts c left join cuts o on o.conv_id = xor(c.conv_id, 1)),
+turns as (
+  select pair_id, side, role, text,
+         row_number() over (partition by pair_id, side order by turn nulls first, role nulls first, text nulls first) as pos,
          '<|' || coalesce(role, '') || '|>' || chr(10) as head, coalesce(text, '') || '<|end|>' || chr(10) as body
-  from conversations where conv_id is not null),
+  from paired),
 sizes as (
   select pair_id, max(pos) filter (where side = 0) as n0, max(pos) filter (where side = 1) as n1
   from turns group by pair_id having n0 is not null and n1 is not null),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
-from .chat import PREFERENCE_SQL, preference_pairs
+from .chat import PREFERENCE_SQL, preference_pairs, with_other_answers
 from .mixing import MIX_SQL, mix_sources
 from .neardup import near_duplicates
 from .packing import pack
@@ -39,11 +39,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2 i and 2 i + 1 are the chosen and the rejected one of pair i."""
-    turns = _table(spark, sf_dir, "conversations")
-    pair = F.floor(F.col("conv_id") / 2).cast("long")
-    side = F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected")
-    return preference_pairs(turns.select(pair.alias("pair_id"), side.alias("side"), "turn", "role", "text"))
+    return preference_pairs(with_other_answers(_table(spark, sf_dir, "conversations")))
 
 
 def op4_warc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
