@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import removed, written
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,7 +64,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     Null and empty texts have size 0 and are not taken. A null source is a source, and a null doc_id is
     shuffled like any other. Repeated rows are documents of their own. Other columns are not read.
     """
-    sized = written(docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), document_size(F.col("text")).alias("size")), "sized")
+    sized = counted = written(docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), document_size(F.col("text")).alias("size")), "sized")
     rows = sized.count()
     parts = max(1, rows // max(4096, math.isqrt(rows)))
     targets = written(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
@@ -82,6 +82,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     )
     aims = targets.withColumnRenamed("source", "of")
     queued = written(queued.join(aims, F.col("source").eqNullSafe(F.col("of"))).drop("of", "weight"), "queued")
+    removed(counted)
 
     def finish(copy: Column) -> Column:
         return (copy * F.col("source_size") + F.col("words")).cast("double") / F.col("target")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import small_batches, written
+from .store import removed, small_batches, written
 from .words import mix, shingle_sets
 
 #: Values kept of each set. A pair at similarity 0.8 shares fewer than SHARED of 64 with probability 1e-6.
@@ -183,12 +183,15 @@ def components(links: DataFrame) -> DataFrame:
     labels = written(edges.groupBy(F.col("a").alias("rid")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
         around = edges.join(labels.select(F.col("rid").alias("b"), "label"), "b").groupBy(F.col("a").alias("rid")).agg(F.min("label").alias("near"))
-        step = labels.withColumnRenamed("label", "was").join(around, "rid").select("rid", F.least("was", "near").alias("label"), "was")
+        step = labels.select("rid", F.col("label").alias("was")).join(around, "rid").select("rid", F.least("was", "near").alias("label"), "was")
         jump = labels.select(F.col("rid").alias("label"), F.col("label").alias("next"))
         after = written(step.join(jump, "label").select("rid", F.col("next").alias("label"), "was"), "labels")
-        if not after.filter("label <> was").head(1):
-            return after.select("rid", "label")
-        labels = after.select("rid", "label")
+        done = not after.filter("label <> was").head(1)
+        removed(labels)
+        labels = after
+        if done:
+            removed(edges)
+            return labels.select("rid", "label")
 
 
 def _stars(groups: DataFrame) -> DataFrame:
@@ -318,19 +321,31 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
     repeated = bool(signed.groupBy("doc_id").count().filter("count > 1").head(1))
     named = nodes.select("rid", "doc_id", "fp")
 
-    pairs = written(_similar_sketches(written(_against_pivots(lists.withColumn("label", F.col("rid")), [0]), "pairs"), nodes, percent), "similar")
+    def similar(found: DataFrame) -> DataFrame:
+        pairs = written(found, "pairs")
+        out = written(_similar_sketches(pairs, nodes, percent), "similar")
+        removed(pairs)
+        return out
+
+    pairs = similar(_against_pivots(lists.withColumn("label", F.col("rid")), [0]))
     compared = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    groups = components(_confirm(pairs, _sets(docs, named.join(compared, "rid"), shingle, repeated), percent))
+    sets = _sets(docs, named.join(compared, "rid"), shingle, repeated)
+    groups = components(_confirm(pairs, sets, percent))
+    removed(pairs, sets)
 
-    lists = written(lists.join(groups, "rid", "left").withColumn("label", F.coalesce("label", "rid")), "lists")
+    plain, lists = lists, written(lists.join(groups, "rid", "left").withColumn("label", F.coalesce("label", "rid")), "lists")
     unsettled = written(_unsettled(lists), "unsettled")
     sets = _sets(docs, named.join(unsettled.select("rid"), "rid"), shingle, repeated)
-    pairs = written(_similar_sketches(written(_against_pivots(lists.join(unsettled.select("rid"), "rid"), MORE_PIVOTS), "pairs"), nodes, percent), "similar")
+    pairs = similar(_against_pivots(lists.join(unsettled.select("rid"), "rid"), MORE_PIVOTS))
     groups = components(_stars(groups).unionByName(_confirm(pairs, sets, percent)))
+    removed(plain, lists, pairs)
+
     listed = _deep_lists(unsettled, sets)
     for best in (True, False):  # most groups meet by their likeliest pair, which leaves few pairs to the second turn
-        pairs = written(_similar_sketches(written(_across(listed, groups, best), "pairs"), nodes, percent), "similar")
+        pairs = similar(_across(listed, groups, best))
         groups = components(_stars(groups).unionByName(_confirm(pairs, sets, percent)))
+        removed(pairs)
+    removed(listed, unsettled, sets)
 
     labelled = nodes.join(groups, "rid", "left").select("fp", F.coalesce("label", "rid").alias("label"), "doc_id")
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
