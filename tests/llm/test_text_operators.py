@@ -160,6 +160,36 @@ def test_mix_of_little(spark):
     assert out.count() == mix_sources(docs).agg(F.sum("copies")).first()[0]
 
 
+def test_mixed_documents_come_in_the_order_of_their_finish_times(spark):
+    import hashlib
+
+    rng = random.Random(8)
+    rows = [(None if i % 50 == 0 else i, " ".join([f"w{i}"] * rng.randint(1, 30)), f"s{min(i % 9, 3)}") for i in range(6000)]
+    docs = documents(spark, rows)
+    targets = {r.source: (r.source_size, r.target) for r in mix_sources(docs).collect()}
+    queue = sorted(rows, key=lambda r: (hashlib.md5(str("" if r[0] is None else r[0]).encode()).hexdigest(), r[0] or -1, len(r[1].split())))
+    words, copies = {}, []
+    for place, source in enumerate(sorted(targets)):
+        for doc_id, text, s in queue:
+            if s == source:
+                words[s] = words.get(s, 0) + len(text.split())
+                copies += [((n * targets[s][0] + words[s]) / targets[s][1], place, n, words[s], doc_id, len(text.split())) for n in range(3)]
+    expected, total = [], sum(len(r[1].split()) for r in rows)
+    for copy in sorted(copies, key=lambda c: c[:4]):
+        total -= copy[5]
+        if total < 0:
+            break
+        expected.append((copy[4], copy[5]))
+    got = mixed_documents(docs)
+    assert got.rdd.getNumPartitions() > 1
+    assert [(r.doc_id, len(r.text.split())) for r in got.collect()] == expected
+    first, at = {}, 0
+    for doc_id, size in expected:
+        first.setdefault(doc_id, at)
+        at += size
+    assert {r.doc_id: r.position for r in mix_sources(docs).filter("doc_id is not null and copies > 0").collect()} == {k: v for k, v in first.items() if k is not None}
+
+
 # --- quality --------------------------------------------------------------------------------------------------
 
 

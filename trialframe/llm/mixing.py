@@ -2,11 +2,11 @@
 
 Every source's documents are shuffled by a hash of their id and queued. A copy of a document finishes at the
 virtual time (words of its source queued so far) / (target of its source), so all sources reach their
-target at time 1. In the order of finish times, the mix takes copies until the next one would exceed the
-total budget. A source is queued again from its start while its target exceeds its size.
+target at time 1. All copies are range-sorted by finish time, and the mix takes them until the next one would
+exceed the total budget. A source is queued again from its start while its target exceeds its size.
 
-Running sums are taken in two steps, over hash buckets and inside each, so no source and no stretch of
-virtual time is sorted in one task. Only the total and the place of the cut come to the driver.
+Running sums are taken in two steps, over the ranges and inside each, so no source and no stretch of
+virtual time is sorted in one task. Only the total comes to the driver.
 """
 
 from __future__ import annotations
@@ -54,87 +54,82 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     return first.select("source", "source_size", "place", "weight", target.alias("target"))
 
 
+def _summed(rows: DataFrame, count: int, by: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows``, about ``count`` of them, with ``name``: the sum of ``size`` so far in ``order`` within ``by``, and the row's ``range``.
+
+    The rows are range-sorted by (``by``, ``order``) into ranges of some thousand rows, and their sums are added up
+    over the ranges and inside each.
+    """
+    ranges = max(1, count // max(4096, math.isqrt(count)))
+    ranged = written(rows.repartitionByRange(ranges, *by, *order).withColumn("range", F.spark_partition_id()), "ranged")
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*by, "range").agg(F.sum("size").alias("words_of"))
+    starts = sums.select(*[F.col(c).alias(f"{c}_of") for c in (*by, "range")], F.coalesce(F.sum("words_of").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy(*by, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = ranged.withColumn("inside", F.sum("size").over(inside)).join(starts, [F.col(c) == F.col(f"{c}_of") for c in (*by, "range")])
+    found = written(found.select(*rows.columns, "range", (F.col("start") + F.col("inside")).alias(name)), name)
+    removed(ranged)
+    return found
+
+
+def _mix(docs: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, source, size, hash, source_size, target) of all documents, and (row, copy, range, position) of the mix."""
+    ids = [F.col(c).alias(c) for c in ("doc_id", "source")]
+    sized = written(docs.select(*ids, document_size(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row")), "sized")
+    count = sized.count()
+    targets = written(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
+    budget = targets.agg(F.sum("source_size")).first()[0] or 0
+
+    aims = targets.select(F.col("source").alias("of"), "source_size", "place", "target")
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    queued = sized.join(aims, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("key", key)
+    # rows with one doc_id, source and size are alike in the mix; their row only splits them over ranges
+    queued = _summed(queued, count, ["place"], ["key", "doc_id", "size", "row"], "words").drop("range")
+    removed(sized)
+
+    copies = queued.filter("target > 0 and size > 0").select("row", "place", "size", "words", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("copy"))
+    at = (F.col("copy") * F.col("source_size") + F.col("words")).cast("double") / F.col("target")
+    copies = copies.select("row", "place", "copy", "words", "size", at.alias("at"))
+    after = _summed(copies, count * most, [], ["at", "place", "copy", "words"], "after")
+    mix = after.filter(F.col("after") <= budget).select("row", "copy", "range", (F.col("after") - F.col("size")).alias("position"))
+    return queued.select("row", "doc_id", "source", "size", "hash", "source_size", "target"), mix
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """What a mix takes of each document: (doc_id, source, size, source_size, target, taken, copies).
+    """What a mix takes of each document: (doc_id, source, size, source_size, target, taken, copies, position).
 
-    ``size`` counts words, ``taken`` is ``size`` times the ``copies`` that the mix takes, ``most`` at most. The
-    mix has as many words as all documents together, or fewer by less than one document; each source comes
-    within a document or two of its target. Reruns agree, whatever the order of the rows.
+    ``size`` counts words, ``taken`` is ``size`` times the ``copies`` that the mix takes, ``most`` at most, and
+    ``position`` the words of the mix before the first of them (null if it takes none). The mix has as many words
+    as all documents together, or fewer by less than one document; each source comes within a document or two
+    of its target. Reruns agree, whatever the order of the rows.
 
     Null and empty texts have size 0 and are not taken. A null source is a source, and a null doc_id is
     shuffled like any other. Repeated rows are documents of their own. Other columns are not read.
     """
-    sized = counted = written(docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), document_size(F.col("text")).alias("size")), "sized")
-    rows = sized.count()
-    parts = max(1, rows // max(4096, math.isqrt(rows)))
-    targets = written(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
-
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = sized.withColumn("key", key).withColumn("part", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * parts / F.lit(1 << 32)).cast("int"))
-    sums = sized.groupBy("source", "part").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("of"), F.col("part").alias("in"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    queued = (
-        sized.withColumn("inside", F.sum("size").over(inside))
-        .join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in")))
-        .select("doc_id", "source", "size", (F.col("start") + F.col("inside")).alias("words"))
-    )
-    aims = targets.withColumnRenamed("source", "of")
-    queued = written(queued.join(aims, F.col("source").eqNullSafe(F.col("of"))).drop("of", "weight"), "queued")
-    removed(counted)
-
-    def finish(copy: Column) -> Column:
-        return (copy * F.col("source_size") + F.col("words")).cast("double") / F.col("target")
-
-    copies = queued.filter("target > 0 and size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("at", finish(F.col("copy")))
-    copies = copies.withColumn("slot", F.floor(F.col("at") * parts))
-    slots = copies.groupBy("slot").agg(F.sum("size").alias("words"))
-    slots = slots.withColumn("after", F.sum("words").over(Window.orderBy("slot")))
-    budget = queued_budget(targets)
-    cut = slots.filter(F.col("after") > budget).orderBy("slot").select("slot", (F.col("after") - F.col("words")).alias("before")).first()
-    last = None
-    if cut:
-        order = ("at", "place", "copy", "words")
-        running = F.sum("size").over(Window.partitionBy("slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        inner = copies.filter(F.col("slot") == cut["slot"]).withColumn("running", running + cut["before"])
-        last = inner.filter(F.col("running") <= budget).agg(F.max(F.struct(*order)).alias("m")).first()["m"]
-
-    def position(at, place, copy, words) -> Column:
-        lit = lambda x: F.col(x) if isinstance(x, str) else F.lit(x)
-        return F.struct(lit(at).alias("at"), *(lit(x).cast("long").alias(k) for k, x in (("place", place), ("copy", copy), ("words", words))))
-
-    def taken(copy: int) -> Column:
-        at = finish(F.lit(copy))
-        if cut is None:
-            return F.lit(1)
-        inside_cut = F.lit(False)
-        if last is not None:
-            inside_cut = (F.floor(at * parts) == cut["slot"]) & (position(at, "place", copy, "words") <= position(*last))
-        return F.when((F.floor(at * parts) < cut["slot"]) | inside_cut, 1).otherwise(0)
-
-    count = F.when((F.col("target") > 0) & (F.col("size") > 0), sum((taken(c) for c in range(most)), F.lit(0))).otherwise(0).cast("long")
-    return queued.withColumn("copies", count).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
-
-
-def queued_budget(targets: DataFrame) -> int:
-    """The words of the mix: all words."""
-    return targets.agg(F.sum("source_size")).first()[0] or 0
+    queued, mix = _mix(docs, weights, most)
+    picks = mix.groupBy(F.col("row").alias("of")).agg(F.count("*").alias("copies"), F.min("position").alias("position"))
+    found = queued.join(picks, F.col("row") == F.col("of"), "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
+    return found.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "position")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """``docs`` with all their columns, each row as often as the mix takes it.
+    """``docs`` with all their columns, each row as often as the mix takes it, in the order of the mix.
 
-    Of rows with one doc_id, source and size, those that come first by a hash of their text are taken most.
+    Partitions are the ranges of the mix. Rows with one doc_id, source, size and text take each other's places.
     """
-    names = ("id", "source", "size")
+    queued, mix = _mix(docs, weights, most)
+    places = mix.groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("range", "position")).alias("places"))
+    names = ("id", "source", "size", "hash")
+    alike = Window.partitionBy("alike").orderBy(*names)  # a key without nulls, by which rows are joined where they are
+    picks = queued.withColumnRenamed("doc_id", "id").join(places, F.col("row") == F.col("of"), "left").withColumn("alike", F.xxhash64(*names))
+    picks = picks.withColumn("nth", F.row_number().over(alike)).filter("places is not null").select(F.col("alike").alias("pick_alike"), F.col("nth").alias("pick_nth"), "places")
+
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
     rows = docs.select(whole, F.col("doc_id").alias("id"), F.col("source").alias("source"), document_size(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"))
-    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy(*names).orderBy("hash")))
-    picks = mix_sources(docs, weights, most).select(F.col("doc_id").alias("id"), "source", "size", "copies")
-    picks = picks.withColumn("row", F.row_number().over(Window.partitionBy(*names).orderBy(F.col("copies").desc()))).filter("copies > 0")
-    picks = picks.select(*[F.col(c).alias(f"pick_{c}") for c in (*names, "row")], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return rows.join(picks, [F.col(c).eqNullSafe(F.col(f"pick_{c}")) for c in (*names, "row")]).select("whole.*")
+    rows = rows.withColumn("alike", F.xxhash64(*names)).withColumn("nth", F.row_number().over(alike)).drop(*names)
+    mixed = rows.join(picks, (F.col("alike") == F.col("pick_alike")) & (F.col("nth") == F.col("pick_nth"))).select("whole", F.explode("places").alias("place"))
+    ranges = (mix.agg(F.max("range")).first()[0] or 0) + 1
+    return mixed.repartitionById(ranges, F.col("place.range")).sortWithinPartitions("place.position").select("whole.*")
 
 
 #: The same in one step per running sum.
@@ -168,9 +163,9 @@ copies as (
 running as (
   select *, sum(size) over (order by finish, place, copy, words rows unbounded preceding) as run from copies),
 picked as (
-  select doc_id, source, size, words, count(*) as n from running
+  select doc_id, source, size, words, count(*) as n, min(run - size)::bigint as position from running
   where run <= (select sum(source_size) from sources) group by all)
-select q.doc_id, q.source, q.size, q.source_size, q.target, (q.size * coalesce(p.n, 0))::bigint as taken, coalesce(p.n, 0)::bigint as copies
+select q.doc_id, q.source, q.size, q.source_size, q.target, (q.size * coalesce(p.n, 0))::bigint as taken, coalesce(p.n, 0)::bigint as copies, p.position
 from queued q left join picked p
   on q.doc_id is not distinct from p.doc_id and q.source is not distinct from p.source and q.size = p.size and q.words = p.words
 """
