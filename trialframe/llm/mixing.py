@@ -120,14 +120,14 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     queued, mix = _mix(docs, weights, most)
     places = mix.groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("range", "position")).alias("places"))
     names = ("id", "source", "size", "hash")
-    alike = Window.partitionBy("alike").orderBy(*names)  # a key without nulls, by which rows are joined where they are
-    picks = queued.withColumnRenamed("doc_id", "id").join(places, F.col("row") == F.col("of"), "left").withColumn("alike", F.xxhash64(*names))
-    picks = picks.withColumn("nth", F.row_number().over(alike)).filter("places is not null").select(F.col("alike").alias("pick_alike"), F.col("nth").alias("pick_nth"), "places")
-
+    picks = queued.withColumnRenamed("doc_id", "id").join(places, F.col("row") == F.col("of"), "left").select(*names, "places")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    rows = docs.select(whole, F.col("doc_id").alias("id"), F.col("source").alias("source"), document_size(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"))
-    rows = rows.withColumn("alike", F.xxhash64(*names)).withColumn("nth", F.row_number().over(alike)).drop(*names)
-    mixed = rows.join(picks, (F.col("alike") == F.col("pick_alike")) & (F.col("nth") == F.col("pick_nth"))).select("whole", F.explode("places").alias("place"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("source"), document_size(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"), whole)
+    # the nth pick of those alike meets the nth row; both sides are shuffled as one, so that texts move once for it
+    both = rows.unionByName(picks, allowMissingColumns=True).withColumns({"alike": F.xxhash64(*names), "pick": F.col("whole").isNull()}).repartition("alike")
+    both = both.withColumn("nth", F.row_number().over(Window.partitionBy("alike", "pick").orderBy(*names)))
+    met = F.first("places").over(Window.partitionBy("alike", "nth").orderBy(F.col("pick").desc()))
+    mixed = both.withColumn("places", met).filter("not pick and places is not null").select("whole", F.explode("places").alias("place"))
     ranges = (mix.agg(F.max("range")).first()[0] or 0) + 1
     return mixed.repartitionById(ranges, F.col("place.range")).sortWithinPartitions("place.position").select("whole.*")
 
