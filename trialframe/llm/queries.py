@@ -14,6 +14,7 @@ from .neardup import near_duplicates
 from .packing import pack
 from .pages import main_text
 from .quality import quality
+from .runs import periodic_runs
 from .secrets import find_secrets
 from .topk import TOP_K_SQL, exact_top_k
 from .warc import archive_pages
@@ -71,6 +72,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(_table(spark, sf_dir, "documents"), damaged=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_source_mixing,
@@ -83,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_minhash_near_dedup,
         op9_nearest_neighbours,
         op10_secret_scans,
+        op11_periodic_runs,
     )
     return {f.__name__: f for f in found}
 
