@@ -14,6 +14,7 @@ from .neardup import near_duplicates
 from .packing import pack
 from .pages import main_text
 from .quality import quality
+from .repair import REPAIR_SQL, damaged_turns, repair_conversations
 from .runs import periodic_runs
 from .secrets import find_secrets
 from .topk import TOP_K_SQL, exact_top_k
@@ -76,6 +77,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(_table(spark, sf_dir, "documents"), damaged=True)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged_turns(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_source_mixing,
@@ -89,9 +94,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_nearest_neighbours,
         op10_secret_scans,
         op11_periodic_runs,
+        op12_conversation_repair,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": MIX_SQL, "op3_preference_formatting": PREFERENCE_SQL, "op5_exact_top_k": TOP_K_SQL}
+    return {"op1_source_mixing": MIX_SQL, "op3_preference_formatting": PREFERENCE_SQL, "op5_exact_top_k": TOP_K_SQL, "op12_conversation_repair": REPAIR_SQL}
