@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .chat import PREFERENCE_SQL, preference_pairs, with_other_answers
+from .lmscore import score_texts
 from .mixing import MIX_SQL, mix_sources
 from .neardup import near_duplicates
 from .packing import pack
@@ -81,6 +82,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged_turns(_table(spark, sf_dir, "conversations")))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_source_mixing,
@@ -95,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_secret_scans,
         op11_periodic_runs,
         op12_conversation_repair,
+        op13_lm_scoring,
     )
     return {f.__name__: f for f in found}
 

@@ -6,7 +6,7 @@ character, so splitting the bytes splits the text. Texts are read straight from
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,8 +14,8 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: An odd base and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -97,13 +97,22 @@ def text_words(column: pa.Array, most_bytes: int = 1 << 19) -> Iterator[Words]:
         first = last
 
 
+def byte_hashes(data: np.ndarray, lower: bool = False) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that gives a 64-bit hash of the bytes from each start to each end; A-Z lower-cased first if asked."""
+    values = (LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(values * _power(_BASE, len(data))[: len(data)], out=sums[1:])
+
+    def hashes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        part = (sums[ends] - sums[starts]) * _power(_INVERSE, len(data) + 1)[starts]
+        return mix(part + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    return hashes
+
+
 def word_hashes(words: Words, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each word's bytes, A-Z lower-cased first if asked."""
-    data = (_LOWER[words.data] if lower else words.data).astype(np.uint64) + np.uint64(1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(data * _power(_BASE, len(data))[: len(data)], out=sums[1:])
-    hashes = (sums[words.ends] - sums[words.starts]) * _power(_INVERSE, len(data) + 1)[words.starts]
-    return mix(hashes + (words.ends - words.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return byte_hashes(words.data, lower)(words.starts, words.ends)
 
 
 def joined(hashes: np.ndarray, n: int) -> np.ndarray:
