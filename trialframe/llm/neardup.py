@@ -35,6 +35,8 @@ FULL_MASK_WORDS = 16
 #: Turns of the pivots that members which may yet have links are compared with.
 MORE_PIVOTS = (1, 2, 3, 4)
 _FULL_MASK = [f"mask_{i}" for i in range(FULL_MASK_WORDS)]
+#: Members of a group that meet other groups of a list first.
+SPEAKERS = 2
 #: Members of a list that are sent to one task beside the set they are compared with.
 RUN = 4096
 
@@ -278,9 +280,15 @@ def _deep_lists(unsettled: DataFrame, sets: DataFrame) -> DataFrame:
         .withColumn("place", F.expr("n - shared + rank"))
         .filter("place <= n - ceil(n * 4 / 5) + 1")
         .join(read.select("rid", *(F.col("full_mask")[i].alias(c) for i, c in enumerate(_FULL_MASK))), "rid")
-        .select("value", "rid", "n", "place", *_FULL_MASK)
+        .select("value", "df", "rid", "n", "place", *_FULL_MASK)
     )
-    return written(listed, "deep")
+    every = written(listed, "listed")
+    # the first of values with the same list stands at the lowest place in each of its sets, so the others add no pair
+    lists = every.groupBy("value", "df").agg(F.count("*").alias("size"), *(F.bit_xor(F.xxhash64("rid", F.lit(i))).alias(f"of_{i}") for i in (0, 1)))
+    first = lists.filter("size > 1").groupBy("size", "of_0", "of_1").agg(F.min(F.struct("df", "value"))["value"].alias("value"))
+    kept = written(every.join(first, "value", "left_semi").drop("df"), "deep")
+    removed(every)
+    return kept
 
 
 def _across(listed: DataFrame, groups: DataFrame, best: bool) -> DataFrame:
@@ -291,6 +299,9 @@ def _across(listed: DataFrame, groups: DataFrame, best: bool) -> DataFrame:
     drop most pairs before they are formed: of n values a linked set lacks at most (5 n - 4 m) / 9.
     """
     listed = listed.join(groups, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    if best:  # a few of each group are enough to find most links, and what they miss the other turn finds
+        turn = F.row_number().over(Window.partitionBy("value", "label").orderBy(F.xxhash64("rid"), "rid"))
+        listed = listed.withColumn("turn", turn).filter(F.col("turn") <= SPEAKERS)
     right = listed.select("value", *(F.col(c).alias(f"other_{c}") for c in ("rid", "n", "label", "place", *_FULL_MASK)))
     lacks = _missing([F.col(c) for c in _FULL_MASK], [F.col(f"other_{c}") for c in _FULL_MASK]) * 9
     may_lack = F.expr("5 * n - 4 * other_n")
