@@ -30,7 +30,10 @@ BASE = ("assign", "access", "hex")
 #: The weak kinds.
 ACCOUNT = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.IGNORECASE | re.ASCII)
 MIXED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}", re.ASCII)
-ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]*://[^\s"'<>]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::[0-9]+)?)""", re.IGNORECASE | re.ASCII)
+SERVER = re.compile(r"""\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::[0-9]+)?""", re.IGNORECASE | re.ASCII)
+_SCHEME_END = re.compile(r"""://[^\s"'<>]+""", re.ASCII)
+_SCHEME_START = re.compile(r"\b[a-z]", re.IGNORECASE | re.ASCII)
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 KINDS = (*BASE, "linked_account", "linked_secret", "linked_endpoint")
 
 
@@ -87,7 +90,7 @@ def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
     secrets = _Intervals([*certain, *mixed])
     if not secrets.spans:
         return []
-    ends = fresh(Span(m.start(), m.end(), "linked_endpoint") for m in ENDPOINT.finditer(text))
+    ends = fresh(Span(start, end, "linked_endpoint") for start, end in endpoints(text))
     return [
         *(x for x in accounts if secrets.near(x, reach)),
         *mixed,
@@ -95,6 +98,39 @@ def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
     ]
 
 
+def endpoints(text: str) -> Iterator[tuple[int, int]]:
+    """Server addresses, leftmost and not overlapping: a scheme and what follows it, or a named server.
+
+    A scheme is looked for from its ``://`` back, so that a text of many dots and words is read once.
+    """
+    at, where = 0, 0
+    server = SERVER.search(text)
+    tail = _SCHEME_END.search(text)
+    while server or tail:
+        address = None
+        while tail and address is None:
+            if tail.start() >= at:
+                first = tail.start()
+                while first > max(at, where) and text[first - 1] in _SCHEME:
+                    first -= 1
+                address = _SCHEME_START.search(text, first, tail.start())
+            if address is None:
+                where = tail.end() if tail.end() <= at else tail.start() + 1
+                tail = _SCHEME_END.search(text, max(where, at))
+        if server and (address is None or server.start() < address.start()):
+            found = server.span()
+        elif address:
+            found = address.start(), tail.end()
+        else:
+            return
+        yield found
+        at = found[1]
+        if tail and tail.start() < at:
+            tail = _SCHEME_END.search(text, at)
+        if server and server.start() < at:
+            server = SERVER.search(text, at)
+
+
 def _mixed(token: str) -> bool:
     return any(map(str.isupper, token)) and any(map(str.islower, token)) and any(map(str.isdigit, token))
 
