@@ -76,7 +76,7 @@ STABLE_LINK = r"\b(?:must|should)\s+be\s*$|\b(?:is|are|be)\s*$"
 STABLE_LEADS = (r"^(?:(?:the|above)\s+)+", r"^(?:dosing\s+)?of\s+(?:the\s+)?(?:above\s+)?")
 CYCLES_OF = r"^of\s+([^.]*)"
 CYCLES_TAIL = r"\b(?:required|allowed)\s*$"
-COUNTED = r"^(?!(?:prior|after|before|since|ago|per)\b)(?:of\s+(?:the\s+)?)?([A-Za-z][A-Za-z0-9 /-]{1,50}?)(?=\s+(?:with|who|that|at|during|for|of)|[,.;:()]|$)"
+COUNTED = r"^(?!(?:prior|after|before|since|ago|per)\b)(?:of\s+(?:the\s+)?+)?+([A-Za-z][A-Za-z0-9 /-]{1,50}?)(?=\s+(?:with|who|that|at|during|for|of)|[,.;:()]|$)"
 COUNTED_TAIL = r"\s+applies$"
 FAILURE_RATE = r"\bfailure rate\b"
 PERCENT_OF = r"^(?!(?:of|in|at|when|that|which|per)\b)([A-Za-z][A-Za-z -]{1,35}?)(?=\s+(?:of|in|at|when|that|which)|[,.;()]|$)"

@@ -40,25 +40,25 @@ def statements(text: str | None) -> list[tuple[str, str]]:
     lines = [x for x in (line.strip() for line in (text or "").replace("\r\n", "\n").split("\n")) if x]
     kinds = [(_HEADING.match(line), line) for line in lines]
     headed = any(h for h, _ in kinds)
-    out: list[list[str]] = []
+    out: list[tuple[str, list[str]]] = []
     kind, reading, open_ = "inclusion", not headed, False
     for heading, line in kinds:
         if heading:
             kind, reading, open_ = heading[1].lower(), True, False
         elif reading and (bullet := _BULLET.fullmatch(line)):
-            out += ([kind, part] for part in labelled_parts(bullet[1].strip()))
+            out += ((kind, [part]) for part in labelled_parts(bullet[1].strip()))
             open_ = True
         elif reading and not headed:
-            out.append([kind, line])
+            out.append((kind, [line]))
             open_ = True
         elif reading and not open_ and _THRESHOLD.search(line):
-            out.append([kind, line])
+            out.append((kind, [line]))
             open_ = True
         elif reading and line.endswith(":"):
             open_ = False
         elif reading and open_ and not _SECTION_NUMBER.match(line):
-            out[-1][1] = f"{out[-1][1]} {line}".strip()
-    return [(a, b) for a, b in out]
+            out[-1][1].append(line)
+    return [(a, " ".join(b).strip()) for a, b in out]
 
 
 def _all_statements(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
