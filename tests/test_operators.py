@@ -110,7 +110,7 @@ def test_pages_and_model_text(spark):
     got = {r.doc_id: r.protocol_text for r in readers.pages_to_eligibility(pages).collect()}
     assert got == {1: "5.1 Inclusion criteria\n* Age >= 18\n5.2 Exclusion criteria\n* Pregnant", 2: None}
     texts = spark.createDataFrame([('say ```json\n{"a": 1}\n``` ok',), ('x {"b": {"c": 2}} y',), ("none",)], "t string")
-    assert [r.j for r in texts.select(readers.model_json("t").alias("j")).collect()] == ['{"a": 1}', '{"b": {"c": 2}}', None]
+    assert [r.j for r in texts.select(C.model_json("t").alias("j")).collect()] == ['{"a": 1}', '{"b": {"c": 2}}', None]
 
 
 def test_extractor_failures_are_rows(spark):

@@ -195,3 +195,12 @@ def infer_domain(entity, source, compared, aliases: dict[str, str]) -> Column:
 
 def missing(x: Column | str) -> Column:
     return F.coalesce(strip(x), F.lit("")) == ""
+
+
+_JSON_FENCE = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+
+
+def model_json(text: Column | str) -> Column:
+    """The JSON object in a model's answer: fenced, else from the first brace to the last."""
+    fenced = F.regexp_extract(col(text), _JSON_FENCE, 1)
+    return F.when(fenced != "", fenced).otherwise(blank_to_null(F.regexp_extract(col(text), r"(?s)(\{.*\})", 1)))

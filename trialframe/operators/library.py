@@ -131,11 +131,30 @@ def upgrade(entries: DataFrame, terminology: Terminology | None = None) -> DataF
     return validate(both.drop("attribute"))
 
 
-def _relation(lo: str, hi: str, other_lo: str, other_hi: str) -> Column:
-    lo, hi, other_lo, other_hi = map(F.col, (lo, hi, other_lo, other_hi))
+def _ends(criteria: DataFrame, *keys: str) -> DataFrame:
+    """(entity, unit, lo, lo_open, hi, hi_open, keys): the intervals of measurements; those that hold no number are left out.
+
+    An end that says nothing of its inclusion is closed, and one without a bound is open at infinity.
+    """
+    low, high = F.coalesce("lower_bound", F.lit(float("-inf"))), F.coalesce("upper_bound", F.lit(float("inf")))
+    opened = lambda bound, inclusive: F.col(bound).isNull() | ~F.coalesce(F.col(inclusive), F.lit(True)) if inclusive in criteria.columns else F.col(bound).isNull()
+    own = criteria.filter("lower_bound is not null or upper_bound is not null").select(
+        *keys, "entity", F.coalesce("unit", F.lit("")).alias("unit"), low.alias("lo"), opened("lower_bound", "lower_inclusive").alias("lo_open"), high.alias("hi"), opened("upper_bound", "upper_inclusive").alias("hi_open")
+    )
+    return own.filter("lo < hi or lo = hi and not lo_open and not hi_open").distinct()
+
+
+_ENDS = ("lo", "lo_open", "hi", "hi_open")
+
+
+def _relation() -> Column:
+    """How an interval relates to the other one: ends compare by value, and at one value an open lower end lies above a closed one, an open upper end below."""
+    lo, other_lo = F.struct("lo", "lo_open"), F.struct("other_lo", "other_lo_open")
+    hi, other_hi = F.struct("hi", ~F.col("hi_open")), F.struct("other_hi", ~F.col("other_hi_open"))
+    apart = lambda hi, hi_open, lo, lo_open: (F.col(hi) < F.col(lo)) | (F.col(hi) == F.col(lo)) & (F.col(hi_open) | F.col(lo_open))
     return (
         F.when((lo == other_lo) & (hi == other_hi), "equal")
-        .when((hi < other_lo) | (other_hi < lo), "disjoint")
+        .when(apart("hi", "hi_open", "other_lo", "other_lo_open") | apart("other_hi", "other_hi_open", "lo", "lo_open"), "disjoint")
         .when((lo >= other_lo) & (hi <= other_hi), "subset")
         .when((lo <= other_lo) & (hi >= other_hi), "superset")
         .otherwise("overlap")
@@ -143,25 +162,25 @@ def _relation(lo: str, hi: str, other_lo: str, other_hi: str) -> Column:
 
 
 def interval_counts(criteria: DataFrame) -> DataFrame:
-    """(entity, unit, lo, hi, other_lo, other_hi, relation, trial_pairs): how intervals of equal measurements relate.
+    """(entity, unit, lo, lo_open, hi, hi_open, other_..., relation, trial_pairs): how intervals of equal measurements relate.
 
     A row is two distinct intervals (or one with itself) of a measurement, the lesser first, and the pairs of different
     trials that hold the one and the other. Trials are counted before intervals meet, so a measurement that all
     trials have makes as many rows as it has distinct intervals, squared, however many trials there are.
     """
-    low, high = F.coalesce("lower_bound", F.lit(float("-inf"))), F.coalesce("upper_bound", F.lit(float("inf")))
-    own = criteria.filter("lower_bound is not null or upper_bound is not null").select("trial_id", "entity", F.coalesce("unit", F.lit("")).alias("unit"), low.alias("lo"), high.alias("hi")).distinct()
-    held = own.groupBy("entity", "unit", "lo", "hi").agg(F.count("*").alias("n"))
-    other = held.select(F.col("entity").alias("e"), F.col("unit").alias("u"), *[F.col(c).alias(f"other_{c}") for c in ("lo", "hi", "n")])
-    met = held.join(other, (F.col("entity") == F.col("e")) & (F.col("unit") == F.col("u"))).filter("lo < other_lo or lo = other_lo and hi <= other_hi")
+    own = _ends(criteria, "trial_id")
+    held = own.groupBy("entity", "unit", *_ENDS).agg(F.count("*").alias("n"))
+    other = held.select(F.col("entity").alias("e"), F.col("unit").alias("u"), *[F.col(c).alias(f"other_{c}") for c in (*_ENDS, "n")])
+    first = F.struct(*_ENDS) <= F.struct(*[f"other_{c}" for c in _ENDS])
+    met = held.join(other, (F.col("entity") == F.col("e")) & (F.col("unit") == F.col("u")) & first)
     # pairs of a trial with itself do not count
-    trial = own.groupBy("entity", "unit", "trial_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("xs")).filter("size(xs) > 1")
+    trial = own.groupBy("entity", "unit", "trial_id").agg(F.array_sort(F.collect_list(F.struct(*_ENDS))).alias("xs")).filter("size(xs) > 1")
     twice = trial.select("entity", "unit", F.posexplode("xs").alias("i", "x"), "xs").select("entity", "unit", "x", F.explode(F.slice("xs", F.col("i") + 2, F.size("xs"))).alias("y"))
-    twice = twice.groupBy("entity", "unit", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"), F.col("y.lo").alias("other_lo"), F.col("y.hi").alias("other_hi")).agg(F.count("*").alias("both"))
-    one = (F.col("lo") == F.col("other_lo")) & (F.col("hi") == F.col("other_hi"))
+    twice = twice.groupBy("entity", "unit", *[F.col(f"x.{c}").alias(c) for c in _ENDS], *[F.col(f"y.{c}").alias(f"other_{c}") for c in _ENDS]).agg(F.count("*").alias("both"))
+    one = F.struct(*_ENDS) == F.struct(*[f"other_{c}" for c in _ENDS])
     pairs = F.when(one, (F.col("n") * (F.col("n") - 1) / 2).cast("long")).otherwise(F.col("n") * F.col("other_n") - F.coalesce("both", F.lit(0)))
-    keys = ["entity", "unit", "lo", "hi", "other_lo", "other_hi"]
-    return met.join(twice, keys, "left").select(*keys, _relation("lo", "hi", "other_lo", "other_hi").alias("relation"), pairs.alias("trial_pairs")).filter("trial_pairs > 0")
+    keys = ["entity", "unit", *_ENDS, *[f"other_{c}" for c in _ENDS]]
+    return met.join(twice, keys, "left").select(*keys, _relation().alias("relation"), pairs.alias("trial_pairs")).filter("trial_pairs > 0")
 
 
 def interval_relations(criteria: DataFrame) -> DataFrame:
@@ -170,7 +189,6 @@ def interval_relations(criteria: DataFrame) -> DataFrame:
     Intervals are first reduced to distinct ones per trial; the join is on entity and unit. The output has a row for
     each pair of trials: for measurements that many trials have, take ``interval_counts``.
     """
-    low, high = F.coalesce("lower_bound", F.lit(float("-inf"))), F.coalesce("upper_bound", F.lit(float("inf")))
-    own = criteria.filter("lower_bound is not null or upper_bound is not null").select("trial_id", "entity", F.coalesce("unit", F.lit("")).alias("unit"), low.alias("lo"), high.alias("hi")).distinct()
-    other = own.select("entity", "unit", *[F.col(c).alias(f"other_{c}") for c in ("trial_id", "lo", "hi")])
-    return own.join(other, ["entity", "unit"]).filter("trial_id < other_trial_id").select("entity", "unit", F.col("trial_id").alias("trial_a"), F.col("other_trial_id").alias("trial_b"), _relation("lo", "hi", "other_lo", "other_hi").alias("relation"))
+    own = _ends(criteria, "trial_id")
+    other = own.select("entity", "unit", *[F.col(c).alias(f"other_{c}") for c in ("trial_id", *_ENDS)])
+    return own.join(other, ["entity", "unit"]).filter("trial_id < other_trial_id").select("entity", "unit", F.col("trial_id").alias("trial_a"), F.col("other_trial_id").alias("trial_b"), _relation().alias("relation"))

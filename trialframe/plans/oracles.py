@@ -90,7 +90,8 @@ select trial_id, ord, fragment_no, case kind when 3 then lab || ' on two occasio
 select trial_id, ord, kind = 3 as negated, case kind when 2 then 'within ' || d || ' days' when 3 then 'history of' when 4 then 'more than ' || q || ' weeks' end as temporal,
   case when kind = 3 then 'on two occasions' end as repetition from lines"""),
         "written_constraints": lines_sql("""
-select trial_id, ord, '>' as comparator, q::varchar as value, 'weeks' as unit, 'duration' as entity, 'standalone' as logical_operator from lines where kind = 4"""),
+select trial_id, ord, '>' as comparator, q::varchar as value, 'weeks' as unit, 'duration' as entity, 'standalone' as logical_operator from lines where kind = 4
+union all select trial_id, -ord, '>=', q::varchar, null, case part_key % 3 when 0 then 'Patients with' when 1 then 'lesions' else 'new lesions' end, 'standalone' from lines"""),
         "operator_spelling": lines_sql("select trial_id, ord, statement as spelled, '>= ' || q || ' grade' as graded from lines"),
         "number_columns": lines_sql("""
 select trial_id, ord, '[' || q || ', ' || case when kind < 3 then q || '.5' else '+inf' end || ')' as interval, q * 12.0::double as upper, 'months' as unit,
@@ -220,11 +221,12 @@ select trial_id || '-' || ord as row_id, trial_id || '-' || ord as criterion_id,
   case when line_status = 'F' then 'accepted' else 'pending' end as human_review_status, case when kind = 1 then 'interval' when kind in (2, 5) then 'numerical' else 'categorical' end as value_kind,
   case kind when 1 then '[' || q || ', ' || (q + 10) || ']' when 2 then '(-inf, ' || q || ')' when 5 then '(' || q || ', +inf)' end as interval, upper(lab) as term from lines"""),
         "interval_relations": lines_sql("""
-, i as (select distinct trial_id, lab as entity, q as lo, q + case kind when 0 then 100 else kind * 10 end as hi from lines),
+, i as (select distinct trial_id, lab as entity, q as lo, d % 3 = 0 as lo_open, q + case kind when 0 then 100 else kind * 10 end as hi, d % 2 = 0 as hi_open from lines),
+e as (select trial_id, entity, 2 * lo + lo_open::int as lo, 2 * hi + (not hi_open)::int as hi, (lo, lo_open, hi, hi_open) as k from i where lo < hi),
 o as (
-  select a.entity, case when (a.lo, a.hi) <= (b.lo, b.hi) then a.lo else b.lo end as lo, case when (a.lo, a.hi) <= (b.lo, b.hi) then a.hi else b.hi end as hi,
-         case when (a.lo, a.hi) <= (b.lo, b.hi) then b.lo else a.lo end as lo2, case when (a.lo, a.hi) <= (b.lo, b.hi) then b.hi else a.hi end as hi2
-  from i a join i b on a.entity = b.entity and a.trial_id < b.trial_id)
-select entity, case when lo = lo2 and hi = hi2 then 'equal' when hi < lo2 then 'disjoint' when lo >= lo2 and hi <= hi2 then 'subset' when lo <= lo2 and hi >= hi2 then 'superset' else 'overlap' end as relation, count(*) as n
+  select a.entity, case when a.k <= b.k then a.lo else b.lo end as lo, case when a.k <= b.k then a.hi else b.hi end as hi,
+         case when a.k <= b.k then b.lo else a.lo end as lo2, case when a.k <= b.k then b.hi else a.hi end as hi2
+  from e a join e b on a.entity = b.entity and a.trial_id < b.trial_id)
+select entity, case when lo = lo2 and hi = hi2 then 'equal' when hi <= lo2 or hi2 <= lo then 'disjoint' when lo >= lo2 and hi <= hi2 then 'subset' when lo <= lo2 and hi >= hi2 then 'superset' else 'overlap' end as relation, count(*) as n
 from o group by all"""),
     }

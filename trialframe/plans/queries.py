@@ -74,7 +74,11 @@ def text_flags(spark, sf_dir):
 
 @_query
 def written_constraints(spark, sf_dir):
-    found = T.lines(spark, sf_dir).select("trial_id", "ord", F.explode(constraints("statement")).alias("c"))
+    """Comparisons in words: those of all statements, and for each a count of, of the and without either."""
+    rows = T.lines(spark, sf_dir)
+    counted = F.concat(F.lit("Patients with at least "), "q", F.element_at(F.array(*map(F.lit, (" of 90 prior therapies", " of the lesions", " new lesions"))), (F.col("part_key") % 3 + 1).cast("int")))
+    rows = rows.select("trial_id", F.explode(F.array(F.struct("ord", "statement"), F.struct((-F.col("ord")).alias("ord"), counted.alias("statement")))).alias("s")).select("trial_id", "s.*")
+    found = rows.select("trial_id", "ord", F.explode(constraints("statement")).alias("c"))
     return found.select("trial_id", "ord", "c.comparator", "c.value", "c.unit", "c.entity", "c.logical_operator")
 
 
@@ -460,7 +464,7 @@ def legacy_upgrade(spark, sf_dir):
 def interval_relations(spark, sf_dir):
     """How the intervals of all trials relate, by measurement."""
     width = F.element_at(F.array(*map(F.lit, (100.0, 10.0, 20.0, 30.0, 40.0, 50.0))), F.col("kind") + 1)
-    rows = T.lines(spark, sf_dir).select("trial_id", F.col("lab").alias("entity"), F.lit("mmol/L").alias("unit"), F.col("q").cast("double").alias("lower_bound"), (F.col("q") + width).alias("upper_bound"))
+    rows = T.lines(spark, sf_dir).select("trial_id", F.col("lab").alias("entity"), F.lit("mmol/L").alias("unit"), F.col("q").cast("double").alias("lower_bound"), (F.col("q") + width).alias("upper_bound"), (F.col("d") % 3 > 0).alias("lower_inclusive"), (F.col("d") % 2 > 0).alias("upper_inclusive"))
     return library.interval_counts(rows).groupBy("entity", "relation").agg(F.sum("trial_pairs").alias("n"))
 
 

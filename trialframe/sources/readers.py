@@ -93,15 +93,6 @@ def pages_to_eligibility(pages: DataFrame, count: int = PAGES) -> DataFrame:
     return starts.select("doc_id").join(found, "doc_id", "left")
 
 
-_JSON_FENCE = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
-
-
-def model_json(text: Column | str) -> Column:
-    """The JSON object in a model's answer: fenced, else from the first brace to the last."""
-    fenced = F.regexp_extract(C.col(text), _JSON_FENCE, 1)
-    return F.when(fenced != "", fenced).otherwise(C.blank_to_null(F.regexp_extract(C.col(text), r"(?s)(\{.*\})", 1)))
-
-
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
