@@ -48,10 +48,10 @@ def answer_faults() -> Column:
     return (
         F.when(F.col("answer").isNull(), "no answer")
         .when(F.col("object").isNull(), "no JSON object")
-        .when(F.col("whole._corrupt_record").isNotNull() | keys.isNull(), "broken JSON")
+        .when(F.try_parse_json("object").isNull() | keys.isNull(), "broken JSON")
         .when(~F.array_contains(keys, "rows"), "no rows")
         .when(F.size(F.array_except(keys, F.array(F.lit("rows")))) > 0, "unknown fields")
-        .when(F.col("whole.rows").isNull(), "rows are no list")
+        .when(F.col("whole._corrupt_record").isNotNull() | F.col("whole.rows").isNull(), "rows are no list")
     )
 
 

@@ -220,6 +220,14 @@ select trial_id, ord, concat_ws(',', case when part_key % 29 = 0 then 'source_id
 select trial_id || '-' || ord as row_id, trial_id || '-' || ord as criterion_id, trial_id || '-' || ord as parent_statement_id, 'legacy-unversioned' as source_version,
   case when line_status = 'F' then 'accepted' else 'pending' end as human_review_status, case when kind = 1 then 'interval' when kind in (2, 5) then 'numerical' else 'categorical' end as value_kind,
   case kind when 1 then '[' || q || ', ' || (q + 10) || ']' when 2 then '(-inf, ' || q || ')' when 5 then '(' || q || ', +inf)' end as interval, upper(lab) as term from lines"""),
+        "answer_intake": lines_sql("""
+, told as (
+  select trial_id, ord - 1 as place, part_key % 7 as odd, lab, q, statement,
+    case part_key % 7 when 0 then 'against the contract: comparator' when 1 then 'missing: source' when 2 then 'unknown: note' when 3 then 'wrong types' when 4 then 'wrong type: unit' else '' end as faults
+  from lines where order_key % 6 < 3)
+select trial_id as protocol_id, place::int as place, place::bigint as ord, faults, lab as entity, case odd when 0 then '=>' else '>=' end as comparator, q::varchar as value,
+  case odd when 4 then '5' else 'mg/dL' end as unit, case when odd <> 3 then false end as negated, q::double as lower_bound, case when odd <> 1 then statement end as source from told
+union all select distinct trial_id, null, null, case order_key % 6 when 3 then 'broken JSON' when 4 then 'no JSON object' else 'unknown fields' end, null, null, null, null, null, null, null from lines where order_key % 6 >= 3"""),
         "interval_relations": lines_sql("""
 , i as (select distinct trial_id, lab as entity, q as lo, d % 3 = 0 as lo_open, q + case kind when 0 then 100 else kind * 10 end as hi, d % 2 = 0 as hi_open from lines),
 e as (select trial_id, entity, 2 * lo + lo_open::int as lo, 2 * hi + (not hi_open)::int as hi, (lo, lo_open, hi, hi_open) as k from i where lo < hi),

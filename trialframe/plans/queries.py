@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.terms import DOMAIN_ALIASES, canonical_term
-from ..operators import cohort, cost, extract, library, metrics, review
+from ..operators import cohort, cost, extract, intake, library, metrics, review
 from ..operators.normalize import drop_duplicates, normalize, reconcile
 from ..operators.parse import constraints, parse
 from ..operators.segment import segment, unsegmented
@@ -200,6 +200,24 @@ def proposal_contract(spark, sf_dir):
     return rows.select("trial_id", "ord", F.array_join(proposal_violations(), ",").alias("violations"))
 
 
+@_query
+def answer_intake(spark, sf_dir):
+    """A model's answers about all trials, fenced, wordy, broken and breaking the contract: proposals, and what is rejected and why."""
+    rows = T.lines(spark, sf_dir)
+    odd = lambda n, good, bad: F.when(F.col("part_key") % 7 == n, F.lit(bad)).otherwise(F.lit(good))
+    said = F.concat(
+        F.lit('{"criterion_type": "inclusion", "domain": "measurement", "entity": "'), "lab", F.lit('", "comparator": "'), odd(0, ">=", "=>"), F.lit('", "value": '), F.col("q").cast("string"), F.lit(', "unit": '), odd(4, '"mg/dL"', "5"),
+        F.lit(', "negated": '), odd(3, "false", '"yes"'), F.lit(', "temporal": null, "repetition": null, "qualifier": null, "logical_operator": "standalone", "lower_bound": '), F.col("q").cast("string"),
+        F.lit(', "lower_inclusive": true, "upper_bound": null, "upper_inclusive": null, "extraction_confidence": 0.9'), odd(2, "", ', "note": 1'), F.when(F.col("part_key") % 7 == 1, "").otherwise(F.concat(F.lit(', "source": "'), "statement", F.lit('"'))), F.lit("}"),
+    )
+    listed = rows.groupBy("trial_id", "order_key").agg(F.array_sort(F.collect_list(F.struct("ord", said.alias("said")))).alias("all"))
+    whole = F.concat(F.lit('{"rows": ['), F.array_join(F.transform("all", lambda x: x["said"]), ", "), F.lit("]}"))
+    kinds = (whole, F.concat(F.lit("Here it is:\n```json\n"), whole, F.lit("\n```\nAsk for more.")), F.concat(F.lit("Sure. "), whole, F.lit(" Thanks")), F.concat(F.lit('{"rows": ['), F.col("all")[0]["said"]), F.lit("I cannot."), F.lit('{"rows": [], "note": 1}'))
+    answers = listed.select(F.col("trial_id").alias("protocol_id"), F.lit(0).cast("long").alias("batch"), F.element_at(F.array(*kinds), (F.col("order_key") % 6 + 1).cast("int")).alias("answer"))
+    found = intake.read_answers(answers)
+    return found.select("protocol_id", "place", "ord", F.array_join("faults", ",").alias("faults"), "entity", "comparator", "value", "unit", "negated", "lower_bound", "source")
+
+
 @_query
 def dedup_signature(spark, sf_dir):
     return drop_duplicates(T.atoms(spark, sf_dir)).select("protocol_id", "parent_statement_id", "criterion_type", "entity", "value", F.col("place.seq").alias("first_seq"), "extraction_confidence")
