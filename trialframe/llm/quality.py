@@ -94,8 +94,9 @@ class Ftrl:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        places = [x.tobytes() for x in text_features(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("turn"), batch.column("label"), pa.array(places, pa.binary())], names=["shard", "turn", "label", "places"])
+        found = [np.unique(x, return_counts=True) for x in text_features(batch.column("text"))]
+        places, counts = (pa.array([x[i].astype(np.int32).tobytes() for x in found], pa.binary()) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("turn"), batch.column("label"), places, counts], names=["shard", "turn", "label", "places", "counts"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
@@ -103,14 +104,17 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
     ``labels`` is (doc_id, label 0 or 1); of its rows the SAMPLE_ROWS first by a hash of doc_id are read, with the
     whole text of those documents. Null labels and ids are skipped; a doc_id with several labels takes the
-    least. Without any row all weights are 0.
+    least, and one with several rows the text that comes first by its hash. Without any row all weights are 0. Of each
+    text only the distinct places of its features and their counts are kept, 1 << BITS at most.
     """
     small_batches(docs.sparkSession)
     clean = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("label").cast("int").alias("label")).filter("label_id is not null and label in (0, 1)")
     sample = clean.groupBy("label_id").agg(F.min("label").alias("label")).withColumn("turn", F.xxhash64("label_id")).orderBy("turn", "label_id").limit(SAMPLE_ROWS)
     # at most SAMPLE_ROWS narrow rows
-    rows = docs.join(F.broadcast(sample), docs["doc_id"] == sample["label_id"]).select(F.pmod("turn", F.lit(SHARDS)).alias("shard"), "turn", "label", F.col("text").cast("string").alias("text"))
-    rows = written(rows.mapInArrow(_features, "shard bigint, turn bigint, label int, places binary"), "features")
+    rows = docs.join(F.broadcast(sample), docs["doc_id"] == sample["label_id"]).select("turn", "label_id", "label", F.col("text").cast("string").alias("text"))
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")
+    rows = rows.groupBy("turn", "label_id", "label").agg(first).select(F.pmod("turn", F.lit(SHARDS)).alias("shard"), "turn", "label", "text")
+    rows = written(rows.mapInArrow(_features, "shard bigint, turn bigint, label int, places binary, counts binary"), "features")
     weights = np.zeros((1 << BITS) + 1)
     spark = docs.sparkSession
     total = rows.count()
@@ -128,8 +132,8 @@ def _shard(start):
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["turn", "label"])
         examples = []
-        for places in part["places"]:
-            at, counts = np.unique(np.frombuffer(places, np.int32), return_counts=True)
+        for at, counts in zip(part["places"], part["counts"], strict=True):
+            at, counts = np.frombuffer(at, np.int32), np.frombuffer(counts, np.int32)
             examples.append((at, SCALE * counts / max(1, counts.sum())))
         model = Ftrl(start.value)
         for _ in range(EPOCHS):
