@@ -58,6 +58,56 @@ def test_archives_round_trip(spark):
     assert archive_pages(pages.limit(0)).count() == 0
 
 
+def test_real_archives_byte_for_byte(spark, tmp_path):
+    """Old character sets, images, errors, redirects and answers that are no HTTP message, of both versions."""
+    import gzip
+
+    from trialframe.llm.warc import ARC_FIELDS, _version_block, parse_warc, read_arc, read_warc, with_revisits, write_warc
+
+    http = lambda status, more, body: f"HTTP/1.0 {status}\r\n{more}\r\n\r\n".encode("latin-1") + body
+    blocks = {
+        "http://a/latin": ("text/html", http("200 OK", "Content-Type: text/html; charset=iso-8859-1\r\nServer: Caf\xe9", "<p>na\xefve caf\xe9</p>".encode("latin-1"))),
+        "http://a/image": ("image/gif", http("200 OK", "Content-Type: image/gif", b"GIF89a" + bytes(range(256)) * 3)),
+        "http://a/again": ("image/gif", http("200 Fine", "Content-Type: image/gif\r\nX: 2", b"GIF89a" + bytes(range(256)) * 3)),
+        "http://a/gone": ("text/html", http("404 Not Found", "Content-Type: text/html", b"no\0such page\n")),
+        "http://a/moved": ("text/html", http("302 Found", "Location: http://b/", b"")),
+        "http://a/unix": ("text/html", b"HTTP/1.0 200 OK\nContent-Type: text/html\n\nbody\r\n\r\nmore"),
+        "http://a/headless": ("text/html", b"HTTP/1.0 200 OK"),
+        "dns:a": ("text/dns", b"20240101\na. 1.2.3.4\n"),
+        "http://a/crawler": ("application/octet-stream", bytes(range(255, -1, -1))),
+    }
+    for version in (1, 2):
+        data = _version_block(version, "x.arc", "20240101000000") + b"\n"
+        for i, (url, (media, block)) in enumerate(blocks.items()):
+            more = f" 200 {'c%d' % i if i % 2 else '-'} {'http://b/' if 'moved' in url else '-'} 0 x.arc" if version == 2 else ""
+            data += f"{url} 1.2.3.4 2024010100000{i} {media}{more} {len(block)}\n".encode() + block + b"\n"
+        name = tmp_path / f"v{version}"
+        name.mkdir()
+        (name / "x.arc.gz").write_bytes(gzip.compress(data))
+        read = read_arc(spark, f"file://{name}").withColumn("page_id", F.col("record_no"))
+        rows = {r.url: r for r in read.collect()}
+        assert {u: bytes(r.head) + bytes(r.payload) for u, r in rows.items()} == {u: b for u, (_, b) in blocks.items()} and not any(r.error for r in rows.values())
+        assert (rows["http://a/moved"].location, rows["http://a/image"].checksum, rows["http://a/latin"].checksum, rows["http://a/latin"].result) == (("http://b/", "c1", None, "200") if version == 2 else (None,) * 4)
+        write_warc(with_revisits(read), f"file://{tmp_path}/warc{version}")
+        files = list((tmp_path / f"warc{version}").glob("part-*"))
+        held = {}
+        for file in files:
+            raw = file.read_bytes()
+            assert raw.count(b"\x1f\x8b\x08\0\0\0\0\0") >= len(blocks)  # a member for each record
+            for fields, block, error in parse_warc(gzip.decompress(raw)):
+                assert error is None
+                held[fields.get("warc-target-uri")] = fields, block
+        for url, (_, block) in blocks.items():
+            fields, written_block = held[url]
+            head, _, _ = block.partition(b"\r\n\r\n")
+            assert written_block == (head + b"\r\n\r\n" if fields["warc-type"] == "revisit" else block)
+            assert fields["warc-type"] == ("resource" if not block.startswith(b"HTTP/") else "revisit" if "again" in url else "response")
+        assert held["http://a/image"][0].get("x-arc-checksum") == ("c1" if version == 2 else None)
+        back = {r.uri: r for r in read_warc(spark, f"file://{tmp_path}/warc{version}").collect()}
+        assert {u: (bytes(r.head), bytes(r.payload)) for u, r in back.items() if r.warc_type != "revisit"} == {u: (bytes(rows[u].head), bytes(rows[u].payload)) for u in blocks if "again" not in u}
+        assert not any(r.error for r in back.values()) and back["http://a/again"].refers_id == back["http://a/image"].record_id and ARC_FIELDS
+
+
 def test_old_archives(spark, tmp_path):
     """Two dates, a short one, a DNS answer and pages with one id."""
     from trialframe.llm.warc import ARC_FIELDS, read_arc, read_warc, with_revisits, write_warc

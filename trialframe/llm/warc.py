@@ -5,8 +5,10 @@ version 2 ten. A record is such a line, then as many bytes as the line declares,
 converter parses the lines by the file's own version and cuts by declared lengths alone, then synthesises what
 WARC asks for: an identifier, a time stamp, a type and digests for each record.
 
-Spark's text writer writes the files, a row of it being a whole archive of bounded size; an archive is
-read whole, so that bound is also what a reader holds.
+Blocks are bytes: pages in old character sets, images, redirects and errors keep their HTTP head and their body as
+they came. Each record is a gzip member of its own, so that readers can seek. Spark's text writer writes the files, a row
+of it being a whole archive of bounded size, whose bytes it does not look at; an archive is read whole, so that bound
+is also what a reader holds.
 """
 
 from __future__ import annotations
@@ -31,14 +33,16 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 CRLF = b"\r\n"
+#: Fields of version 2 that a WARC record keeps under these names.
+_ARC_MORE = {"result": "X-Arc-Result-Code", "checksum": "X-Arc-Checksum", "location": "X-Arc-Location"}
 #: Bytes of an archive before it is closed, and of records in one batch of a reader.
 ARCHIVE_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
 #: A payload must have so many bytes to be revisited.
 REVISIT_BYTES = 100
 
-_ARC = "record_no bigint, place string, version int, http int, url string, ip string, date string, media string, page_id bigint, payload binary, payload_bytes bigint, payload_digest string, error string"
-_WARC = "warc_type string, record_id string, refers_id string, date string, uri string, page_id bigint, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary, error string"
+_ARC = "record_no bigint, place string, version int, http int, url string, ip string, date string, media string, result string, checksum string, location string, page_id bigint, head binary, payload binary, payload_bytes bigint, payload_digest string, error string"
+_WARC = "warc_type string, record_id string, refers_id string, date string, uri string, page_id bigint, refers_to bigint, payload_digest string, payload_bytes bigint, head binary, payload binary, error string"
 
 
 class ArcRecord(NamedTuple):
@@ -96,11 +100,15 @@ def _place(path: str, record: int) -> str:
     return f"{folder.rpartition('/')[2]}/{re.sub(r'[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}-?', '', name)}/{record}"
 
 
-def _http(block: bytes) -> tuple[dict[str, str], bytes]:
-    """The header fields, in lower case, and the body of an HTTP message."""
-    head, _, body = block.partition(CRLF + CRLF)
-    fields = (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])
-    return {k.strip().lower(): v.strip() for k, _, v in fields}, body
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+
+
+def _http(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
+    """The header fields, in lower case, the head with its empty line, and the body of an HTTP message."""
+    end = _HEAD_END.search(block)
+    at = end.end() if end else len(block)
+    fields = (x.partition(":") for x in block[:at].decode("latin-1").splitlines()[1:])
+    return {k.strip().lower(): v.strip() for k, _, v in fields}, block[:at], block[at:]
 
 
 def _field(text: str | None) -> str:
@@ -108,22 +116,33 @@ def _field(text: str | None) -> str:
     return quote(text, safe="%:/?#[]@!$&'()*+,;=~") if text else "-"
 
 
+def _member(record: bytes) -> bytes:
+    return gzip.compress(record, mtime=0)
+
+
+def _closed(members: list[bytes]) -> bytes:
+    """An archive without its last byte, which is 0 and which the writer adds: the highest byte of the last member's size."""
+    if members[-1][-1:] != b"\0":  # a record of 16 MB or more; a member without content ends in 0
+        members.append(_member(b""))
+    return b"".join(members)[:-1]
+
+
 def _archives(records: Iterator[bytes], opening: bytes) -> Iterator[pa.RecordBatch]:
-    """Rows of the text writer: archives of about ARCHIVE_BYTES, each with its opening."""
-    held, size = [], 0
+    """Rows of the writer: archives of about ARCHIVE_BYTES of records, each with its opening."""
+    held, size = [_member(opening)], 0
     for record in records:
-        held.append(record)
+        held.append(_member(record))
         size += len(record)
         if size >= ARCHIVE_BYTES:
-            yield pa.RecordBatch.from_arrays([pa.array([opening + b"".join(held)], pa.binary()).cast(pa.string())], names=["value"])
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array([opening + b"".join(held)], pa.binary()).cast(pa.string())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([_closed(held)], pa.binary())], names=["value"])
+            held, size = [_member(opening)], 0
+    if len(held) > 1:
+        yield pa.RecordBatch.from_arrays([pa.array([_closed(held)], pa.binary())], names=["value"])
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    # the line separator ends the last record of an archive
-    rows.write.option("lineSep", "\n").option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    # bytes pass the text writer as they are; its separator is the last byte of an archive
+    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def write_arc(pages: DataFrame, path: str, version: int, date: str = "20240101000000") -> None:
@@ -142,7 +161,7 @@ def write_arc(pages: DataFrame, path: str, version: int, date: str = "2024010100
 
     opening = _version_block(version, "pages.arc", date) + b"\n"
     columns = (F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    _write(pages.select(*columns).mapInArrow(lambda batches: _archives(records(batches), opening), "value string"), path)
+    _write(pages.select(*columns).mapInArrow(lambda batches: _archives(records(batches), opening), "value binary"), path)
 
 
 def _read(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
@@ -175,18 +194,19 @@ def _read(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """The records of ARC files of either version, gzipped or not.
 
-    (record_no, place, version, http, url, ip, date, media, page_id, payload, payload_bytes, payload_digest, error):
-    the payload is the body of the HTTP message, or all of a block that is none (http 0), such as a DNS answer; its
-    digest is the bare SHA-256. ``place`` names the record's file and number. Malformed records have an error.
+    (record_no, place, version, http, url, ip, date, media, result, checksum, location, page_id, head, payload, payload_bytes,
+    payload_digest, error): the payload is the body of the HTTP message, or all of a block that is none (http 0), such as a
+    DNS answer; its digest is the bare SHA-256. ``head`` is the message's own head, byte for byte. Result, checksum and
+    location are fields of version 2, null where a line has none. ``place`` names the record's file and number. Malformed records have an error.
     """
 
     def parse(data: bytes, path: str) -> Iterator[tuple]:
         for i, x in enumerate(parse_arc(data)):
             http = x.block.startswith(b"HTTP/")
-            header, body = _http(x.block) if http else ({}, x.block)
+            header, head, body = _http(x.block) if http else ({}, b"", x.block)
             number = header.get("x-page-id", "")
-            url = x.fields.get("URL")
-            yield (i, _place(path, i), x.version, int(http), None if url == "-" else url, x.fields.get("IP-address"), x.fields.get("Archive-date"), x.fields.get("Content-type"), int(number) if number.lstrip("-").isdigit() else None, body, len(body), hashlib.sha256(body).hexdigest(), x.error)
+            given = {k: v for k, v in x.fields.items() if v != "-"}
+            yield (i, _place(path, i), x.version, int(http), given.get("URL"), *(x.fields.get(k) for k in ("IP-address", "Archive-date", "Content-type")), *(given.get(k) for k in ("Result-code", "Checksum", "Location")), int(number) if number.lstrip("-").isdigit() else None, head, body, len(body), hashlib.sha256(body).hexdigest(), x.error)
 
     return _read(spark, path, parse, _ARC)
 
@@ -230,21 +250,22 @@ def _warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
 def write_warc(records: DataFrame, path: str) -> None:
     """Writes rows of ``read_arc`` with ``refers_to`` as WARC files; malformed rows are left out.
 
-    A response has the HTTP message as its block; a revisit has only the header of that message, and the
-    digest and size of the full payload. A block that was no HTTP message is a resource.
+    A response has the HTTP message as its block, as it came, whatever its status and character set; a revisit has only
+    the head of that message, and the digest and size of the full payload. A block that was no HTTP message is a
+    resource. What a version 2 line says of result, checksum and location is kept in fields of their own.
     """
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
-        names = ("url", "date", "media", "page_id", "payload", "payload_digest", "payload_bytes", "refers_to", "refers_place", "refers_date", "place", "http")
+        names = ("url", "date", "media", "page_id", "head", "payload", "payload_digest", "payload_bytes", "refers_to", "refers_place", "refers_date", "place", "http", *_ARC_MORE)
         for batch in batches:
-            for url, date, media, page_id, payload, digest, size, refers, refers_place, refers_date, place, http in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: {media}; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() if http else b""
+            for url, date, media, page_id, head, payload, digest, size, refers, refers_place, refers_date, place, http, *more in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 block = head if refers is not None else head + payload
                 kind = "revisit" if refers is not None else "response" if http else "resource"
                 fields = [("WARC-Type", kind), ("WARC-Record-ID", _record_id(page_id, digest, date, place)), ("WARC-Date", _iso(date))]
                 if url:
                     fields.append(("WARC-Target-URI", url))
                 fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("X-Payload-Bytes", str(size))]
+                fields += [(name, value) for name, value in zip(_ARC_MORE.values(), more, strict=True) if value is not None]
                 if page_id is not None:
                     fields.append(("X-Page-Id", str(page_id)))
                 if refers is not None:
@@ -253,7 +274,7 @@ def write_warc(records: DataFrame, path: str) -> None:
 
     body = b"software: trialframe\r\nformat: WARC File Format 1.1\r\n"
     opening = _warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", _record_id(None, hashlib.sha256(body).hexdigest(), "", "")), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], body)
-    _write(records.filter("error is null").mapInArrow(lambda batches: _archives(lines(batches), opening), "value string"), path)
+    _write(records.filter("error is null").mapInArrow(lambda batches: _archives(lines(batches), opening), "value binary"), path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
@@ -278,7 +299,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The response, resource and revisit records of WARC files, gzipped or not, each with its payload.
 
-    (warc_type, record_id, refers_id, date, uri, page_id, refers_to, payload_digest, payload_bytes, payload, error): a
+    (warc_type, record_id, refers_id, date, uri, page_id, refers_to, payload_digest, payload_bytes, head, payload, error): a
     revisit has no payload; its digest and bytes are those of the full one. A response whose payload does
     not have the digest that it declares has an error.
     """
@@ -291,12 +312,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             number = lambda k: int(fields[k]) if fields.get(k, "").lstrip("-").isdigit() else None  # noqa: B023, E731
             digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
             payload, size = None, number("x-payload-bytes")
+            head = _http(block)[1] if kind in ("response", "revisit") else b""
             if kind in ("response", "resource"):
-                payload = _http(block)[1] if kind == "response" else block
+                payload = block[len(head) :]
                 size = len(payload)
                 if error is None and hashlib.sha256(payload).hexdigest() != digest:
                     error = "digest differs"
-            yield kind, fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-date"), fields.get("warc-target-uri"), number("x-page-id"), number("x-refers-to-page"), digest, size, payload, error
+            yield kind, fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-date"), fields.get("warc-target-uri"), number("x-page-id"), number("x-refers-to-page"), digest, size, head, payload, error
 
     return _read(spark, path, parse, _WARC)
 
