@@ -130,3 +130,43 @@ def test_legacy_entries(spark):
     old = spark.createDataFrame([("t", "1", "inclusion", "age", ">=", "18", "Age 18 or over", None), ("t", "2", "exclusion", "x", None, "present", "x", "drug")], "trial_id string, row_id string, criterion_type string, entity string, attribute string, value string, source string, domain string")
     rows = {r.row_id: r for r in library.upgrade(old).collect()}
     assert rows["1"].comparator == ">=" and rows["1"].lower_bound == 18.0 and rows["2"].domain == "drug" and rows["2"].human_review_status == "pending"
+
+
+def test_intervals_with_open_and_closed_ends(spark):
+    """All pairs of small intervals, against what numbers they hold."""
+    import itertools
+
+    ends = [None, 1.0, 2.0]
+    shapes = [(a, i, b, j) for a, i, b, j in itertools.product(ends, (True, False), ends, (True, False)) if (a is not None or b is not None) and not (a and b and (a > b or a == b and not (i and j)))]
+    rows = [(f"T{k}", "ALT", "U/L", a, i if a else None, b, j if b else None) for k, (a, i, b, j) in enumerate(shapes)]
+    criteria = spark.createDataFrame(rows, "trial_id string, entity string, unit string, lower_bound double, lower_inclusive boolean, upper_bound double, upper_inclusive boolean")
+    points = [0.5, 1.0, 1.5, 2.0, 2.5]
+
+    def held(k):
+        a, i, b, j = shapes[k]
+        return {x for x in points if (a is None or x > a or i and x == a) and (b is None or x < b or j and x == b)}
+
+    def relation(x, y):
+        return "equal" if x == y else "disjoint" if not x & y else "subset" if x < y else "superset" if x > y else "overlap"
+
+    found = {(r.trial_a, r.trial_b): r.relation for r in library.interval_relations(criteria).collect()}
+    names = sorted(r[0] for r in rows)
+    assert found == {(x, y): relation(held(int(x[1:])), held(int(y[1:]))) for x, y in itertools.combinations(names, 2)}
+    pairs = {r.relation: r.n for r in library.interval_counts(criteria).groupBy(F.when(F.col("relation").isin("subset", "superset"), "within").otherwise(F.col("relation")).alias("relation")).agg(F.sum("trial_pairs").alias("n")).collect()}
+    counted = {}
+    for x in found.values():
+        counted["within" if x in ("subset", "superset") else x] = counted.get("within" if x in ("subset", "superset") else x, 0) + 1
+    assert pairs == counted
+
+
+def test_wrapped_lines_are_glued_in_linear_time():
+    import time
+
+    def took(n):
+        text = "Inclusion Criteria:\n* first\n" + "wrapped line\n" * n
+        began = time.process_time()
+        assert len(statements(text)) == 1
+        return time.process_time() - began
+
+    took(100)
+    assert took(80_000) < 24 * max(took(10_000), 0.02)

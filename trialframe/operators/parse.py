@@ -49,7 +49,7 @@ def parse(rows: DataFrame, terminology: Terminology | None = None) -> DataFrame:
     logical_operator, criterion_type) fill what the text does not spell out; those that are absent are null. Other
     columns pass through. Nothing is shuffled.
     """
-    words = terminology or Terminology()
+    words = terminology or Terminology.of_session(rows.sparkSession)
     types = {"lower_bound": "double", "upper_bound": "double", "lower_inclusive": "boolean", "upper_inclusive": "boolean"}
     proposed = ("criterion_type", "domain", "temporal", "repetition", "qualifier", "logical_operator", *_FIELDS)
     for name in proposed:
