@@ -51,10 +51,22 @@ def search(entries: DataFrame, words: str, columns: list[str] | None = None) ->
     return entries.filter(F.lower(text).contains(words.lower()))
 
 
+def natural_key(text: Column | str) -> Column:
+    """A key by which text is sorted as people read it: runs of digits as numbers, of any length, and other runs whatever the case.
+
+    Numbers come before other runs. Leading zeros count only between keys that are equal without them, and so does case.
+    """
+    raw = F.col(text).cast("string") if isinstance(text, str) else text.cast("string")
+    runs = F.regexp_extract_all(F.lower(raw), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    digits = lambda x: F.ltrim(x, F.lit("0"))
+    key = F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.struct(F.lit(0).alias("kind"), F.length(digits(x)).alias("size"), digits(x).alias("run"))).otherwise(F.struct(F.lit(1).alias("kind"), F.lit(0).alias("size"), x.alias("run"))))
+    return F.when(raw.isNotNull(), F.struct(key.alias("runs"), raw.alias("raw")))
+
+
 def sorted_by(entries: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    """By a column, numbers as numbers."""
-    keys = (F.col(column).cast("string").try_cast("double"), F.col(column))
-    return entries.orderBy(*[k.desc_nulls_last() if descending else k.asc_nulls_last() for k in keys])
+    """By a column in natural order, so that 9 mg comes before 10 mg; what is absent comes last."""
+    key = natural_key(column)
+    return entries.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last())
 
 
 def analysis_table(library: DataFrame) -> DataFrame:

@@ -220,6 +220,9 @@ select trial_id, ord, concat_ws(',', case when part_key % 29 = 0 then 'source_id
 select trial_id || '-' || ord as row_id, trial_id || '-' || ord as criterion_id, trial_id || '-' || ord as parent_statement_id, 'legacy-unversioned' as source_version,
   case when line_status = 'F' then 'accepted' else 'pending' end as human_review_status, case when kind = 1 then 'interval' when kind in (2, 5) then 'numerical' else 'categorical' end as value_kind,
   case kind when 1 then '[' || q || ', ' || (q + 10) || ']' when 2 then '(-inf, ' || q || ')' when 5 then '(' || q || ', +inf)' end as interval, upper(lab) as term from lines"""),
+        "natural_order": lines_sql("""
+, s as (select *, case when part_key % 2 = 0 then upper(lab) else lab end || ' ' || case when part_key % 5 = 0 then '00' else '' end || q || ' mg' || case when part_key % 3 = 0 then '2' else '' end as shown from lines)
+select trial_id, ord, shown, row_number() over (partition by trial_id order by (part_key % 37), q, case when part_key % 3 = 0 then 1 else 0 end, shown, ord)::int as place from s"""),
         "answer_intake": lines_sql("""
 , told as (
   select trial_id, ord - 1 as place, part_key % 7 as odd, lab, q, statement,

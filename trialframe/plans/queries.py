@@ -200,6 +200,15 @@ def proposal_contract(spark, sf_dir):
     return rows.select("trial_id", "ord", F.array_join(proposal_violations(), ",").alias("violations"))
 
 
+@_query
+def natural_order(spark, sf_dir):
+    """Each trial's values with their units, numbered as people sort them."""
+    rows = T.lines(spark, sf_dir)
+    shown = F.concat(F.when(F.col("part_key") % 2 == 0, F.upper("lab")).otherwise(F.col("lab")), F.lit(" "), F.when(F.col("part_key") % 5 == 0, "00").otherwise(""), "q", F.lit(" mg"), F.when(F.col("part_key") % 3 == 0, "2").otherwise(""))
+    place = F.row_number().over(Window.partitionBy("trial_id").orderBy(library.natural_key(shown), "ord"))
+    return rows.select("trial_id", "ord", shown.alias("shown"), place.alias("place"))
+
+
 @_query
 def answer_intake(spark, sf_dir):
     """A model's answers about all trials, fenced, wordy, broken and breaking the contract: proposals, and what is rejected and why."""

@@ -26,9 +26,9 @@ def write_snapshot(entries: DataFrame, folder: str, snapshot_id: str) -> None:
 
 
 def write_validated_export(entries: DataFrame, path: str) -> None:
-    """The entries that are ready, as JSON lines; raises if any breaks the export's contract."""
+    """The entries that are ready, as JSON lines, in place of an earlier export; raises if any breaks the export's contract."""
     rows = validated_export(entries)
     bad = rows.filter(F.size("violations") > 0).select("criterion_id", "violations").head(1)
     if bad:
         raise ValueError(f"{bad[0]['criterion_id']} breaks the export contract: {', '.join(bad[0]['violations'])}")
-    rows.drop("violations").write.json(path)
+    rows.drop("violations").write.mode("overwrite").json(path)
