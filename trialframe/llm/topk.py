@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .store import small_batches, written
 
 #: Candidates of a block, and queries that are streamed past it in one task.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16_384
 SLICE_ROWS = 65_536
 
 _LONG = (-(1 << 63), (1 << 63) - 1)
