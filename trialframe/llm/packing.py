@@ -196,7 +196,8 @@ def differenced(sizes: list[int], ways: int) -> list[list[int]]:
 
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
     """The places of ``sizes`` in windows within ``capacity``; one window more whenever one would exceed it."""
-    ways = max(1, -(-sum(sizes) // capacity))
+    # two sizes over half of the capacity never share a window
+    ways = max(1, -(-sum(sizes) // capacity), sum(2 * x > capacity for x in sizes))
     while True:
         parts = differenced(sizes, ways)
         if all(sum(sizes[i] for i in part) <= capacity for part in parts):
