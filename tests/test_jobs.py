@@ -121,3 +121,40 @@ def test_ids_strip_texts_and_drop_the_number_zero_only(spark):
     row = spark.createDataFrame([("\t a \n", 0, "0", 0.0)], "a string, n int, t string, d double")
     ids = row.select(C.stable_id("x", "a", "n"), C.stable_id("x", F.lit("a"), F.lit("")), C.stable_id("x", F.lit("a"), "t"), C.stable_id("x", "a", "d"), C.confidence(F.lit(None)), C.confidence(F.lit("7"))).first()
     assert ids[0] == ids[1] == ids[3] != ids[2] and tuple(ids[4:]) == (0.5, 1.0)
+
+
+def test_records_that_cannot_be_read_are_kept_with_their_fault(spark, tmp_path):
+    texts = {
+        "good": '{"job_id": "J1", "progress": 5, "events": [{"timestamp": "t", "stage": "queued", "message": "m"}], "rows": [{"entity": "ALT", "upper_bound": 40}], "new_field": 1}',
+        "list": '[{"job_id": "J2"}, {"job_id": "J3", "progress": "much"}]',
+        "fine": '[{"job_id": "J5"}]',
+        "broken": '{"job_id": "J4", "progress": 5',
+        "none": '{"trial_id": "NCT00000001"}',
+        "cut": "",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    jobs = readers.read_jobs(spark, f"file://{tmp_path}")
+    assert jobs.columns[:3] == ["job_id", "trial_id", "input_mode"] and jobs.columns[-3:] == ["raw", "file", "fault"]
+    assert sorted((r.job_id, r.progress) for r in jobs.filter("fault is null").collect()) == [("J1", 5), ("J5", None)]
+    assert '"J2"' in jobs.filter("file like '%list.json'").first().raw
+    faults = sorted((r.file.rsplit("/", 1)[1], r.fault, r.key) for r in readers.record_faults(jobs, "job_id").collect())
+    assert [f[:2] for f in faults] == [("broken.json", "unreadable"), ("list.json", "unreadable"), ("none.json", "no job_id")]
+    good = jobs.filter("fault is null")
+    assert [(r.ord, r.stage) for r in readers.job_children(good, "events").collect()] == [(0, "queued")]
+    assert [(r.entity, r.upper_bound) for r in readers.job_children(good, "rows").collect()] == [("ALT", 40.0)]
+
+
+def test_studies_that_cannot_be_read(spark, tmp_path):
+    study = '{"protocolSection": {"identificationModule": {"nctId": "nct01234567"}, "eligibilityModule": {"eligibilityCriteria": "Inclusion"}}}'
+    (tmp_path / "1.json").write_text(study)
+    (tmp_path / "2.json").write_text(study[:40])
+    (tmp_path / "3.json").write_text('{"protocolSection": {"identificationModule": "x"}}')
+    found = {r.file.rsplit("/", 1)[1]: (r.trial_id, r.error) for r in readers.read_studies(spark, f"file://{tmp_path}").collect()}
+    assert found == {"1.json": ("NCT01234567", None), "2.json": (None, "unreadable record"), "3.json": (None, "unreadable record")}
+
+
+def test_natural_order(spark):
+    rows = spark.createDataFrame([(x,) for x in ("10 mg", "9 mg", "x", None, "9 MG", "009 mg", "123456789012345678901", "123456789012345678900", "a10b2", "a10b10", "a9", "")], "value string")
+    assert [r.value for r in library.sorted_by(rows, "value").collect()] == ["", "009 mg", "9 MG", "9 mg", "10 mg", "123456789012345678900", "123456789012345678901", "a9", "a10b2", "a10b10", "x", None]
+    assert [r.value for r in library.sorted_by(rows, "value", descending=True).limit(3).collect()] == ["x", "a10b10", "a10b2"]

@@ -15,6 +15,40 @@ STUDY_SCHEMA = (
 )
 
 
+_ITEM = "protocol_id:string,source_version:string,criterion_type:string,source:string,source_id:string,parent_statement_id:string,parent_statement:string,parent_source_index:int,fragment_no:int,item_no:int,surrounding_context:string"
+_PROPOSED = "criterion_type:string,domain:string,entity:string,comparator:string,value:string,unit:string,negated:boolean,temporal:string,repetition:string,qualifier:string,logical_operator:string,lower_bound:double,lower_inclusive:boolean,upper_bound:double,upper_inclusive:boolean,extraction_confidence:double,source:string"
+_CRITERION = (
+    f"{_PROPOSED},criterion_id:string,row_id:string,parent_statement_id:string,parent_statement:string,parent_atom_count:int,atom_index:int,boolean_group_id:string,source_id:string,trial_id:string,protocol_id:string,"
+    "source_version:string,source_uri:string,source_retrieved_at:string,protocol_hash:string,value_kind:string,interval:string,relations:array<string>,surrounding_context:string,human_review_status:string,"
+    "validation_issues:array<struct<code:string,severity:string,field:string,message:string>>,export_ready:boolean,readiness_blockers:array<string>,reviewed_at:string"
+)
+#: The fields of a job's record.
+JOB_SCHEMA = (
+    "job_id string, trial_id string, input_mode string, status string, stage string, message string, progress int, created_at string, updated_at string, error string, "
+    f"rows array<struct<{_CRITERION}>>, events array<struct<timestamp:string,stage:string,message:string>>, protocol_id string, source_version string, source_uri string, source_retrieved_at string, "
+    f"protocol_hash string, protocol_text string, source_items array<struct<{_ITEM}>>, checkpoint_rows array<struct<{_PROPOSED}>>, completed_batches int"
+)
+
+
+def read_records(spark: SparkSession, path: str, schema: str, key: str, lines: bool = False) -> DataFrame:
+    """JSON records under a declared schema: its columns, ``file``, ``fault`` and ``raw``.
+
+    A file is one record or a list of them, or has one on each line. Nothing is inferred, so no file is read twice. A
+    record that is broken, or a field of which has another type, has a fault and its text in ``raw``, and whatever
+    fields could be read; so has one whose ``key`` is missing. A list that holds a broken record is one row with a fault, whose
+    ``raw`` is the whole list. Nothing is left out: take the rows without a fault.
+    """
+    options = {"multiLine": not lines, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    rows = spark.read.schema(f"{schema}, _corrupt_record string").options(**options).json(path)
+    fault = F.when(F.col("_corrupt_record").isNotNull(), "unreadable").when(F.col(key).isNull(), F.lit(f"no {key}"))
+    return rows.withColumns({"file": F.col("_metadata.file_path"), "fault": fault}).withColumnRenamed("_corrupt_record", "raw")
+
+
+def record_faults(rows: DataFrame, key: str) -> DataFrame:
+    """Of ``read_records`` what has a fault: (file, key, fault, raw)."""
+    return rows.filter(F.col("fault").isNotNull()).select("file", F.col(key).alias("key"), "fault", "raw")
+
+
 def manifest_entries(texts: DataFrame) -> DataFrame:
     """Entries (cohort_id, pos, slot, cohort, trial_id, phase, title, enabled, status) of manifest texts (value).
 
@@ -32,18 +66,21 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return manifest_entries(spark.read.text(path, wholetext=True))
 
 
-def study_rows(studies: DataFrame) -> DataFrame:
-    """(trial_id, protocol_id, source_version, source_uri, protocol_text, protocol_hash, error) of study records."""
+def study_rows(studies: DataFrame, *kept: str) -> DataFrame:
+    """(trial_id, protocol_id, source_version, source_uri, protocol_text, protocol_hash, error) of study records, and the columns ``kept``."""
     ident = C.nct_id("protocolSection.identificationModule.nctId")
     status = "protocolSection.statusModule"
     text = C.blank_to_null("protocolSection.eligibilityModule.eligibilityCriteria")
-    rows = studies.select(ident.alias("trial_id"), C.registry_version(f"{status}.lastUpdatePostDateStruct.date", f"{status}.studyFirstPostDateStruct.date").alias("source_version"), text.alias("protocol_text"))
+    rows = studies.select(*kept, ident.alias("trial_id"), C.registry_version(f"{status}.lastUpdatePostDateStruct.date", f"{status}.studyFirstPostDateStruct.date").alias("source_version"), text.alias("protocol_text"))
     error = F.when(F.col("trial_id").isNull(), "bad registry id").when(F.col("protocol_text").isNull(), "no eligibility text")
-    return rows.select("trial_id", F.col("trial_id").alias("protocol_id"), "source_version", F.concat(F.lit("https://clinicaltrials.gov/study/"), "trial_id").alias("source_uri"), "protocol_text", C.protocol_hash("protocol_text").alias("protocol_hash"), error.alias("error"))
+    return rows.select("trial_id", F.col("trial_id").alias("protocol_id"), "source_version", F.concat(F.lit("https://clinicaltrials.gov/study/"), "trial_id").alias("source_uri"), "protocol_text", C.protocol_hash("protocol_text").alias("protocol_hash"), error.alias("error"), *kept)
 
 
 def read_studies(spark: SparkSession, path: str) -> DataFrame:
-    return study_rows(spark.read.schema(STUDY_SCHEMA).option("multiLine", True).json(path))
+    """``study_rows`` of landed study records, with their ``file``; one that cannot be read has an error and no fields."""
+    rows = read_records(spark, path, STUDY_SCHEMA, "protocolSection")
+    read = study_rows(rows, "file", "fault")
+    return read.withColumn("error", F.coalesce(F.when(F.col("fault") == "unreadable", "unreadable record"), "error")).drop("fault")
 
 
 def pasted_protocols(rows: DataFrame) -> DataFrame:
@@ -94,7 +131,8 @@ def pages_to_eligibility(pages: DataFrame, count: int = PAGES) -> DataFrame:
 
 
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+    """Job records under their declared schema; those with a ``fault`` are there too, see ``read_records``."""
+    return read_records(spark, path, JOB_SCHEMA, "job_id")
 
 
 def job_children(jobs: DataFrame, name: str) -> DataFrame:
