@@ -35,13 +35,18 @@ def read_records(spark: SparkSession, path: str, schema: str, key: str, lines: b
 
     A file is one record or a list of them, or has one on each line. Nothing is inferred, so no file is read twice. A
     record that is broken, or a field of which has another type, has a fault and its text in ``raw``, and whatever
-    fields could be read; so has one whose ``key`` is missing. A list that holds a broken record is one row with a fault, whose
-    ``raw`` is the whole list. Nothing is left out: take the rows without a fault.
+    fields could be read; so has one whose ``key`` is missing. Records of a list are judged one by one, and a list that
+    is broken is one row. Nothing is left out but empty files: take the rows without a fault. Whether a record has a
+    fault does not depend on which columns are asked for.
     """
-    options = {"multiLine": not lines, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").options(**options).json(path)
-    fault = F.when(F.col("_corrupt_record").isNotNull(), "unreadable").when(F.col(key).isNull(), F.lit(f"no {key}"))
-    return rows.withColumns({"file": F.col("_metadata.file_path"), "fault": fault}).withColumnRenamed("_corrupt_record", "raw")
+    texts = spark.read.text(path, wholetext=not lines).select(C.strip("value").alias("text"), F.col("_metadata.file_path").alias("file")).filter("text <> ''")
+    listed = F.when(F.col("text").startswith("["), F.from_json("text", "array<string>"))
+    raw = texts.select("file", F.explode(F.coalesce(listed, F.array("text"))).alias("raw"))
+    row = F.from_json("raw", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    read = raw.withColumn("row", row)
+    broken = F.col("row").isNull() | F.col("row._corrupt_record").isNotNull() | ~F.col("raw").startswith("{")
+    fault = F.when(broken, "unreadable").when(F.col(f"row.{key}").isNull(), F.lit(f"no {key}"))
+    return read.select("row.*", "file", fault.alias("fault"), "raw").drop("_corrupt_record")
 
 
 def record_faults(rows: DataFrame, key: str) -> DataFrame:
