@@ -305,3 +305,59 @@ def test_pieces_make_up_documents(spark):
     packed = pack(unique, path)
     made = {r.sequence_id: r.ids for r in sequences(unique, packed, path).collect()}
     assert sum(map(len, made.values())) == sum(len(x) for i, x in ids.items() if 6 <= i != 2000)
+
+
+# --- long and hostile texts ---------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda n: "<article><p>x</p>" + "<a " * (n // 3),
+        lambda n: "<b>" * (n // 7) + "</i>" * (n // 7),
+        lambda n: '<a ="' * (n // 5),
+        lambda n: "<a ='>" * (n // 6) + '"',
+        lambda n: "<b>" * (n // 14) + "<div></div>" * (n // 14),
+        lambda n: "<!x" * (n // 3),
+        lambda n: "<script " * (n // 8),
+    ],
+)
+def test_pages_are_read_in_linear_time(make):
+    from trialframe.llm.pages import page_blocks
+
+    assert_linear(page_blocks, make)
+
+
+@pytest.mark.parametrize("make", [lambda n: "a." * (n // 2), lambda n: "a." * (n // 2) + "://", lambda n: "1.:// " * (n // 6), lambda n: "a.host:x://b " * (n // 13)])
+def test_secrets_are_found_in_linear_time(make):
+    from trialframe.llm.secrets import text_spans
+
+    assert_linear(lambda x: text_spans("user=abcd password=hunter2hunter2 " + x), make)
+
+
+def assert_linear(read, make):
+    """Eight times the text takes well under eight squared times as long; sizes up to 1 MB."""
+    import time
+
+    took = {}
+    for n in (15_000, 125_000, 1_000_000):
+        text = make(n)
+        began = time.process_time()
+        read(text)
+        took[n] = time.process_time() - began
+    assert took[1_000_000] < 24 * max(took[125_000], 0.05)
+
+
+def test_addresses_are_those_of_one_pattern():
+    """Schemes are looked for backward; what is found is what the pattern read forward finds."""
+    import random
+    import re
+
+    from trialframe.llm.secrets import endpoints
+
+    pattern = re.compile(r"""\b(?:[a-z][a-z0-9+.-]*://[^\s"'<>]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::[0-9]+)?)""", re.IGNORECASE | re.ASCII)
+    draw = random.Random(8)
+    parts = ["a", "b.", "http", "://", "s3", "+", "-", "_", " ", "host", "server", ":", "=", '"', "'", "<", "9", ".", "endpoint: ", "\u00e9"]
+    for _ in range(5000):
+        text = "".join(draw.choices(parts, k=draw.randrange(1, 30)))
+        assert list(endpoints(text)) == [m.span() for m in pattern.finditer(text)], text
