@@ -75,6 +75,7 @@ def test_features_of_a_very_long_text():
 
 # --- secrets ---------------------------------------------------------------------------------------------------
 
+ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]*://[^\s"'<>]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::[0-9]+)?)""", re.IGNORECASE | re.ASCII)
 ASSIGN = re.compile("([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
 
@@ -95,7 +96,7 @@ def plain_links(text, base, reach):
     mixed = [x for x in mixed if any(near(x, y, reach) for y in names) and not any(near(x, y, 0) for y in accounts)]
     secrets = mixed + [x for x in base if x[0] != "access"]
     accounts = [x for x in accounts if any(near(x, y, reach) for y in secrets)]
-    ends = [x for x in fresh("linked_endpoint", S.ENDPOINT.finditer(text)) if any(near(x, y, reach) for y in secrets) and any(near(x, y, reach) for y in names)]
+    ends = [x for x in fresh("linked_endpoint", ENDPOINT.finditer(text)) if any(near(x, y, reach) for y in secrets) and any(near(x, y, reach) for y in names)]
     return accounts + mixed + ends
 
 
