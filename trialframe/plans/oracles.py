@@ -93,6 +93,7 @@ select trial_id, ord, kind = 3 as negated, case kind when 2 then 'within ' || d
 select trial_id, ord, '>' as comparator, q::varchar as value, 'weeks' as unit, 'duration' as entity, 'standalone' as logical_operator from lines where kind = 4
 union all select trial_id, -ord, '>=', q::varchar, null, case part_key % 3 when 0 then 'Patients with' when 1 then 'lesions' else 'new lesions' end, 'standalone' from lines"""),
         "operator_spelling": lines_sql("select trial_id, ord, statement as spelled, '>= ' || q || ' grade' as graded from lines"),
+        "comparator_words": lines_sql("select trial_id, ord, ['>=', '<=', '>', '<', '<=', null][kind + 1] as sign from lines"),
         "number_columns": lines_sql("""
 select trial_id, ord, '[' || q || ', ' || case when kind < 3 then q || '.5' else '+inf' end || ')' as interval, q * 12.0::double as upper, 'months' as unit,
   (1000 + q)::double as number, ('0.' || q)::double as confidence, 'x ULN' as tidy from lines"""),

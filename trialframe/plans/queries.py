@@ -90,6 +90,14 @@ def operator_spelling(spark, sf_dir):
     return T.lines(spark, sf_dir).select("trial_id", "ord", C.operators(odd).alias("spelled"), C.grade_last(grade).alias("graded"))
 
 
+@_query
+def comparator_words(spark, sf_dir):
+    """Comparisons in words, in any case and spacing, as signs; other words have none."""
+    phrases = ("at least", "AT  MOST", " more\tthan ", "less than", "no  more than", "roughly")
+    said = F.element_at(F.array(*map(F.lit, phrases)), F.col("kind") + 1)
+    return T.lines(spark, sf_dir).select("trial_id", "ord", C.comparator_symbol(said).alias("sign"))
+
+
 @_query
 def number_columns(spark, sf_dir):
     """Interval texts, numbers and time scales from columns."""
