@@ -2,44 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import language as L
 from ..functions import patterns as P
 from ..functions.literals import memo, parse_criterion, written_constraints
 from ..functions.terms import Terminology
+from ..functions.texts import by_text
 
-_PARSED = "struct<entity:string, comparator:string, value:string, unit:string, value_kind:string, lower_bound:double, lower_inclusive:boolean, upper_bound:double, upper_inclusive:boolean, negated:boolean, literal:boolean, compared:boolean>"
+_PARSED = "struct<entity:string, comparator:string, value:string, unit:string, value_kind:string, lower_bound:double, lower_inclusive:boolean, upper_bound:double, upper_inclusive:boolean, negated:boolean, domain:string, temporal:string, repetition:string>"
 _FIELDS = ("source", "entity", "comparator", "value", "unit", "lower_bound", "lower_inclusive", "upper_bound", "upper_inclusive")
 _WRITTEN = "array<struct<comparator:string, value:string, unit:string, entity:string, logical_operator:string>>"
+_KINDS = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
-def _parser(words: Terminology) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Parses batches, and gives entities their canonical names; texts and terms that repeat are read once."""
+def _struct(ddl: str) -> pa.DataType:
+    return pa.struct([(name, _KINDS[kind]) for name, kind in (x.split(":") for x in ddl[ddl.index("struct<") + 7 :].rstrip(">").split(", "))])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name = memo(words.canonical)
-        parse = memo(lambda *given: (found := parse_criterion(*given)) | {"entity": name(found["entity"])})
-        for part in parts:
-            rows = [parse(*(None if x is None or x != x else x for x in row)) for row in part[list(_FIELDS)].itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=[x.split(":")[0] for x in _PARSED[7:-1].split(", ")]).astype(object).where(lambda f: f.notna(), None)
 
-    return run
+def _parser(words: Terminology) -> Callable[[], Callable[..., dict[str, Any]]]:
+    """Makes a function that parses a statement with its proposal, gives the entity its canonical name, and reads the rest of the text."""
 
+    def make() -> Callable[..., dict[str, Any]]:
+        name, domain = memo(words.canonical), L.domains(words.domains)
 
-def _constraints(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    parse = memo(written_constraints)
-    for part in parts:
-        yield pd.Series([parse(x) for x in part], dtype=object)
+        def parse(source: str | None, *given: Any) -> dict[str, Any]:
+            found = parse_criterion(source, *given)
+            entity, text = name(found["entity"]), L.plain_spelling(source)
+            return found | {"entity": entity, "domain": domain(entity, (source or "").strip(), found["compared"]), "temporal": L.temporal(text), "repetition": L.repetition(text)}
+
+        return parse
+
+    return make
+
+
+def _constraints() -> Callable[[str | None], list[dict[str, Any]]]:
+    return written_constraints
 
 
 def constraints(source: Column | str) -> Column:
-    """The comparisons that a text writes out in words, as an array of structs; it runs once, whatever reads it."""
-    return F.pandas_udf(_constraints, _WRITTEN).asNondeterministic()(C.col(source))
+    """The comparisons that a text writes out in words, as an array of structs; texts that repeat are read once."""
+    return by_text("written_constraints", _constraints, pa.list_(_struct(_WRITTEN)), _WRITTEN, C.col(source), apart=True)
 
 
 def parse(rows: DataFrame, terminology: Terminology | None = None) -> DataFrame:
@@ -47,7 +56,7 @@ def parse(rows: DataFrame, terminology: Terminology | None = None) -> DataFrame:
 
     Proposed columns (entity, domain, comparator, value, unit, bounds, temporal, repetition, qualifier,
     logical_operator, criterion_type) fill what the text does not spell out; those that are absent are null. Other
-    columns pass through. Nothing is shuffled.
+    columns pass through. Nothing is shuffled, and a statement that repeats with its proposal is read once by a worker.
     """
     words = terminology or Terminology.of_session(rows.sparkSession)
     types = {"lower_bound": "double", "upper_bound": "double", "lower_inclusive": "boolean", "upper_inclusive": "boolean"}
@@ -56,20 +65,18 @@ def parse(rows: DataFrame, terminology: Terminology | None = None) -> DataFrame:
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(types.get(name, "string")))
     kept = [c for c in rows.columns if c not in {*proposed, "negated", "value_kind", "interval", "relations"}]
-    given = F.struct(*[F.col(c).cast(types.get(c, "string")).alias(c) for c in _FIELDS])
-    found = rows.select(*kept, *[F.col(c).alias(f"given_{c}") for c in proposed], F.pandas_udf(_parser(words), _PARSED)(given).alias("p"))
+    given = [F.col(c).cast(types.get(c, "string")) for c in _FIELDS]
+    found = rows.select(*kept, *[F.col(c).alias(f"given_{c}") for c in proposed], by_text(f"parse {words.digest}", _parser(words), _struct(_PARSED), _PARSED, *given).alias("p"))
     raw = C.strip(F.coalesce(F.col("given_source"), F.lit("")))
-    text = C.grade_last(C.operators(raw))
     kind = F.lower(F.coalesce(F.col("given_criterion_type"), F.lit("inclusion")))
     domain = F.lower(C.strip("given_domain"))
-    out = found.withColumn("entity", F.col("p.entity")).select(
+    out = found.select(
         *kept,
         kind.alias("criterion_type"),
-        F.when(domain.isin(*P.DOMAINS), domain).otherwise(C.infer_domain("entity", raw, F.col("p.compared"), words.domains)).alias("domain"),
-        "entity",
-        *[F.col(f"p.{c}").alias(c) for c in ("comparator", "value", "unit", "value_kind", "lower_bound", "lower_inclusive", "upper_bound", "upper_inclusive", "negated")],
-        F.coalesce(C.blank_to_null("given_temporal"), C.temporal(text)).alias("temporal"),
-        F.coalesce(C.blank_to_null("given_repetition"), C.repetition(text)).alias("repetition"),
+        F.when(domain.isin(*P.DOMAINS), domain).otherwise(F.col("p.domain")).alias("domain"),
+        *[F.col(f"p.{c}").alias(c) for c in ("entity", "comparator", "value", "unit", "value_kind", "lower_bound", "lower_inclusive", "upper_bound", "upper_inclusive", "negated")],
+        F.coalesce(C.blank_to_null("given_temporal"), F.col("p.temporal")).alias("temporal"),
+        F.coalesce(C.blank_to_null("given_repetition"), F.col("p.repetition")).alias("repetition"),
         C.blank_to_null("given_qualifier").alias("qualifier"),
         F.when(F.lower("given_logical_operator").isin(*P.LOGIC), F.lower("given_logical_operator")).otherwise("standalone").alias("logical_operator"),
         raw.alias("source"),
