@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import language as L
 from ..functions import patterns as P
-from ..functions.columns import missing, says
+from ..functions.columns import missing
+from ..functions.texts import by_text
 
 ISSUES = "array<struct<code:string,severity:string,field:string,message:string>>"
 
@@ -36,9 +41,14 @@ def issue(code: str, severity: Column | str, field: str) -> Column:
     return F.struct(F.lit(code).alias("code"), level.alias("severity"), F.lit(field).alias("field"), F.lit(MESSAGES[code]).alias("message"))
 
 
+def _said() -> Callable[[str | None], dict[str, bool]]:
+    return L.said
+
+
 def issues() -> Column:
-    """The row-level findings of a criterion's columns, in fixed order."""
+    """The row-level findings of a criterion's columns, in fixed order; a source that repeats is read once by a worker."""
     c = F.col
+    said = by_text("said", _said, pa.struct([(name, pa.bool_()) for name in L.SAID]), f"struct<{', '.join(f'{name}:boolean' for name in L.SAID)}>", c("source"))
     has_op = ~missing("comparator")
     no_bound = c("lower_bound").isNull() & c("upper_bound").isNull()
     negated = F.coalesce(c("negated"), F.lit(False))
@@ -50,17 +60,17 @@ def issues() -> Column:
         (missing("source"), "SOURCE_MISSING", "error", "source"),
         (~F.coalesce(c("criterion_type").isin("inclusion", "exclusion"), F.lit(False)), "CRITERION_TYPE_INVALID", "error", "criterion_type"),
         (has_op & unset("value"), "COMPARATOR_WITHOUT_VALUE", "error", "value"),
-        (says("source", P.COMPARISON_LANGUAGE) & ~has_op & no_bound, "COMPARISON_NOT_STRUCTURED", "error", "comparator"),
+        (said["comparison"] & ~has_op & no_bound, "COMPARISON_NOT_STRUCTURED", "error", "comparator"),
         (c("lower_bound") > c("upper_bound"), "INTERVAL_REVERSED", "error", "lower_bound"),
         (c("lower_bound").isNull() & c("lower_inclusive").isNotNull(), "LOWER_INCLUSIVITY_WITHOUT_BOUND", "error", "lower_inclusive"),
         (c("upper_bound").isNull() & c("upper_inclusive").isNotNull(), "UPPER_INCLUSIVITY_WITHOUT_BOUND", "error", "upper_inclusive"),
-        (says("source", P.NEGATION_LANGUAGE) & ~negated & ~says("source", P.NOT_DUE_TO), "NEGATION_UNCAPTURED", "warning", "negated"),
+        (said["negation"] & ~negated & ~said["not_due_to"], "NEGATION_UNCAPTURED", "warning", "negated"),
         (negated & ~F.lower(F.coalesce(c("value"), F.lit("none"))).isin("absent", "0", "false", "no"), "NEGATION_VALUE_CONFLICT", F.when(has_op, "warning").otherwise("error"), "value"),
-        (has_op & says("source", P.COMPARISON_WITH_UNIT) & missing("unit"), "UNIT_UNCAPTURED", "error", "unit"),
-        (says("source", P.TEMPORAL_LANGUAGE) & unset("temporal"), "TEMPORAL_UNCAPTURED", "error", "temporal"),
-        (says("source", P.REPETITION_LANGUAGE) & unset("repetition"), "REPETITION_UNCAPTURED", "error", "repetition"),
+        (has_op & said["unit"] & missing("unit"), "UNIT_UNCAPTURED", "error", "unit"),
+        (said["temporal"] & unset("temporal"), "TEMPORAL_UNCAPTURED", "error", "temporal"),
+        (said["repetition"] & unset("repetition"), "REPETITION_UNCAPTURED", "error", "repetition"),
         ((size > 1) & ~logic.isin("and", "or"), "COMPOUND_SCOPE_MISSING", "error", "logical_operator"),
-        ((size == 1) & says("source", P.COMPOUND_LANGUAGE) & (logic == "standalone"), "POSSIBLE_UNSPLIT_COMPOUND", "warning", "source"),
+        ((size == 1) & said["compound"] & (logic == "standalone"), "POSSIBLE_UNSPLIT_COMPOUND", "warning", "source"),
     ]
     return F.array_compact(F.array(*[F.when(when, issue(code, level, field)) for when, code, level, field in rules])).cast(ISSUES)
 
