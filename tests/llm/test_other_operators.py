@@ -374,3 +374,36 @@ def test_pipeline_stages(spark):
 def test_read_arc_of_nothing(spark, tmp_path):
     (tmp_path / "x.arc").write_bytes(b"")
     assert read_arc(spark, str(tmp_path)).count() == 0
+
+
+def test_members_are_read_in_linear_time():
+    """40,000 members of an archive; copying what is left of it for each takes some minutes."""
+    import gzip
+    import time
+
+    from trialframe.llm.warc import _unzipped
+
+    members = [gzip.compress(b"%d " % i * 20, mtime=0) for i in range(40_000)]
+    started = time.process_time()
+    assert _unzipped(b"".join(members)) == b"".join(b"%d " % i * 20 for i in range(40_000))
+    assert time.process_time() - started < 5
+    assert _unzipped(gzip.compress(b"") + b"\0\0" + gzip.compress(bytes(1 << 20))) == bytes(1 << 20)
+    with pytest.raises(EOFError):
+        _unzipped(b"".join(members)[:-3])
+
+
+def test_payloads_are_not_moved(spark, tmp_path):
+    """Revisits meet files as they are stored: no exchange holds a payload."""
+    from trialframe.llm import warc
+
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i % 3}</p>" * 30) for i in range(12)], "page_id long, url string, html string")
+    warc.write_arc(pages, f"{tmp_path}/arc/v2", 2)
+    records = warc.read_arc(spark, f"{tmp_path}/arc/*")
+    revisits = warc.with_revisits(records).filter("refers_to is not null").select("place", "refers_to", "refers_place", "refers_date")
+    told = warc.read_arc(spark, f"{tmp_path}/arc/*", spark.createDataFrame(revisits.collect(), revisits.schema))
+    plain = warc.with_revisits(records).select(*told.columns)
+    key = lambda r: r["page_id"]
+    assert sorted(told.collect(), key=key) == sorted(plain.collect(), key=key)
+    assert sum(r["refers_to"] is not None for r in told.collect()) == 9
+    moved = [line for line in told._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert moved and not any("payload" in line for line in moved)

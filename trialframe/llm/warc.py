@@ -17,6 +17,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 from urllib.parse import quote
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import new_path, small_batches
+from .store import new_path, small_batches, written
 
 #: The field lists of ARC record lines by version.
 ARC_FIELDS = {
@@ -94,10 +95,19 @@ def _version_block(version: int, name: str, date: str) -> bytes:
     return f"filedesc://{name} 0.0.0.0 {date} text/plain {len(body)}\n".encode() + body
 
 
+_JOB = r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}-?"
+
+
 def _place(path: str, record: int) -> str:
     """Where a record is among archives that were written together, whatever the writer's job was called."""
     folder, _, name = path.rpartition("/")
-    return f"{folder.rpartition('/')[2]}/{re.sub(r'[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}-?', '', name)}/{record}"
+    return f"{folder.rpartition('/')[2]}/{re.sub(_JOB, '', name)}/{record}"
+
+
+def _file(path: str) -> Column:
+    """The places of a file's records, without their numbers."""
+    named = F.substring_index(path, "/", -2)
+    return F.concat_ws("/", F.substring_index(named, "/", 1), F.regexp_replace(F.substring_index(named, "/", -1), _JOB, ""))
 
 
 _HEAD_END = re.compile(rb"\r?\n\r?\n")
@@ -120,6 +130,26 @@ def _member(record: bytes) -> bytes:
     return gzip.compress(record, mtime=0)
 
 
+#: Bytes that are given to a member at once; what it leaves of them is copied.
+_PIECE = 2048
+
+
+def _unzipped(data: bytes) -> bytes:
+    """The content of all gzip members of ``data``, each byte of which is read about once however many they are."""
+    parts, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        member = zlib.decompressobj(wbits=31)
+        while not member.eof:
+            if at >= len(data):
+                raise EOFError("the archive ends inside a gzip member")
+            piece = view[at : at + _PIECE]
+            parts.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+        while data[at : at + 1] == b"\0":  # padding
+            at += 1
+    return b"".join(parts)
+
+
 def _closed(members: list[bytes]) -> bytes:
     """An archive without its last byte, which is 0 and which the writer adds: the highest byte of the last member's size."""
     if members[-1][-1:] != b"\0":  # a record of 16 MB or more; a member without content ends in 0
@@ -164,8 +194,8 @@ def write_arc(pages: DataFrame, path: str, version: int, date: str = "2024010100
     _write(pages.select(*columns).mapInArrow(lambda batches: _archives(records(batches), opening), "value binary"), path)
 
 
-def _read(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
-    """Rows that ``parse`` makes of each file's bytes, in batches of bounded size."""
+def _read(files: DataFrame, parse, schema: str) -> DataFrame:
+    """Rows that ``parse`` makes of each file's bytes and what else ``files`` tells of it, in batches of bounded size."""
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
     types = [kinds[x.split()[1]] for x in schema.split(", ")]
@@ -176,10 +206,10 @@ def _read(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for files in batches:
-            for path, content in zip(files.column("path"), files.column("content"), strict=True):
+            for path, content, *more in zip(*files.columns, strict=True):
                 data = content.as_py()
                 rows, size = [], 0
-                for row in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, path.as_py()):
+                for row in parse(_unzipped(data) if data[:2] == b"\x1f\x8b" else data, path.as_py(), *(x.as_py() for x in more)):
                     rows.append(row)
                     size += 200 + sum(len(x) for x in row if isinstance(x, bytes))
                     if size >= BATCH_BYTES:
@@ -188,27 +218,40 @@ def _read(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    return files.mapInArrow(run, schema)
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def read_arc(spark: SparkSession, path: str, revisits: DataFrame | None = None) -> DataFrame:
     """The records of ARC files of either version, gzipped or not.
 
     (record_no, place, version, http, url, ip, date, media, result, checksum, location, page_id, head, payload, payload_bytes,
     payload_digest, error): the payload is the body of the HTTP message, or all of a block that is none (http 0), such as a
     DNS answer; its digest is the bare SHA-256. ``head`` is the message's own head, byte for byte. Result, checksum and
     location are fields of version 2, null where a line has none. ``place`` names the record's file and number. Malformed records have an error.
+
+    ``revisits`` (place, refers_to, refers_place, refers_date) of some records become columns of theirs. They meet whole
+    files as they are stored, so that no payload is moved.
     """
 
-    def parse(data: bytes, path: str) -> Iterator[tuple]:
+    def parse(data: bytes, path: str, *refers: list[dict] | None) -> Iterator[tuple]:
+        told = {x["place"]: (x["refers_to"], x["refers_place"], x["refers_date"]) for found in refers for x in found or ()}
         for i, x in enumerate(parse_arc(data)):
             http = x.block.startswith(b"HTTP/")
             header, head, body = _http(x.block) if http else ({}, b"", x.block)
             number = header.get("x-page-id", "")
             given = {k: v for k, v in x.fields.items() if v != "-"}
-            yield (i, _place(path, i), x.version, int(http), given.get("URL"), *(x.fields.get(k) for k in ("IP-address", "Archive-date", "Content-type")), *(given.get(k) for k in ("Result-code", "Checksum", "Location")), int(number) if number.lstrip("-").isdigit() else None, head, body, len(body), hashlib.sha256(body).hexdigest(), x.error)
+            yield (i, _place(path, i), x.version, int(http), given.get("URL"), *(x.fields.get(k) for k in ("IP-address", "Archive-date", "Content-type")), *(given.get(k) for k in ("Result-code", "Checksum", "Location")), int(number) if number.lstrip("-").isdigit() else None, head, body, len(body), hashlib.sha256(body).hexdigest(), x.error, *(told.get(_place(path, i), (None, None, None)) if refers else ()))
 
-    return _read(spark, path, parse, _ARC)
+    files = _files(spark, path)
+    if revisits is None:
+        return _read(files, parse, _ARC)
+    of_file = revisits.groupBy(F.regexp_replace("place", "/[0-9]+$", "").alias("file")).agg(F.collect_list(F.struct("place", "refers_to", "refers_place", "refers_date")).alias("refers"))
+    files = files.join(of_file, _file("path") == F.col("file"), "left").select("path", "content", "refers")
+    return _read(files, parse, f"{_ARC}, refers_to bigint, refers_place string, refers_date string")
 
 
 def with_revisits(records: DataFrame) -> DataFrame:
@@ -320,7 +363,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     error = "digest differs"
             yield kind, fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-date"), fields.get("warc-target-uri"), number("x-page-id"), number("x-refers-to-page"), digest, size, head, payload, error
 
-    return _read(spark, path, parse, _WARC)
+    return _read(_files(spark, path), parse, _WARC)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
@@ -337,8 +380,9 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     even = F.coalesce(F.pmod("page_id", F.lit(2)) == 0, F.lit(False))
     write_arc(pages.filter(even), f"{arc}/v1", 1)
     write_arc(pages.filter(~even), f"{arc}/v2", 2)
-    records = read_arc(spark, f"{arc}/*")
-    write_warc(with_revisits(records), warc)
+    records = read_arc(spark, f"{arc}/*").select("place", "page_id", "payload_digest", "payload_bytes", "date", "error")
+    revisits = written(with_revisits(records).filter("refers_to is not null").select("place", "refers_to", "refers_place", "refers_date"), "revisits")
+    write_warc(read_arc(spark, f"{arc}/*", revisits), warc)
     return read_warc(spark, warc)
 
 
