@@ -70,3 +70,31 @@ def test_language_is_the_same_in_both(spark, aliases):
     for i, (x, row) in enumerate(zip(SAYINGS, found, strict=True)):
         spelled = L.plain_spelling(x)
         assert (L.temporal(spelled), L.repetition(spelled), domain("x", x.strip(), i % 2 == 0), L.said(x)) == (row["t"], row["r"], row["d"], row["s"].asDict()), x
+
+
+def test_long_documents_are_segmented_in_pieces(monkeypatch):
+    """A batch's texts are not made into statements all at once, and a row does not carry its whole document."""
+    from trialframe.operators import segment as module
+
+    monkeypatch.setattr(module, "_CHARS", 100)
+    texts = ["\n".join(f"line {i} of {n}; more" for i in range(n)) for n in (40, 0, 3, 1)] + [None]
+    found = list(module._all_statements(iter([pa.array(texts, pa.string())])))
+    assert len(found) > 1
+    rows = [row for part in found for row in part.to_pylist()]
+    assert [len(row) for row in rows] == [40, 0, 3, 1, 0]
+    assert rows[2][1] == {"criterion_type": "inclusion", "source": "line 1 of 3; more", "place": 1, "context": "\n".join(f"line {i} of 3; more" for i in range(3)), "earlier": 2, "own": ["line 1 of 3", "more"]}
+
+
+def test_reconciling_moves_what_it_reads(spark):
+    """Neither parents nor fields that no proposal has are grouped."""
+    from trialframe.operators.normalize import reconcile
+    from trialframe.operators.segment import segment
+
+    items = segment(spark.createDataFrame([("a", "v1", "Age >= 18; BMI < 30\nNo stroke")], "protocol_id string, source_version string, protocol_text string"))
+    proposals = spark.createDataFrame([("a", 1, " BMI < 30", "BMI"), ("a", 2, "invented", "x")], "protocol_id string, ord int, source string, entity string")
+    found = reconcile(proposals, items)
+    assert sorted((r["source"], r["phase"], r["entity"]) for r in found.collect()) == [("Age >= 18", 1, None), ("BMI < 30", 0, "BMI"), ("No stroke", 1, None)]
+    grouped = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in line]
+    assert grouped
+    united = found._jdf.queryExecution().optimizedPlan().toString().split("Union")[-1]
+    assert "surrounding_context" not in united.split("Generate")[0] and "upper_inclusive" not in united

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.columns import stable_id, strip
+from ..functions.columns import stable_id
 
 _HEADING = re.compile(P.HEADING, re.IGNORECASE)
 _BULLET = re.compile(r"(?:[-*•]\s+|\d+[.)]\s+)(.*)", re.DOTALL)
@@ -18,11 +20,15 @@ _THRESHOLD = re.compile("|".join(re.sub(r"\?P<\w+>", "?:", p) for p in (P.COMPAR
 _SECTION_NUMBER = re.compile(r"\d+(?:\.\d+)+\s")
 _FIELD = re.compile(P.LABELLED_FIELD, re.IGNORECASE)
 
-_STATEMENTS = "array<struct<criterion_type:string, source:string>>"
+_STATEMENTS = "array<struct<criterion_type:string, source:string, place:int, context:string, earlier:int, own:array<string>>>"
+#: Characters of the protocols, one at least, that are read at once.
+_CHARS = 1 << 18
 
 
 def labelled_parts(text: str) -> list[str]:
     """A dense item's labelled fields, if it has three or more; what comes before the first is dropped."""
+    if text.count(":") < 3:
+        return [text]
     at = [m.start() for m in _FIELD.finditer(text)]
     if len(at) < 3:
         return [text]
@@ -61,9 +67,44 @@ def statements(text: str | None) -> list[tuple[str, str]]:
     return [(a, " ".join(b).strip()) for a, b in out]
 
 
-def _all_statements(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in texts:
-        yield pd.Series([[{"criterion_type": a, "source": b} for a, b in statements(x)] for x in part], dtype=object)
+def _pieces(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a batch, about _CHARS at once: what is made of them takes many times their size."""
+    first, held = 0, 0
+    for at, size in enumerate(pc.utf8_length(texts).to_pylist()):
+        held += size or 0
+        if held >= _CHARS or at - first >= 1000:
+            yield texts.slice(first, at + 1 - first).to_pylist()
+            first, held = at + 1, 0
+    if first < len(texts):
+        yield texts.slice(first).to_pylist()
+
+
+def _lists(sizes: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), values)
+
+
+def _all_statements(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Each text's statements with their neighbours, their fragments, and how many came before these."""
+    for batch in batches:
+        for texts in _pieces(batch):
+            sizes, kinds, sources, places, contexts, earlier, own, fragments = [], [], [], [], [], [], [], []
+            for text in texts:
+                found = statements(text)
+                said = [source for _, source in found]
+                before = 0
+                for at, (kind, source) in enumerate(found):
+                    parts = [x for x in map(str.strip, source.split(";")) if x] if ";" in source else [source] if source else []
+                    kinds.append(kind)
+                    sources.append(source)
+                    places.append(at)
+                    contexts.append("\n".join(filter(None, said[max(at - 1, 0) : at + 2])))
+                    earlier.append(before)
+                    own.append(len(parts))
+                    fragments += parts
+                    before += len(parts)
+                sizes.append(len(found))
+            columns = [pa.array(kinds, pa.string()), pa.array(sources, pa.string()), pa.array(places, pa.int32()), pa.array(contexts, pa.string()), pa.array(earlier, pa.int32()), _lists(own, pa.array(fragments, pa.string()))]
+            yield _lists(sizes, pa.StructArray.from_arrays(columns, names=["criterion_type", "source", "place", "context", "earlier", "own"]))
 
 
 def segment(protocols: DataFrame) -> DataFrame:
@@ -73,23 +114,17 @@ def segment(protocols: DataFrame) -> DataFrame:
     parent_statement, parent_source_index, fragment_no, item_no, surrounding_context. Statements are split at
     semicolons. All of a protocol's work stays in its row until the rows are exploded; nothing is shuffled.
     """
-    found = F.pandas_udf(_all_statements, _STATEMENTS).asNondeterministic()(F.col("protocol_text"))  # so that it runs once, whatever reads it
-    listed = protocols.select("protocol_id", "source_version", found.alias("found"))
-    # fragments of each statement, and how many came before it
-    fragments = F.transform("found", lambda s: F.filter(F.transform(F.split(s["source"], ";"), strip), lambda x: x != ""))
-    listed = listed.withColumn("fragments", fragments)
-    one = listed.select("protocol_id", "source_version", "found", "fragments", F.posexplode("found").alias("at", "s"))
-    near = F.filter(F.transform(F.slice("found", F.greatest(F.col("at"), F.lit(1)), F.when(F.col("at") == 0, 2).otherwise(3)), lambda s: s["source"]), lambda x: x != "")
-    earlier = F.aggregate(F.slice("fragments", F.lit(1), F.col("at")), F.lit(0), lambda n, x: n + F.size(x))
+    found = F.arrow_udf(_all_statements, _STATEMENTS).asNondeterministic()(F.col("protocol_text"))  # so that it runs once, whatever reads it
+    one = protocols.select("protocol_id", "source_version", found.alias("found")).select("protocol_id", "source_version", F.explode("found").alias("s"))
     statement = one.select(
         "protocol_id",
         "source_version",
         F.col("s.criterion_type").alias("criterion_type"),
         F.col("s.source").alias("parent_statement"),
-        (F.col("at") + 1).alias("parent_source_index"),
-        F.array_join(near, "\n").alias("surrounding_context"),
-        earlier.alias("earlier"),
-        F.get("fragments", F.col("at")).alias("own"),
+        (F.col("s.place") + 1).alias("parent_source_index"),
+        F.col("s.context").alias("surrounding_context"),
+        F.col("s.earlier").alias("earlier"),
+        F.col("s.own").alias("own"),
     )
     parent = stable_id("statement", "protocol_id", "source_version", "criterion_type", "parent_source_index", "parent_statement")
     items = statement.withColumn("parent_statement_id", parent).select("*", F.posexplode("own").alias("fragment", "source"))
