@@ -27,22 +27,24 @@ def _squeezed(value: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"(?U)\s+", ""))
 
 
-def _by_sentence(proposals: DataFrame, items: DataFrame) -> DataFrame:
+def _by_sentence(proposals: DataFrame, items: DataFrame, parent: tuple[str, ...] = ()) -> DataFrame:
     """(protocol_id, source, last, rows): what becomes of each sentence of a protocol, and its last item.
 
-    Items and proposals meet in one grouping. Protocols share sentences, but the groups are those of one protocol.
+    Items and proposals meet in one grouping, to which each brings the columns it has; of items, those named by ``parent``
+    beside number and type. Protocols share sentences, but the groups are those of one protocol.
     """
-    given = {c: F.col(c) for c in _FIELDS if c in proposals.columns}
-    item = items.select("protocol_id", "source", F.struct("item_no", "criterion_type", *_PARENT).alias("item"), F.lit(None).alias("proposal"))
-    proposal = proposals.select("protocol_id", C.strip("source").alias("source"), F.lit(None).alias("item"), _row(phase=F.lit(0), item_no=F.lit(0), seq=F.col("ord"), **given).alias("proposal"))
+    given = [c for c in _FIELDS if c in proposals.columns]
+    item = items.select("protocol_id", "source", F.struct("item_no", "criterion_type", *parent).alias("item"), F.lit(None).alias("proposal"))
+    proposal = proposals.select("protocol_id", C.strip("source").alias("source"), F.lit(None).alias("item"), F.struct(F.col("ord").cast(_ORDER["seq"]).alias("seq"), *[F.col(c).cast(_FIELDS[c]).alias(c) for c in given]).alias("proposal"))
     met = item.unionByName(proposal).groupBy("protocol_id", "source").agg(F.array_sort(F.collect_list("item")).alias("items"), F.array_sort(F.collect_list("proposal")).alias("proposals"))
     # a proposal that quotes no item was invented
     met = met.filter(F.size("items") > 0).withColumn("written", constraints("source"))
 
     first, last = F.get("items", F.lit(0)), F.element_at("items", -1)
     of = lambda x: F.struct(x["comparator"], _squeezed(x["value"]))
-    proposed = F.transform("proposals", lambda p: p.withField("criterion_type", last["criterion_type"]))
-    known = F.transform(F.filter("proposals", lambda p: ~C.missing(p["comparator"])), of)
+    rest = [c for c in given if c != "criterion_type"]
+    proposed = F.transform("proposals", lambda p: _row(phase=F.lit(0), item_no=F.lit(0), seq=p["seq"], criterion_type=last["criterion_type"], **{c: p[c] for c in rest}))
+    known = F.transform(F.filter(proposed, lambda p: ~C.missing(p["comparator"])), of)
     new = F.filter("written", lambda c, at: ~F.exists(known, lambda k: k == of(c)) & ~F.exists(F.slice("written", F.lit(1), at), lambda c1: of(c1) == of(c)))
     constant = {"domain": F.lit("measurement"), "qualifier": F.lit("deterministically parsed written comparison"), "extraction_confidence": F.lit("1.0")}
     written = F.transform(new, lambda c, at: _row(phase=F.lit(1), item_no=first["item_no"], seq=at, criterion_type=first["criterion_type"], **constant, **{x: c[x] for x in ("comparator", "value", "unit", "entity", "logical_operator")}))
@@ -86,7 +88,7 @@ def normalize(proposals: DataFrame, items: DataFrame, protocols: DataFrame, term
     windows begin; no group is larger than a protocol. Atom indexes are contiguous in each parent statement, ids are
     hashes of content, and reruns agree.
     """
-    met = _by_sentence(proposals, items)
+    met = _by_sentence(proposals, items, _PARENT)
     rows = met.select("protocol_id", "source", *[F.col(f"last.{c}").alias(c) for c in _PARENT], (F.size("rows") > 1).alias("many"), F.explode("rows").alias("r")).select("*", "r.*").drop("r")
     logic = F.lower(F.coalesce(F.col("logical_operator"), F.lit("standalone")))
     shared = F.when(C.says("source", r"\bor\b"), "or").otherwise("and")
