@@ -98,3 +98,13 @@ def test_reconciling_moves_what_it_reads(spark):
     assert grouped
     united = found._jdf.queryExecution().optimizedPlan().toString().split("Union")[-1]
     assert "surrounding_context" not in united.split("Generate")[0] and "upper_inclusive" not in united
+
+
+def test_text_is_stripped_of_all_white_space(spark):
+    """As before, and plain text without a search for 29 kinds of space."""
+    from trialframe.functions import patterns as P
+
+    given = ["", " ", "a", " a", "a ", "\u00a0a b\u2003", "é", "é ", "~!", "\x1f!", "a\u3000", "\x7f", "a\n", None, *(f"{x}y{x}" for x in P.SPACE)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x string").select("i", C.strip("x").alias("x")).orderBy("i")
+    assert [r["x"] for r in rows.collect()] == [x if x is None else x.strip() for x in given]
+    assert "CASE WHEN" in rows._jdf.queryExecution().analyzed().toString()

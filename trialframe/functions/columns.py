@@ -15,8 +15,10 @@ def col(x: Column | str) -> Column:
 
 
 def strip(x: Column | str) -> Column:
-    """Text without white space of any kind at its ends."""
-    return F.btrim(col(x).cast("string"), F.lit(P.SPACE))
+    """Text without white space of any kind at its ends; most has none, which its first and last letters tell."""
+    text = col(x).cast("string")
+    plain = F.substring(text, 1, 1).between("!", "~") & F.substring(text, -1, 1).between("!", "~")
+    return F.when(plain, text).otherwise(F.btrim(text, F.lit(P.SPACE)))
 
 
 def blank_to_null(x: Column | str) -> Column:
