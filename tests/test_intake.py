@@ -224,3 +224,24 @@ def test_read_review_sheet(spark, tmp_path):
     (tmp_path / "sheet.csv").write_text('job_id,source,entity\nJ1,"two\nlines, ""quoted""",ALT\n,x,\n')
     rows = readers.read_review_sheet(spark, f"file://{tmp_path}/sheet.csv").collect()
     assert [(r.job_id, r.source, r.entity) for r in rows] == [("J1", 'two\nlines, "quoted"', "ALT"), (None, "x", None)]
+
+
+def test_a_proposed_row_is_read_once_for_all_its_rules(spark):
+    rows = intake.read_answers(spark.createDataFrame([("p", 0, '{"rows": [{}]}')], "protocol_id string, batch long, answer string"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("jsonObjectKeys(") == 2 and plan.count("parseJson(") == 2  # of the answer, and of its rows
+
+
+def test_objects_of_odd_answers_are_those_of_the_plain_pattern(spark):
+    import re
+
+    from trialframe.functions.columns import model_json
+
+    texts = ["````json\n{1}\n````", "```{1}``` ```{2}```", "``` {1} x ``` {2} \n```", "```json{1```", "```x``` ```json\n{a}```", "} {", "{", "}", "a { b } c } d {", "```{a}", "```json\n{ '```' }\n```", "", "é{\U0001f600}}x", "```\n{1}\n```}"]
+
+    def plain(x):
+        m = re.search(r"```(?:json)?\s*(\{.*?\})\s*```", x, re.DOTALL) or re.search(r"(\{.*\})", x, re.DOTALL)
+        return m[1] if m else None
+
+    found = spark.createDataFrame([(x,) for x in [*texts, None]], "t string").select("t", model_json("t").alias("j")).collect()
+    assert [r.j for r in found] == [*map(plain, texts), None]

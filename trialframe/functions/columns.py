@@ -200,9 +200,17 @@ def missing(x: Column | str) -> Column:
 
 
 _JSON_FENCE = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+_JSON_BETWEEN = r"(?s)^(?:json)?\s*(\{.*\})\s*\z"
 
 
 def model_json(text: Column | str) -> Column:
     """The JSON object in a model's answer: fenced, else from the first brace to the last."""
-    fenced = F.regexp_extract(col(text), _JSON_FENCE, 1)
-    return F.when(fenced != "", fenced).otherwise(blank_to_null(F.regexp_extract(col(text), r"(?s)(\{.*\})", 1)))
+    text = col(text)
+    first, last = F.instr(text, "{"), F.length(text) - F.instr(F.reverse(text), "}") + 1
+    braced = F.when((first > 0) & (first < last) & text.contains("}"), F.substring(text, first, last - first + 1))
+    once = lambda x, of: F.get(F.transform(F.array(x), of), F.lit(0))
+    # what stands between the first two fences is most often the object, of which only the ends are looked at
+    searched = once(F.regexp_extract(text, _JSON_FENCE, 1), lambda x: F.when(x != "", x))
+    between = once(F.split(text, "```", 3), lambda x: F.when(F.size(x) == 3, F.regexp_extract(x[1], _JSON_BETWEEN, 1)))
+    fenced = F.when(text.contains("```"), once(between, lambda x: F.when(x != "", x).otherwise(searched)))
+    return F.coalesce(fenced, braced)

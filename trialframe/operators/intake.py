@@ -43,8 +43,8 @@ _TEXT_ONLY = [name for name, kind in PROPOSAL_FIELDS.items() if kind == "string"
 
 
 def answer_faults() -> Column:
-    """What is wrong with a whole answer, from its columns ``answer``, ``object`` and ``whole``; null if it can be read."""
-    keys = F.json_object_keys("object")
+    """What is wrong with a whole answer, from its columns ``answer``, ``object``, ``object_keys`` and ``whole``; null if it can be read."""
+    keys = F.col("object_keys")
     return (
         F.when(F.col("answer").isNull(), "no answer")
         .when(F.col("object").isNull(), "no JSON object")
@@ -55,23 +55,30 @@ def answer_faults() -> Column:
     )
 
 
-def _row_faults() -> Column:
-    """Why a proposed row breaks its contract: its shape, then its types, then its values."""
+def _with_row_faults(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``faults``: why a proposed row breaks its contract, by its shape, then its types, then its values.
+
+    What is read of ``raw`` becomes columns first: each rule that named such a reading itself would read the text again.
+    """
     declared = F.array(*map(F.lit, PROPOSAL_FIELDS))
-    keys = F.json_object_keys("raw")
     named = lambda what, names: F.transform(names, lambda x: F.concat(F.lit(f"{what}: "), x))
-    variant = F.try_parse_json("raw")
-    is_text = lambda name: F.schema_of_variant(F.try_variant_get(variant, f"$.{name}", "variant")).isin("STRING", "VOID")
-    not_text = F.array_compact(F.array(*[F.when(F.array_contains(keys, name) & ~F.coalesce(is_text(name), F.lit(True)), F.lit(name)) for name in _TEXT_ONLY]))
-    shape = F.concat(named("missing", F.array_except(declared, keys)), named("unknown", F.array_except(keys, declared)))
-    typed = F.when(F.col("row._corrupt_record").isNotNull(), F.array(F.lit("wrong types"))).otherwise(named("wrong type", not_text))
-    return (
-        F.when(F.col("raw").isNull() | ~F.coalesce(F.col("raw").startswith("{"), F.lit(False)), F.array(F.lit("no object")))
-        .when(keys.isNull(), F.array(F.lit("broken JSON")))
-        .when(F.size(shape) > 0, shape)
-        .when(F.size(typed) > 0, typed)
+    is_text = lambda name: F.schema_of_variant(F.try_variant_get("variant", f"$.{name}", "variant")).isin("STRING", "VOID")
+    # types are told of rows that have all declared fields
+    not_text = F.array_compact(F.array(*[F.when(~F.coalesce(is_text(name), F.lit(True)), F.lit(name)) for name in _TEXT_ONLY]))
+    unread = F.col("fault").isNotNull()
+    rows = rows.withColumns({"keys": F.when(~unread, F.json_object_keys("raw")), "variant": F.when(~unread, F.try_parse_json("raw")), "values": proposal_violations()})
+    rows = rows.withColumns({"missing": F.array_except(declared, "keys"), "unknown": F.array_except("keys", declared)})
+    rows = rows.withColumn("shape", F.concat(named("missing", F.col("missing")), named("unknown", F.col("unknown"))))
+    rows = rows.withColumn("typed", F.when(F.size("shape") == 0, F.when(F.col("row._corrupt_record").isNotNull(), F.array(F.lit("wrong types"))).otherwise(named("wrong type", not_text))))
+    faults = (
+        F.when(unread, F.array("fault"))
+        .when(F.col("raw").isNull() | ~F.coalesce(F.col("raw").startswith("{"), F.lit(False)), F.array(F.lit("no object")))
+        .when(F.col("keys").isNull(), F.array(F.lit("broken JSON")))
+        .when(F.size("shape") > 0, F.col("shape"))
+        .when(F.size("typed") > 0, F.col("typed"))
         .otherwise(named("against the contract", F.col("values")))
     )
+    return rows.withColumn("faults", faults)
 
 
 def read_answers(answers: DataFrame) -> DataFrame:
@@ -87,7 +94,7 @@ def read_answers(answers: DataFrame) -> DataFrame:
     """
     text = F.col("answer").cast("string")
     read = answers.withColumn("answer", text).withColumn("object", model_json("answer"))
-    read = read.withColumn("whole", F.from_json("object", _WHOLE, _CORRUPT)).withColumn("fault", answer_faults())
+    read = read.withColumns({"whole": F.from_json("object", _WHOLE, _CORRUPT), "object_keys": F.json_object_keys("object")}).withColumn("fault", answer_faults())
     if "attempt" in answers.columns:
         best = Window.partitionBy("protocol_id", "batch")
         read = read.withColumns({"good": F.min(F.when(F.col("fault").isNull(), F.col("attempt"))).over(best)}).filter("good is null or attempt = good")
@@ -97,10 +104,8 @@ def read_answers(answers: DataFrame) -> DataFrame:
     rows = rows.select("protocol_id", "batch", "fault", F.col("x.pos").alias("place"), F.col("x.col").alias("raw"))
     rows = rows.withColumn("row", F.when(F.col("fault").isNull(), F.from_json("raw", _ROW, _CORRUPT)))
     rows = rows.select("protocol_id", "batch", "place", "raw", "fault", "row", *[F.col(f"row.{name}").alias(name) for name in PROPOSAL_FIELDS])
-    rows = rows.withColumn("values", proposal_violations())
-    faults = F.when(F.col("fault").isNotNull(), F.array("fault")).otherwise(_row_faults())
     order = F.shiftleft(F.col("batch").cast("long"), 32) + F.col("place")
-    return rows.select("protocol_id", "batch", "place", order.alias("ord"), "raw", faults.alias("faults"), *PROPOSAL_FIELDS)
+    return _with_row_faults(rows).select("protocol_id", "batch", "place", order.alias("ord"), "raw", "faults", *PROPOSAL_FIELDS)
 
 
 def accepted(rows: DataFrame) -> DataFrame:
