@@ -52,10 +52,12 @@ def completeness(reviewed: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def id_differences(reviewed: DataFrame, expected: DataFrame) -> DataFrame:
-    """(job_id, row_id, side): ids that only one of the two has."""
-    left = expected.select("job_id", "row_id").distinct()
-    right = reviewed.select("job_id", "row_id").distinct()
-    return left.join(right, ["job_id", "row_id"], "left_anti").withColumn("side", F.lit("missing")).unionByName(right.join(left, ["job_id", "row_id"], "left_anti").withColumn("side", F.lit("unexpected")))
+    """(job_id, row_id, side): ids that only one of the two has; a null is like no other. Both meet in one grouping."""
+    side = lambda rows, has: rows.select("job_id", "row_id", F.lit(not has).alias("expected"), F.lit(has).alias("reviewed"))
+    met = side(expected, False).unionByName(side(reviewed, True)).groupBy("job_id", "row_id").agg(F.max("expected").alias("expected"), F.max("reviewed").alias("reviewed"))
+    unlike = F.col("job_id").isNull() | F.col("row_id").isNull()
+    sides = F.array_compact(F.array(F.when(F.col("expected") & (~F.col("reviewed") | unlike), F.lit("missing")), F.when(F.col("reviewed") & (~F.col("expected") | unlike), F.lit("unexpected"))))
+    return met.select("job_id", "row_id", F.explode(sides).alias("side"))
 
 
 def group_faults(rows: DataFrame, job: str = "job_id") -> DataFrame:
