@@ -69,11 +69,12 @@ def group_faults(rows: DataFrame, job: str = "job_id") -> DataFrame:
         F.min("atom_index").alias("first"),
         F.max("atom_index").alias("last"),
         F.count_distinct("atom_index").alias("indexes"),
-        F.count_distinct("logical_operator").alias("operators"),
         F.min("logical_operator").alias("operator"),
+        F.max("logical_operator").alias("other"),
     )
     members = (F.col("lo") != F.col("n")) | (F.col("hi") != F.col("n")) | (F.col("first") != 1) | (F.col("last") != F.col("n")) | (F.col("indexes") != F.col("n"))
-    logic = (F.col("n") > 1) & ((F.col("operators") != 1) | (F.col("operator") == "standalone"))
+    # one operator is the least and the greatest; a second distinct count would make three rows of each
+    logic = (F.col("n") > 1) & F.coalesce((F.col("operator") != F.col("other")) | (F.col("operator") == "standalone"), F.lit(True))
     return groups.select(job, "parent_statement_id", "n", members.alias("bad_members"), logic.alias("bad_operator"))
 
 
