@@ -24,3 +24,13 @@ def test_group_faults_move_each_row_once(spark):
     assert "Expand" not in _plan(found)
     faults = {r.parent_statement_id: (r.bad_members, r.bad_operator) for r in found.collect()}
     assert faults == {"p": (False, False), "q": (False, True), "r": (True, False), "s": (False, True), "t": (False, False), "u": (False, False)}
+
+
+def test_windows_of_the_gate_share_one_sort(spark):
+    import re
+
+    from trialframe.plans import queries
+
+    for rows in review.apply_review(*queries._reviewed(spark, "/root/testdata/sf0.001")):
+        plan = _plan(rows)
+        assert len(re.findall(r"Sort \[job_id#\w+ ASC NULLS FIRST, parent_statement_id", plan)) == 1
