@@ -240,6 +240,38 @@ def test_host_runs_equal_brute_force(spark):
         assert got[i] == "\n\n".join(x for block in blocks for x in stretches(block))
 
 
+def test_a_stretch_is_repeated_as_a_whole(spark):
+    """Runs of six tokens that lie on different pages do not make a long stretch that no other page has."""
+    stretch = words("t", 12).split()
+    whole = lambda i, x: f"<div>{words(f'own{i}a', 20)} {x} {words(f'own{i}b', 20)}</div>"
+    pages = {i: whole(i, " ".join(stretch[:9] if i < 3 else stretch[3:])) for i in range(6)}
+    pages[6] = whole(6, " ".join(stretch))
+    pages |= {i: whole(i, words("same", 11)) for i in range(7, 10)}
+    got = page_texts(spark, [(i, "http://h/", page) for i, page in pages.items()])
+    for i in range(7):
+        assert got[i] == pages[i][5:-6]
+    assert [got[i] for i in range(7, 10)] == [f"{words(f'own{i}a', 20)}\n\n{words(f'own{i}b', 20)}" for i in range(7, 10)]
+
+
+def test_suffixes_are_sorted_and_compared(spark):
+    """Intervals are those of all suffixes that begin alike, in sorted order."""
+    import itertools
+    import random
+
+    from trialframe.llm.pages import LONG, suffix_array
+
+    rng = random.Random(3)
+    keys = sorted({(1,) * RUN + tuple(rng.choices([1, 2], k=rng.randint(0, LONG - RUN))) for _ in range(40)} | {(1, 2), (2,) * LONG, (2,) * RUN + (3,)})
+    rows = [(hash(k[:RUN]), list(k), i) for i, k in enumerate(keys)]
+    got = suffix_array(spark.createDataFrame(rows + rows[:5], "bucket long, key array<long>, suffix long")).collect()
+    assert sorted((r.suffix, r.depth) for r in got) == sorted((i, d) for i, k in enumerate(keys) for d in range(min(RUN, len(k)), len(k) + 1))
+    name = {(r.suffix, r.depth): r.interval for r in got}
+    for (i, a), (j, b) in itertools.combinations(enumerate(keys), 2):
+        for d in range(RUN, min(len(a), len(b)) + 1):
+            assert (name[i, d] == name[j, d]) == (a[:d] == b[:d])
+            assert name[i, d] == min(x for x, k in enumerate(keys) if k[:d] == a[:d] and len(k) >= d)
+
+
 # --- vectors --------------------------------------------------------------------------------------------------
 
 

@@ -5,13 +5,16 @@ in menus, headers, footers, sidebars, forms and the like. All other blocks are u
 article too: of these the host's boilerplate is removed.
 
 The token streams of a host's pages, their main text aside, are concatenated as one text whose suffix
-array brings equal beginnings together. Spark sorts it by buckets: suffixes that share their first RUN tokens are
-neighbours, so a bucket with several pages is a substring of RUN tokens or more that distinct pages repeat.
-No host, and no bucket, is gathered in a task: a bucket's distinct pages are counted.
-
-A repeated run is boilerplate if many of the host's pages hold it, and the rest of them differs: pages that are
-equal, or have little but repeated runs, are copies of each other and tell nothing. Undecided blocks lose the
-maximal stretches of LONG tokens or more that such runs cover, and go if they are one.
+array brings equal beginnings together. Spark sorts it: suffixes go to buckets by their first RUN tokens, buckets with
+too few pages are dropped, and the distinct suffixes of the others are sorted by their first LONG tokens. What
+neighbours share, from their longest common prefixes, gives the array's intervals: the suffixes that begin with the same
+RUN to LONG tokens. No host, and no bucket, is gathered in a task: sorted suffixes pass one by one, and an interval's
+distinct pages are counted. More than LONG tokens need not be compared: each LONG of a longer repeated substring are
+repeated by the same pages, so they cover it.
+
+A repeated substring is boilerplate if many of the host's pages hold it, and the rest of them differs: pages that are
+equal, or have little but repeated runs of RUN tokens, are copies of each other and tell nothing. Undecided blocks lose
+the maximal stretches that such substrings of LONG tokens cover, and go if they are a shorter one.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -249,6 +253,7 @@ def page_blocks(page: str) -> list[Block]:
 
 
 _BLOCK = "array<struct<role:string, text:string>>"
+_FOUND = "array<struct<place:int, length:int, common:boolean>>"
 
 
 def _blocks_of(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -256,14 +261,42 @@ def _blocks_of(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([[{"role": x.role, "text": x.text} for x in page_blocks(page or "")] for page in part], dtype=object)
 
 
-def _runs(column: str):
-    """For each block an array of its suffixes' first RUN tokens."""
-    tokens = F.split(column, " ")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - RUN + 1, F.lit(1))), lambda i: F.struct(i.alias("place"), F.concat_ws(" ", F.slice(tokens, i, RUN)).alias("run")))
+def _suffixes(column: str):
+    """For each block an array of its suffixes: their place from 1, and hashes of their first LONG tokens."""
+    tokens = F.transform(F.split(column, " "), lambda t: F.xxhash64(t))
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - RUN + 1, F.lit(1))), lambda i: F.struct(i.alias("place"), F.slice(tokens, i, LONG).alias("key")))
+
+
+def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(suffix, depth, interval) of sorted (bucket, key, suffix): by the longest common prefix with the suffix before it.
+
+    Suffixes of an interval share their first ``depth`` tokens, RUN at least or all; it is named by its first suffix.
+    """
+    last, before, first = None, [], {}
+    for batch in batches:
+        suffixes, depths, intervals = [], [], []
+        for bucket, key, suffix in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "suffix")), strict=True):
+            common = 0
+            if bucket == last:
+                common = next((i for i, (a, b) in enumerate(zip(before, key, strict=False)) if a != b), min(len(before), len(key)))
+            for depth in range(min(RUN, len(key)), len(key) + 1):
+                if depth > common:
+                    first[depth] = suffix
+                suffixes.append(suffix)
+                depths.append(depth)
+                intervals.append(first[depth])
+            last, before = bucket, key
+        yield pa.RecordBatch.from_arrays([pa.array(suffixes, pa.int64()), pa.array(depths, pa.int32()), pa.array(intervals, pa.int64())], names=["suffix", "depth", "interval"])
+
+
+def suffix_array(suffixes: DataFrame) -> DataFrame:
+    """The intervals of the suffix array of (bucket, key, suffix): (suffix, depth, interval), see ``_intervals``."""
+    array = suffixes.distinct().repartitionByRange("bucket").sortWithinPartitions("bucket", "key")
+    return array.mapInArrow(_intervals, "suffix long, depth int, interval long")
 
 
 def _boilerplate(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row, block, places, common) of what hosts repeat in undecided blocks, and (row, known) of pages beside whose article the host can tell."""
+    """(row, block, found) of what hosts repeat in undecided blocks, each with its place, length and whether it is common, and (row, known) of pages beside whose article the host can tell."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     texts = F.transform("blocks", lambda b: b["text"])
     main = F.filter("blocks", lambda b: b["role"] == "main")
@@ -276,23 +309,27 @@ def _boilerplate(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     hosts = written(pages.groupBy("host").agg(F.count_distinct("page").alias("pages"), F.bool_or("undecided").alias("undecided")).filter("undecided").select("host", "pages"), "hosts")
     if not hosts.head(1):  # markup has told all
         spark = blocks.sparkSession
-        return spark.createDataFrame([], "row long, block int, places array<int>, common boolean"), spark.createDataFrame([], "row long, known boolean")
+        return spark.createDataFrame([], f"row long, block int, found {_FOUND}"), spark.createDataFrame([], "row long, known boolean")
     # pages of other hosts add no run
     pages = pages.join(hosts.select("host"), "host", "left_semi")
-    suffixes = pages.select("row", "host", "page", F.posexplode("others").alias("block", "b")).select("row", "host", "page", "block", F.col("b.role").alias("role"), F.explode(_runs("b.text")).alias("s")).select("row", "host", "page", "block", "role", "s.place", F.xxhash64("host", "s.run").alias("run"))
+    suffixes = pages.select("row", "host", "page", F.posexplode("others").alias("block", "b")).select("row", "host", "page", "block", F.col("b.role").alias("role"), F.explode(_suffixes("b.text")).alias("s"))
+    suffixes = suffixes.select("row", "host", "page", "block", "role", "s.place", "s.key", F.xxhash64("host", F.slice("s.key", 1, RUN)).alias("run"), F.xxhash64("host", "s.key").alias("suffix"))
 
     held = suffixes.groupBy("run").agg(F.count_distinct("page").alias("n"), F.max(F.col("role") == "open").alias("open"), F.first("host").alias("host")).filter(F.col("open") & (F.col("n") >= PAGES))
     least = F.greatest(F.lit(PAGES), F.ceil(F.col("pages") * SHARE))
     repeated = written(held.join(hosts, "host").filter(F.col("n") >= least).select("run", "pages"), "repeated")
-    hit = written(suffixes.join(repeated, "run").select("row", "block", "role", "place", "page", "run", "pages"), "hit")
+    hit = written(suffixes.join(repeated, "run").select("row", "block", "role", "place", "page", "run", "pages", "key", "suffix"), "hit")
     # what a page holds beside its repeated runs: so many suffixes and tokens, and their sum
     all_of = suffixes.join(hit.select("page").distinct(), "page", "left_semi").groupBy("row").agg(F.first("page").alias("page"), F.count("*").alias("all"), F.sum(F.col("run").cast("decimal(38,0)")).alias("sum"))
     hit_of = hit.groupBy("row").agg(F.count("*").alias("hit"), F.sum(F.col("run").cast("decimal(38,0)")).alias("hit_sum"))
     rest = all_of.join(hit_of, "row").join(pages.select("row", "main", "main_size"), "row").filter((F.col("all") + F.col("main_size")) * COPY >= F.col("hit"))
     rest = rest.groupBy("page").agg(F.min(F.xxhash64("main", (F.col("sum") - F.col("hit_sum")).cast("string"))).alias("rest"))
-    votes = hit.select("run", "page", "pages").distinct().join(rest, "page").groupBy("run", "pages").agg(F.count_distinct("rest").alias("n"))
-    boiler = votes.filter(F.col("n") >= least).select("run", (F.col("n") >= F.col("pages") * COMMON).alias("common"))
-    covered = hit.filter("role = 'open'").join(boiler, "run").groupBy("row", "block").agg(F.sort_array(F.collect_set("place")).alias("places"), F.bool_and("common").alias("common"))
+    of_interval = hit.join(suffix_array(hit.select(F.col("run").alias("bucket"), "key", "suffix")), "suffix").select("row", "block", "role", "place", "page", "pages", "depth", "interval")
+    of_interval = written(of_interval, "intervals")
+    votes = of_interval.select("depth", "interval", "page", "pages").distinct().join(rest, "page").groupBy("depth", "interval", "pages").agg(F.count_distinct("rest").alias("n"))
+    boiler = votes.filter(F.col("n") >= least).select("depth", "interval", (F.col("n") >= F.col("pages") * COMMON).alias("common"))
+    longest = of_interval.filter("role = 'open'").join(boiler, ["depth", "interval"]).groupBy("row", "block", "place").agg(F.max("depth").alias("length"), F.max_by("common", "depth").alias("common"))
+    covered = longest.groupBy("row", "block").agg(F.sort_array(F.collect_list(F.struct("place", "length", "common"))).alias("found"))
     known = pages.filter("undecided").join(hosts.filter(F.col("pages") >= PAGES), "host").select("row", F.lit(True).alias("known"))
     return covered, known
 
@@ -313,7 +350,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     blocks = pages.select("page_id", "url", F.pandas_udf(_blocks_of, _BLOCK)(F.col("html").cast("string")).alias("blocks")).withColumn("row", F.monotonically_increasing_id())
     blocks = written(blocks, "blocks")
     covered, known = _boilerplate(blocks)
-    per_page = covered.groupBy("row").agg(F.collect_list(F.struct("block", "places", "common")).alias("covered"))
+    per_page = covered.groupBy("row").agg(F.collect_list(F.struct("block", "found")).alias("covered"))
     # only pages with undecided blocks are moved
     undecided = F.exists("blocks", lambda b: b["role"] == "open")
     moved = blocks.filter(undecided).join(per_page, "row", "left").join(known, "row", "left")
@@ -323,17 +360,17 @@ def main_text(pages: DataFrame) -> DataFrame:
     return settled.unionByName(moved).withColumn("n_chars", F.length("text").cast("long"))
 
 
-def _stretches(places: list[int], size: int) -> list[tuple[int, int]]:
-    """The maximal stretches (from, to) of a block's ``size`` tokens that runs at successive ``places`` (from 1) cover."""
+def _stretches(found: list[dict], size: int) -> list[tuple[int, int]]:
+    """The maximal stretches (from, to) of a block's ``size`` tokens that are boilerplate, from what is ``found`` in order of its place."""
     out: list[tuple[int, int]] = []
-    last = 0
-    for at in places:
-        first, end = at - 1, min(size, at - 1 + RUN)
-        if out and at == last + 1:
+    for x in found:
+        first, end = x["place"] - 1, x["place"] - 1 + x["length"]
+        if x["length"] < LONG and not (x["common"] and x["length"] == size):
+            continue
+        if out and first <= out[-1][1]:
             out[-1] = out[-1][0], end
         else:
             out.append((first, end))
-        last = at
     return out
 
 
@@ -352,11 +389,10 @@ def _joined(blocks: pd.Series, covered: pd.Series, known: pd.Series) -> pd.Serie
                 tokens = block["text"].split(" ")
                 hit = places.get(other)
                 at = 0
-                for first, end in _stretches(hit["places"], len(tokens)) if hit else ():
-                    if end - first >= LONG or hit["common"] and end - first == len(tokens):
-                        if at < first:
-                            kept.append(" ".join(tokens[at:first]))
-                        at = max(at, end)
+                for first, end in _stretches(hit["found"], len(tokens)) if hit else ():
+                    if at < first:
+                        kept.append(" ".join(tokens[at:first]))
+                    at = end
                 if at < len(tokens):
                     kept.append(" ".join(tokens[at:]))
             other += 1
