@@ -263,8 +263,9 @@ def _blocks_of(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def _suffixes(column: str):
     """For each block an array of its suffixes: their place from 1, and hashes of their first LONG tokens."""
-    tokens = F.transform(F.split(column, " "), lambda t: F.xxhash64(t))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - RUN + 1, F.lit(1))), lambda i: F.struct(i.alias("place"), F.slice(tokens, i, LONG).alias("key")))
+    of = lambda tokens: F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - RUN + 1, F.lit(1))), lambda i: F.struct(i.alias("place"), F.slice(tokens, i, LONG).alias("key")))
+    # a variable of an outer transform, so that a block is split once and not for each of its suffixes
+    return F.transform(F.array(F.transform(F.split(column, " "), lambda t: F.xxhash64(t))), of)[0]
 
 
 def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
