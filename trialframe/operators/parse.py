@@ -14,10 +14,11 @@ from ..functions import language as L
 from ..functions import patterns as P
 from ..functions.literals import memo, parse_criterion, written_constraints
 from ..functions.terms import Terminology
-from ..functions.texts import by_text
+from ..functions.texts import by_text, by_texts
 
 _PARSED = "struct<entity:string, comparator:string, value:string, unit:string, value_kind:string, lower_bound:double, lower_inclusive:boolean, upper_bound:double, upper_inclusive:boolean, negated:boolean, domain:string, temporal:string, repetition:string>"
 _FIELDS = ("source", "entity", "comparator", "value", "unit", "lower_bound", "lower_inclusive", "upper_bound", "upper_inclusive")
+_TYPES = {"lower_bound": "double", "upper_bound": "double", "lower_inclusive": "boolean", "upper_inclusive": "boolean"}
 _WRITTEN = "array<struct<comparator:string, value:string, unit:string, entity:string, logical_operator:string>>"
 _KINDS = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
 
@@ -51,6 +52,43 @@ def constraints(source: Column | str) -> Column:
     return by_text("written_constraints", _constraints, pa.list_(_struct(_WRITTEN)), _WRITTEN, C.col(source), apart=True)
 
 
+def constraints_of_all(sources: Column) -> Column:
+    """``constraints`` of each text of an array."""
+    return by_texts("written_constraints", _constraints, pa.list_(_struct(_WRITTEN)), _WRITTEN, F.transform(sources, lambda x: F.struct(x.alias("c0"))))
+
+
+def _given(of: Callable[[str], Column]) -> list[Column]:
+    """What a statement's parser reads."""
+    return [of(c).cast(_TYPES.get(c, "string")) for c in _FIELDS]
+
+
+def _criterion(of: Callable[[str], Column], found: Column) -> dict[str, Column]:
+    """The columns of a criterion but those that follow from them: of what was proposed, and of what its text was ``found`` to say."""
+    domain = F.lower(C.strip(of("domain")))
+    logic = F.lower(of("logical_operator"))
+    return {
+        "criterion_type": F.lower(F.coalesce(of("criterion_type"), F.lit("inclusion"))),
+        "domain": F.when(domain.isin(*P.DOMAINS), domain).otherwise(found["domain"]),
+        **{c: found[c] for c in ("entity", "comparator", "value", "unit", "value_kind", "lower_bound", "lower_inclusive", "upper_bound", "upper_inclusive", "negated")},
+        "temporal": F.coalesce(C.blank_to_null(of("temporal")), found["temporal"]),
+        "repetition": F.coalesce(C.blank_to_null(of("repetition")), found["repetition"]),
+        "qualifier": C.blank_to_null(of("qualifier")),
+        "logical_operator": F.when(logic.isin(*P.LOGIC), logic).otherwise("standalone"),
+        "source": C.strip(F.coalesce(of("source"), F.lit(""))),
+    }
+
+
+def parse_all(words: Terminology, rows: Column) -> Column:
+    """What the texts of an array of structs say, which have the columns that ``parse`` reads."""
+    given = F.transform(rows, lambda r: F.struct(*[c.alias(f"c{i}") for i, c in enumerate(_given(lambda c: r[c]))]))
+    return by_texts(f"parse {words.digest}", _parser(words), _struct(_PARSED), _PARSED, given)
+
+
+def criterion(row: Column, found: Column) -> dict[str, Column]:
+    """The columns that ``parse`` gives, but interval and relations, of a struct with those that it reads and of what its text says."""
+    return _criterion(lambda c: row[c], found)
+
+
 def parse(rows: DataFrame, terminology: Terminology | None = None) -> DataFrame:
     """``rows`` with the semantic columns of a criterion, parsed from ``source``.
 
@@ -59,26 +97,11 @@ def parse(rows: DataFrame, terminology: Terminology | None = None) -> DataFrame:
     columns pass through. Nothing is shuffled, and a statement that repeats with its proposal is read once by a worker.
     """
     words = terminology or Terminology.of_session(rows.sparkSession)
-    types = {"lower_bound": "double", "upper_bound": "double", "lower_inclusive": "boolean", "upper_inclusive": "boolean"}
     proposed = ("criterion_type", "domain", "temporal", "repetition", "qualifier", "logical_operator", *_FIELDS)
     for name in proposed:
         if name not in rows.columns:
-            rows = rows.withColumn(name, F.lit(None).cast(types.get(name, "string")))
+            rows = rows.withColumn(name, F.lit(None).cast(_TYPES.get(name, "string")))
     kept = [c for c in rows.columns if c not in {*proposed, "negated", "value_kind", "interval", "relations"}]
-    given = [F.col(c).cast(types.get(c, "string")) for c in _FIELDS]
-    found = rows.select(*kept, *[F.col(c).alias(f"given_{c}") for c in proposed], by_text(f"parse {words.digest}", _parser(words), _struct(_PARSED), _PARSED, *given).alias("p"))
-    raw = C.strip(F.coalesce(F.col("given_source"), F.lit("")))
-    kind = F.lower(F.coalesce(F.col("given_criterion_type"), F.lit("inclusion")))
-    domain = F.lower(C.strip("given_domain"))
-    out = found.select(
-        *kept,
-        kind.alias("criterion_type"),
-        F.when(domain.isin(*P.DOMAINS), domain).otherwise(F.col("p.domain")).alias("domain"),
-        *[F.col(f"p.{c}").alias(c) for c in ("entity", "comparator", "value", "unit", "value_kind", "lower_bound", "lower_inclusive", "upper_bound", "upper_inclusive", "negated")],
-        F.coalesce(C.blank_to_null("given_temporal"), F.col("p.temporal")).alias("temporal"),
-        F.coalesce(C.blank_to_null("given_repetition"), F.col("p.repetition")).alias("repetition"),
-        C.blank_to_null("given_qualifier").alias("qualifier"),
-        F.when(F.lower("given_logical_operator").isin(*P.LOGIC), F.lower("given_logical_operator")).otherwise("standalone").alias("logical_operator"),
-        raw.alias("source"),
-    )
+    found = rows.select(*kept, *[F.col(c).alias(f"given_{c}") for c in proposed], by_text(f"parse {words.digest}", _parser(words), _struct(_PARSED), _PARSED, *_given(F.col)).alias("p"))
+    out = found.select(*kept, *[x.alias(c) for c, x in _criterion(lambda c: F.col(f"given_{c}"), F.col("p")).items()])
     return out.withColumn("interval", C.interval_notation("lower_bound", "lower_inclusive", "upper_bound", "upper_inclusive")).withColumn("relations", C.criterion_relations())

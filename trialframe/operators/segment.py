@@ -8,7 +8,7 @@ from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -107,6 +107,31 @@ def _all_statements(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             yield _lists(sizes, pa.StructArray.from_arrays(columns, names=["criterion_type", "source", "place", "context", "earlier", "own"]))
 
 
+def _found() -> Column:
+    return F.arrow_udf(_all_statements, _STATEMENTS).asNondeterministic()(F.col("protocol_text"))  # so that it runs once, whatever reads it
+
+
+def _statement_id(criterion_type: Column | str, place: Column | str, statement: Column | str) -> Column:
+    return stable_id("statement", "protocol_id", "source_version", criterion_type, place, statement)
+
+
+def with_items(protocols: DataFrame) -> DataFrame:
+    """``protocols`` with ``items``, the array of what ``segment`` makes rows of, as far as criteria are made of it."""
+    named = F.transform("found", lambda s: F.struct(s.alias("s"), _statement_id(s["criterion_type"], s["place"] + 1, s["source"]).alias("id")))
+    own = lambda x: F.transform(
+        x["s"]["own"],
+        lambda source, i: F.struct(
+            source.alias("source"),
+            (x["s"]["earlier"] + i + 1).alias("item_no"),
+            x["s"]["criterion_type"].alias("criterion_type"),
+            x["id"].alias("parent_statement_id"),
+            x["s"]["source"].alias("parent_statement"),
+            x["s"]["context"].alias("surrounding_context"),
+        ),
+    )
+    return protocols.withColumn("found", _found()).withColumn("items", F.flatten(F.transform(named, own))).drop("found", "protocol_text")
+
+
 def segment(protocols: DataFrame) -> DataFrame:
     """Source items of ``protocols`` (protocol_id, source_version, protocol_text, ...).
 
@@ -114,8 +139,7 @@ def segment(protocols: DataFrame) -> DataFrame:
     parent_statement, parent_source_index, fragment_no, item_no, surrounding_context. Statements are split at
     semicolons. All of a protocol's work stays in its row until the rows are exploded; nothing is shuffled.
     """
-    found = F.arrow_udf(_all_statements, _STATEMENTS).asNondeterministic()(F.col("protocol_text"))  # so that it runs once, whatever reads it
-    one = protocols.select("protocol_id", "source_version", found.alias("found")).select("protocol_id", "source_version", F.explode("found").alias("s"))
+    one = protocols.select("protocol_id", "source_version", _found().alias("found")).select("protocol_id", "source_version", F.explode("found").alias("s"))
     statement = one.select(
         "protocol_id",
         "source_version",
@@ -126,7 +150,7 @@ def segment(protocols: DataFrame) -> DataFrame:
         F.col("s.earlier").alias("earlier"),
         F.col("s.own").alias("own"),
     )
-    parent = stable_id("statement", "protocol_id", "source_version", "criterion_type", "parent_source_index", "parent_statement")
+    parent = _statement_id("criterion_type", "parent_source_index", "parent_statement")
     items = statement.withColumn("parent_statement_id", parent).select("*", F.posexplode("own").alias("fragment", "source"))
     return items.select(
         "protocol_id",
