@@ -243,3 +243,17 @@ def test_words_are_predicted_from_earlier_words(spark):
 def test_numbers_by_first_occurrence(seen):
     packed = L._first_as_0(np.array(seen, np.int64))
     assert L._numbered(packed).tolist() == seen and (packed == 0).sum() == len(set(seen))
+
+
+def test_units_seen_once_are_counted_by_every_predictor(spark):
+    counts = {b"0once ": 1, b"wonce ": 1, b"wonly ": 3, b"stwice\n": 2, b"n\xff": 1}
+    keys = list(counts)
+    packed = L._keys_packed(pa.array([b"u" + k for k in keys], pa.binary()), np.array(list(counts.values())))
+    model = L.train(spark.createDataFrame([(bytearray(packed),)], "keys binary"), len(packed))
+    of = L.unit_bits(keys)
+    for k in range(L.PREDICTORS):
+        seen = collections.defaultdict(lambda: [0, 0])
+        for place, bit, unit in zip(of.places(k).ravel().tolist(), of.bits.ravel().tolist(), np.broadcast_to(of.unit, of.bits.shape).ravel().tolist(), strict=True):
+            seen[place][bit] += counts[keys[unit]]
+        zeros, ones = (np.array([x[i] for x in seen.values()], float) for i in (0, 1))
+        assert (model.tables[k][list(seen)] == L.states(zeros, ones)).all() and (model.tables[k] > 0).sum() == len(seen)
